@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import written
 from plumbline.llm.decontaminate import RESULTS, mark
 from plumbline.llm.mixing import mix
+from plumbline.llm.pii import mask
 from plumbline.llm.quality import judge
 from plumbline.llm.simhash import near_duplicates
 
@@ -36,12 +37,18 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return found.filter(F.size("hits") == 0).drop(*RESULTS).select(*COLUMNS)
 
 
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, each span of personal data replaced by its kind; n_chars is the new length."""
+    masked = mask(docs.select(*COLUMNS))
+    return masked.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the mix takes of each document."""
     return mix(docs, keep=[]).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
-STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mixing", mixing)]
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("personal_data", personal_data), ("mixing", mixing)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

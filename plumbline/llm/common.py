@@ -67,6 +67,20 @@ def let(df: DataFrame, *keep: str, **bound: Column) -> DataFrame:
     return df.select(*keep, F.explode(F.array(made)).alias("_let")).select(*keep, *[F.col(f"_let.{k}").alias(k) for k in bound])
 
 
+def packed(docs: DataFrame, made: tuple[str, ...], keep: list[str] | None = None) -> tuple[list[str], Column]:
+    """Names to keep (default: all but those an operator makes, in any case), and their columns as one struct.
+
+    Packed as `row__`, the input's columns cannot clash with an operator's own while it works.
+    """
+    taken = {m.lower() for m in made}
+    names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in taken]
+    return names, F.struct(*[F.col(f"`{c}`") for c in names]) if names else F.struct(F.lit(0).alias("_"))
+
+
+def unpacked(names: list[str]) -> list[Column]:
+    return [F.col(f"row__.`{c}`").alias(c) for c in names]
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

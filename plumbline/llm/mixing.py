@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, written
+from .common import let, packed, unpacked, written
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2.0
@@ -100,9 +100,8 @@ def lines(sized: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
 
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", slots: int = SLOTS, keep: list[str] | None = None) -> DataFrame:
     """keep (default: all columns but those named here), doc_id, source, size, source_size, target, taken."""
-    names = ("size", "source_size", "target", "taken", "uid", "place", "a", "b", "weight")
-    extra = [c for c in (docs.columns if keep is None else keep) if c not in (*names, "doc_id", "source")]
-    first = let(docs, doc_id=F.col(key).cast("long"), source=F.col(source), size=size_of(F.col(text)), **{f"x_{c}": F.col(f"`{c}`") for c in extra})
+    names, row = packed(docs, ("doc_id", "source", "size", "source_size", "target", "taken"), keep)
+    first = let(docs, doc_id=F.col(key).cast("long"), source=F.col(source), size=size_of(F.col(text)), row__=row)
     sized = written(first.withColumn("uid", F.monotonically_increasing_id()), "sizes")
     shares = written(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
     placed = sized.join(F.broadcast(shares.select(F.col("source").alias("s"), "place")) if shares.count() <= 100_000 else shares.select(F.col("source").alias("s"), "place"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
@@ -120,7 +119,7 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     parts = parts.withColumn("part", F.least("to", edge(F.col("r") + 1)) - F.greatest("from", edge(F.col("r")))).filter("part > 0")
     taken = parts.join(slot, ["place", "r"]).groupBy("uid").agg(F.sum("part").alias("taken"))
     out = sized.join(taken, "uid", "left").join(F.broadcast(shares) if shares.count() <= 100_000 else shares, sized.source.eqNullSafe(shares.source))
-    return out.select(sized.doc_id, sized.source, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *[F.col(f"`x_{c}`").alias(c) for c in extra])
+    return out.select(sized.doc_id, sized.source, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *unpacked(names))
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, white_words
+from .common import let, packed, unpacked, white_words
 
 # Frequent function words of the four languages of the corpus.
 STOP_WORDS = (
@@ -47,10 +47,11 @@ STOP_FROM_WORDS = 60
 
 def measures(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """keep (default: all columns but the measures' names) and the columns of MEASURES, all long."""
-    keep = [f"`{c}`" for c in (docs.columns if keep is None else keep) if c not in MEASURES]
+    names, row = packed(docs, (*MEASURES, "base_failed", "failed_rules", "kept"), keep)
+    keep = ["row__"]
     t = F.coalesce(F.col(text), F.lit(""))
     stops = sorted({w for s in STOP_WORDS for w in (s, s.capitalize(), s.upper())})
-    words = let(docs, *keep, t=t, w=white_words(F.col(text)), lines=F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    words = let(docs, row__=row, t=t, w=white_words(F.col(text)), lines=F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     counted = let(
         words, *keep,
         n_words=F.size("w").cast("long"),
@@ -86,7 +87,7 @@ def measures(docs: DataFrame, text: str = "text", keep: list[str] | None = None)
     )
     # A repeated window at i covers five words, or up to the next repeated window.
     covered = F.aggregate(F.transform("at", lambda p, k: F.least(F.coalesce(F.get("at", k + 1) - p, F.lit(5)), F.lit(5))), F.lit(0), lambda a, x: a + x)
-    return twice.select(*keep, *[covered.cast("long").alias(m) if m == "n_repeat_words" else F.col(m) for m in MEASURES])
+    return twice.select(*unpacked(names), *[covered.cast("long").alias(m) if m == "n_repeat_words" else F.col(m) for m in MEASURES])
 
 
 def fails(rule: tuple) -> Column:

@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
+from . import chat
+from .chat import op7_chat
 from .decontaminate import op4_decontaminate
+from .licenses import op2_license_scan
+from .lm_score import op10_lm_score
 from .mixing import op5_mixing
+from .pii import op1_pii
 from .quality import op8_quality
 from .simhash import op3_simhash
 from .tokens import op9_token_counts
 
 QUERIES = {
+    "op1_pii": op1_pii,
+    "op2_license_scan": op2_license_scan,
     "op3_simhash": op3_simhash,
     "op4_decontaminate": op4_decontaminate,
     "op5_mixing": op5_mixing,
+    "op7_chat": op7_chat,
     "op8_quality": op8_quality,
     "op9_token_counts": op9_token_counts,
+    "op10_lm_score": op10_lm_score,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op7_chat": chat.ORACLE}

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words long, key string, hits string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, N_WORDS long, key string, hits string, w string, t string, size string"
 
 
 def rows():
@@ -17,7 +17,7 @@ def rows():
     texts += ["line one two three four five six\n" * 4 + "other", "\n\nx\n x\nx\n", "MIT License and the Apache-License, the General Public License. mit license mit license"]
     texts.append(" ".join(rnd.choices(words, k=9000)))
     for i, t in enumerate(texts):
-        out.append((i * 3 + 1, t, None, None if i % 7 == 0 else f"src{i % 5}" if i % 2 else "hot", 0, 5, "k", "h"))
+        out.append((i * 3 + 1, t, None, None if i % 7 == 0 else f"src{i % 5}" if i % 2 else "hot", 0, 5, "k", "h", "w", "t", "s"))
     out.append(out[12])  # a repeated row
     return out
 
