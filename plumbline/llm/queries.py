@@ -11,6 +11,7 @@ from .mixing import op5_mixing
 from .pii import op1_pii
 from .quality import op8_quality
 from .simhash import op3_simhash
+from .substrings import op6_substrings
 from .tokens import op9_token_counts
 
 QUERIES = {
@@ -19,6 +20,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_decontaminate": op4_decontaminate,
     "op5_mixing": op5_mixing,
+    "op6_substrings": op6_substrings,
     "op7_chat": op7_chat,
     "op8_quality": op8_quality,
     "op9_token_counts": op9_token_counts,
