@@ -29,15 +29,24 @@ def tokens(c: Column, pattern: str = TOKENS) -> Column:
     return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(pattern), F.lit(0))
 
 
-def ngrams(toks: Column, n: int = 3) -> Column:
+def bind(c: Column, body) -> Column:
+    """body(c) with c evaluated once: a lambda that names an expression would run it again for every element."""
+    return F.get(F.transform(F.array(c), body), F.lit(0))
+
+
+def ngrams(toks: Column, n: int = 3, sep: str = SEP) -> Column:
     """Array of n-grams in order, repeats included; empty below n tokens."""
-    grams = F.transform(F.sequence(F.lit(1), F.size(toks) - (n - 1)), lambda i: F.array_join(F.slice(toks, i, n), SEP))
-    return F.when(F.size(toks) < n, F.array().cast("array<string>")).otherwise(grams)
+
+    def grams(t: Column) -> Column:
+        all_ = F.transform(F.sequence(F.lit(0), F.size(t) - n), lambda i: F.concat_ws(sep, *[F.get(t, i + k) for k in range(n)]))
+        return F.when(F.size(t) < n, F.array().cast("array<string>")).otherwise(all_)
+
+    return bind(toks, grams)
 
 
 def char_ngrams(c: Column, n: int = 3) -> Column:
-    grams = F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substr(c, i, F.lit(n)))
-    return F.when(F.length(c) < n, F.array().cast("array<string>")).otherwise(grams)
+    """Sliding substrings, cut from an array of characters: no position is sought twice."""
+    return ngrams(F.split(c, ""), n, "")
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -191,7 +200,7 @@ def drawn(*parts: Column) -> Column:
 
 def canonical_groups(c: Column) -> Column:
     """Groups of strings without order: sorted inside, then among themselves."""
-    return F.array_sort(F.transform(c, F.array_sort))
+    return F.array_sort(F.transform(c, lambda x: F.array_sort(x)))
 
 
 def category(prompt: Column) -> Column:
