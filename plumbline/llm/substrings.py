@@ -8,18 +8,22 @@ repeated window covers it. What decides is equality of windows, found like this:
    same place, so only suffixes at anchors, one in about 170 bytes, need be compared.
    Consecutive windows with one anchor form a segment, and equal segments (128-bit hash
    over the bytes and the anchor's place) are repeated whole.
-2. Extensions. Segments that share an anchor gram and differ agree on a part around it. The
-   extent is searched by halving in steps of eight: blocks of 64 windows, of 8, of one. A
-   block whose whole stretch is hashed equal elsewhere is repeated; one whose common core
-   (the bytes that all its windows share) stands nowhere else has no repeated window; only
-   what is neither is cut into the next size. So a border of a repeat costs a logarithmic
-   number of hash comparisons, and no pair of segments is ever listed.
+2. Suffix sort. Different segments that share an anchor gram meet by that gram. Their
+   suffixes from the anchor, and the reversed prefixes up to it, are mergesorted; two are
+   compared by their common extension, found by binary search over prefix polynomial
+   hashes and verified byte by byte, so a comparison takes a logarithmic number of steps.
+   The common extensions of neighbours split each order into classes at every depth; a
+   window is repeated exactly if another segment shares both its classes.
+3. Hot grams. More than `GROUP` different segments of one gram are not brought together:
+   their extents are searched by halving in steps of eight, blocks of 64 windows, of 8, of
+   one. A block whose whole stretch is hashed equal elsewhere is repeated; one whose common
+   core (the bytes that all its windows share) stands nowhere else has no repeated window;
+   only what is neither is cut into the next size. No pair of segments is ever listed.
+   Equality is that of 128-bit XXH3 hashes over the bytes.
 
 Counts are partial sums by hash, so a passage in a third of all documents is one row a task;
 classes of equal stretches stay in the search by one representative. Joins back run on
 written tables, where adaptive execution splits hot keys. Windows never cross documents.
-Hash comparisons use 128 bits of XXH3 over the bytes themselves, which takes the place of
-verifying by bytes that would have to be brought together first.
 
 Edge cases: null texts are empty; texts under 400 bytes lose nothing; repeated rows are
 copies of each other; an empty table gives an empty result; extra columns are ignored.
@@ -29,16 +33,19 @@ Very long and periodic texts are handled whole in linear time.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cmp_to_key
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, text_chunks, written
+from .common import mix, powers, text_chunks, written
 
 LENGTH, GRAM = 400, 64
 BLOCKS = (64, 8, 1)
+#: Different segments of one anchor gram that one task sorts; grams with more are searched by counting.
+GROUP = 128
 #: Rows with lists of places up to this many are broadcast to the scan; more are joined by a shuffle.
 BROADCAST_ROWS = 400_000
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -136,6 +143,118 @@ def anchors(keyed: DataFrame, length: int, gram: int) -> DataFrame:
     return keyed.select("r1", "r2", "text").mapInArrow(run, "r1 long, r2 long, ah long, fk binary, lo long, hi long, at long")
 
 
+class Suffixes:
+    """Segments of one batch with prefix polynomial hashes over their bytes."""
+
+    def __init__(self, parts: list[bytes]):
+        self.data = b"".join(parts)
+        raw = _BYTES[np.frombuffer(self.data, np.uint8)]
+        p, self.inverse = powers(len(raw))
+        with np.errstate(over="ignore"):
+            self.acc = np.concatenate([np.zeros(1, np.uint64), np.cumsum(raw * p[: len(raw)])])
+        self.start = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).tolist()
+
+    def hashed(self, s: int, e: int) -> int:
+        return ((int(self.acc[e]) - int(self.acc[s])) * int(self.inverse[s])) & 0xFFFFFFFFFFFFFFFF
+
+    def common(self, x: int, y: int, most: int, step: int) -> int:
+        """Length of the common extension from places x and y, to the right (step 1) or to the left (-1)."""
+        lo, hi = 0, most
+        while lo < hi:
+            mid = (lo + hi + 1) // 2
+            a, b = (x, y) if step > 0 else (x - mid, y - mid)
+            if self.hashed(a, a + mid) == self.hashed(b, b + mid):
+                lo = mid
+            else:
+                hi = mid - 1
+        a, b = (x, y) if step > 0 else (x - lo, y - lo)
+        if self.data[a : a + lo] != self.data[b : b + lo]:  # hashes collided: compare the bytes
+            n = 0
+            while n < most and self.data[x + n if step > 0 else x - 1 - n] == self.data[y + n if step > 0 else y - 1 - n]:
+                n += 1
+            return n
+        return lo
+
+
+def sorted_classes(suf: Suffixes, anchor: list[int], room: list[int], step: int) -> tuple[list[int], list[int]]:
+    """Order of a group's suffixes (or reversed prefixes) and the common extension of each with the one before it."""
+
+    def compare(i: int, j: int) -> int:
+        n = suf.common(anchor[i], anchor[j], min(room[i], room[j]), step)
+        if n == min(room[i], room[j]):
+            return room[i] - room[j]
+        at = (lambda k: suf.data[anchor[k] + n]) if step > 0 else (lambda k: suf.data[anchor[k] - 1 - n])
+        return at(i) - at(j)
+
+    order = sorted(range(len(anchor)), key=cmp_to_key(compare))  # a mergesort
+    lcp = [suf.common(anchor[i], anchor[j], min(room[i], room[j]), step) for i, j in zip(order, order[1:])]
+    return order, lcp
+
+
+def group_windows(suf: Suffixes, members: list[tuple[int, int, int, int]], length: int) -> list[tuple[int, int, int]]:
+    """(member, least j, largest j) of repeated windows. Members: place of bytes, anchor's offset, least and largest j.
+
+    Window j starts j bytes before the anchor: it is repeated if another member agrees on j bytes
+    to the left and on length - j to the right.
+    """
+    anchor = [s + q for s, q, _, _ in members]
+    left, right = [q for _, q, _, _ in members], [length - j0 for _, _, j0, _ in members]
+    if len(members) == 2:
+        a = suf.common(anchor[0], anchor[1], min(left), -1)
+        b = suf.common(anchor[0], anchor[1], min(right), 1)
+        return [(i, length - b, a) for i in (0, 1)] if length - b <= a else []
+    lo, ll = sorted_classes(suf, anchor, left, -1)
+    ro, rl = sorted_classes(suf, anchor, right, 1)
+    ll_, rl_ = np.array(ll), np.array(rl)
+    cuts = np.unique(np.concatenate([ll_ + 1, length - rl_, [min(j0 for _, _, j0, _ in members)]]))
+    last = max(j1 for _, _, _, j1 in members)
+    rank_l, rank_r = np.empty(len(lo), np.int64), np.empty(len(lo), np.int64)
+    rank_l[lo], rank_r[ro] = np.arange(len(lo)), np.arange(len(lo))
+    out = []
+    for k, j in enumerate(cuts.tolist()):
+        end = int(cuts[k + 1]) - 1 if k + 1 < len(cuts) else last
+        if j > last or end < j:
+            continue
+        cl = np.concatenate([[0], np.cumsum(ll_ < j)])[rank_l]
+        cr = np.concatenate([[0], np.cumsum(rl_ < length - j)])[rank_r]
+        _, inverse, count = np.unique(cl * len(lo) + cr, return_inverse=True, return_counts=True)
+        out += [(i, j, end) for i in np.flatnonzero(count[inverse] > 1).tolist()]
+    return out
+
+
+def sorted_groups(rows: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Rows (ah, r1, r2, at, lo, hi, m, t) in order of ah -> r1, r2, s, e of what repeated windows of m = 1 cover."""
+
+    def solve(pending: list[tuple]) -> list[tuple[int, int, int, int]]:
+        suf, out, i = Suffixes([r[7] for r in pending]), [], 0
+        while i < len(pending):
+            k = i
+            while k < len(pending) and pending[k][0] == pending[i][0]:
+                k += 1
+            members = [(suf.start[n], r[3] - r[4], r[3] - r[5], r[3] - r[4]) for n, r in enumerate(pending[i:k], i)]
+            for n, j0, j1 in group_windows(suf, members, length) if k - i > 1 else ():
+                _, r1, r2, at, lo, hi, m, _ = pending[i + n]
+                a, b = max(lo, at - j1), min(hi, at - j0)
+                if m == 1 and a <= b:
+                    out.append((r1, r2, a, b + length))
+            i = k
+        return out
+
+    def batch(found: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*found, strict=True)) if found else [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["r1", "r2", "s", "e"])
+
+    held: list[tuple] = []
+    for b in rows:
+        held += list(zip(*(c.to_pylist() for c in b.columns), strict=True))
+        cut = len(held)
+        while cut and held[cut - 1][0] == held[-1][0]:  # the last group may go on in the next batch
+            cut -= 1
+        yield batch(solve(held[:cut]))
+        held = held[cut:]
+    yield batch(solve(held))
+
+
 def _cut(rows: Iterator[tuple], step: int, length: int) -> Iterator[pa.RecordBatch]:
     """Blocks of `step` windows of (r1, r2, ah, at, lo, hi, m, bytes from lo on)."""
     import xxhash
@@ -168,19 +287,31 @@ def _cut(rows: Iterator[tuple], step: int, length: int) -> Iterator[pa.RecordBat
 BLOCK = "r1 long, r2 long, ah long, at long, lo long, hi long, m int, ck binary, fk binary, t binary"
 
 
-def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """r1, r2, s, e: stretches of bytes of a row that repeated windows cover (they may overlap)."""
     keyed = _keyed(docs, key, text)
-    each = written(anchors(keyed, length, gram).withColumn("rid", F.xxhash64("r1", "r2", "at", "lo")), "anchors")
-    classes = written(each.groupBy("ah", "fk").agg(F.count("*").alias("n"), F.min("rid").alias("rep")), "segments")
-    mixed = written(classes.groupBy("ah").agg(F.count("*").alias("d")).filter("d > 1").select(F.col("ah").alias("g")), "mixed")
+    rid = F.xxhash64("r1", "r2", "at", "lo")
+    each = written(anchors(keyed, length, gram), "anchors")
+    classes = written(each.groupBy("ah", "fk").agg(F.count("*").alias("n"), F.min(rid).alias("rep")), "segments")
+    mixed = written(classes.groupBy("ah").agg(F.count("*").alias("d")).filter("d > 1").select(F.col("ah").alias("g"), "d"), "mixed")
     shared = classes.join(mixed, F.col("ah") == F.col("g"), "left").filter("n > 1 or g is not null")
-    shared = written(shared.select(F.col("fk").alias("k"), "n", "rep", F.col("g").isNotNull().alias("differs")), "shared")
-    found = written(each.join(shared, F.col("fk") == F.col("k")).select("r1", "r2", "ah", "at", "lo", "hi", "n", (F.col("differs") & (F.col("rid") == F.col("rep"))).alias("search")), "found")
-    done = [found.filter("n > 1").select("r1", "r2", F.col("lo").alias("s"), (F.col("hi") + length).alias("e"))]
-
-    lists = found.filter("search").groupBy("r1", "r2").agg(F.collect_list(F.struct("ah", "at", "lo", "hi", F.least("n", F.lit(2)).cast("int").alias("m"))).alias("x"))
-
+    shared = written(shared.select(F.col("fk").alias("k"), "ah", "n", "rep", "d"), "shared")
+    found = each.drop("ah").join(shared, F.col("fk") == F.col("k"))
+    found = written(found.select("r1", "r2", "ah", "at", "lo", "hi", "n", F.when(rid == F.col("rep"), F.col("d")).alias("d")).filter("n > 1 or d is not null"), "found")
+    covers = lambda df: df.select("r1", "r2", F.col("lo").alias("s"), (F.col("hi") + length).alias("e"))
+    done = [covers(found.filter("n > 1"))]
+
+    open_ = F.struct("ah", "at", "lo", "hi", F.least("n", F.lit(2)).cast("int").alias("m"), (F.col("d") > group).alias("hot"))
+    lists = written(found.filter("d is not null").groupBy("r1", "r2").agg(F.collect_list(open_).alias("x")), "lists")
+    hot = lists.withColumn("x", F.filter("x", lambda y: y["hot"])).filter(F.size("x") > 0)
+
+    # Few enough different segments: sort them where they meet.
+    cool = _joined(keyed, lists).select("r1", "r2", F.explode(F.filter("x", lambda y: ~y["hot"])).alias("y"), F.col("text").cast("binary").alias("b"))
+    cool = cool.select("y.ah", "r1", "r2", "y.at", "y.lo", "y.hi", "y.m", F.substring(F.col("b"), F.col("y.lo").cast("int") + 1, (F.col("y.hi") - F.col("y.lo") + length).cast("int")).alias("t"))
+    parts = cool.repartition("ah").sortWithinPartitions("ah")
+    done.append(written(parts.mapInArrow(lambda rows: sorted_groups(rows, length), "r1 long, r2 long, s long, e long"), "sorted"))
+
+    # Too many: search by counting.
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for b in batches:
@@ -197,21 +328,18 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", length: i
 
         return run
 
-    with_text = _joined(keyed, written(lists, "lists"))
-    state = with_text.select("r1", "r2", "x", F.col("text").cast("binary").alias("text")).mapInArrow(first, BLOCK)
+    state = _joined(keyed, hot).select("r1", "r2", "x", F.col("text").cast("binary").alias("text")).mapInArrow(first, BLOCK)
     for n, step in enumerate(BLOCKS):
-        last = step == 1
         state = written(state, f"blocks{step}")
         core = written(state.groupBy(F.col("ck").alias("c")).agg(F.sum("m").alias("nc")).filter("nc > 1"), f"cores{step}")
         live = state.join(core, F.col("ck") == F.col("c")).drop("c")
-        if last:
-            done.append(live.filter("m = 1").select("r1", "r2", F.col("lo").alias("s"), (F.col("hi") + length).alias("e")))
+        if step == 1:
+            done.append(covers(live.filter("m = 1")))
             break
-        rid = F.xxhash64("r1", "r2", "at", "lo")
         live = written(live.withColumn("rid", rid), f"live{step}")
         stretch = written(live.groupBy(F.col("fk").alias("f")).agg(F.sum("m").alias("nf"), F.min("rid").alias("rep")).filter("nf > 1"), f"stretches{step}")
         both = written(live.join(stretch, F.col("fk") == F.col("f"), "left").withColumn("nf", F.coalesce("nf", F.lit(0).cast("long"))), f"judged{step}")
-        done.append(both.filter("m = 1 and nf > 1").select("r1", "r2", F.col("lo").alias("s"), (F.col("hi") + length).alias("e")))
+        done.append(covers(both.filter("m = 1 and nf > 1")))
         # What is open goes on; of equal stretches one goes on as a partner for the others.
         on = both.filter("nf < 2 or (rid = rep and nc > nf)").withColumn("m", F.when(F.col("nf") > 1, 2).otherwise(F.col("m")))
         state = on.select("r1", "r2", "ah", "at", "lo", "hi", F.col("m").cast("int").alias("m"), "t").mapInArrow(deeper(BLOCKS[n + 1]), BLOCK)
@@ -227,9 +355,9 @@ def _joined(keyed: DataFrame, lists: DataFrame, how: str = "inner") -> DataFrame
     return keyed.join(side, (F.col("r1") == F.col("l1")) & (F.col("r2") == F.col("l2")), how)
 
 
-def kept_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def kept_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """doc_id, n_bytes, removed (maximal removed runs: start, end bytes), kept (remaining bytes) for every row."""
-    spans = repeated(docs, key, text, length, gram).groupBy("r1", "r2").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("x"))
+    spans = repeated(docs, key, text, length, gram, group).groupBy("r1", "r2").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("x"))
     kind = dict(docs.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

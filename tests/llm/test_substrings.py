@@ -41,13 +41,13 @@ def corpus(seed, length):
     return texts
 
 
-@pytest.mark.parametrize("seed,length,gram", [(1, 40, 8), (2, 150, 16), (3, 97, 13)])
-def test_removed_bytes(spark, seed, length, gram):
+@pytest.mark.parametrize("seed,length,gram,group", [(1, 40, 8, 1), (2, 150, 16, 128), (3, 97, 13, 5), (4, 60, 16, 1000)])
+def test_removed_bytes(spark, seed, length, gram, group):
     from plumbline.llm.substrings import kept_texts
 
     texts = corpus(seed, length)
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, r1 int").repartition(3)
-    got = {r.doc_id: (r.n_bytes, r.n_bytes - len(r.kept), len(r.removed), bytes(r.kept)) for r in kept_texts(df, length=length, gram=gram).collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_bytes - len(r.kept), len(r.removed), bytes(r.kept)) for r in kept_texts(df, length=length, gram=gram, group=group).collect()}
     want = dict(enumerate(plain(texts, length)))
     wrong = [i for i in want if got[i] != want[i]]
     assert not wrong, [(i, got[i][:3], want[i][:3]) for i in wrong[:5]]
