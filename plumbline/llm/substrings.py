@@ -225,7 +225,17 @@ def group_windows(suf: Suffixes, members: list[tuple[int, int, int, int]], lengt
 def sorted_groups(rows: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Rows (ah, r1, r2, at, lo, hi, m, t) in order of ah -> r1, r2, s, e of what repeated windows of m = 1 cover."""
 
-    def solve(pending: list[tuple]) -> list[tuple[int, int, int, int]]:
+    def solve(rows: list[tuple]) -> list[tuple[int, int, int, int]]:
+        # In slices of whole groups of about a quarter of a megabyte: hashes take many times the bytes.
+        out, a, size = [], 0, 0
+        for i, r in enumerate(rows):
+            if size > 1 << 18 and r[0] != rows[i - 1][0]:
+                out += solve_slice(rows[a:i])
+                a, size = i, 0
+            size += len(r[7])
+        return out + solve_slice(rows[a:])
+
+    def solve_slice(pending: list[tuple]) -> list[tuple[int, int, int, int]]:
         suf, out, i = Suffixes([r[7] for r in pending]), [], 0
         while i < len(pending):
             k = i
