@@ -24,7 +24,7 @@ def diversity(counted: DataFrame, group: list[str]) -> DataFrame:
     d = counted.withColumn("n", F.sum("c").over(whole)).withColumn("i", F.row_number().over(rising)).withColumn("k", F.count("*").over(whole))
     a = d.groupBy(*group).agg(
         F.max("n").alias("n"), F.max("k").alias("k"), F.max("c").alias("top"),
-        (-F.sum(p * F.log2(p))).alias("entropy"), (-F.sum(p * F.log2(p + 1e-10))).alias("legacy_entropy"),
+        F.sum(p * F.log2(1 / p)).alias("entropy"), (-F.sum(p * F.log2(p + 1e-10))).alias("legacy_entropy"),
         F.exp(-F.sum(p * F.log(p))).alias("effective"), F.sum(F.col("c") * (F.col("c") - 1)).alias("same"),
         F.sum((2 * F.col("i") - F.col("k") - 1) * F.col("c")).alias("spread"),
     )

@@ -76,13 +76,16 @@ def interface_choice(spark, d):
     return features(spark, d).groupBy("model_display", "interface").agg(F.count("*").alias("n"))
 
 
-_PROMPT = F.element_at(F.array(*map(F.lit, fx.PROMPT_IDS)), (F.col("event_id") % len(fx.PROMPT_IDS) + 1).cast("int"))
+def _prompt() -> Column:
+    return F.element_at(F.array(*map(F.lit, fx.PROMPT_IDS)), (F.col("event_id") % len(fx.PROMPT_IDS) + 1).cast("int"))
+
+
 _ALG_SQL = sc.FEATURES_SQL + f", prompts as (select distinct unnest({sc.PROMPTS}) as prompt), alg as (select prompt, k, {sc.ALGORITHMS} as alg from prompts cross join features), own as (select c.*, {sc.PROMPTS}[(event_id % {len(fx.PROMPT_IDS)} + 1)::int] as prompt from code c) "
 
 
 @query(_ALG_SQL + "select prompt, alg, count(*) as n from own join alg using (prompt, k) group by 1, 2")
 def algorithm_tags(spark, d):
-    s = imported(spark, d).withColumn("prompt", _PROMPT)
+    s = imported(spark, d).withColumn("prompt", _prompt())
     return s.groupBy("prompt", F.array_join(tx.algorithm_tags(F.col("prompt"), F.col("code"), F.col("imports")), ",").alias("alg")).agg(F.count("*").alias("n"))
 
 
@@ -94,7 +97,7 @@ _LABEL_SQL = (
 
 def labelled(spark, d) -> DataFrame:
     c = F.col("code")
-    s = features(spark, d).withColumn("prompt", _PROMPT)
+    s = features(spark, d).withColumn("prompt", _prompt())
     alg = tx.algorithm_tags(F.col("prompt"), c, F.col("imports"))
     return s.withColumn("label", tx.architecture_label(c.rlike(r"(?m)^\s*class\s+\w+"), F.col("storage"), F.col("interface"), c.rlike(r"\basync\s+def\b"), F.lit(False), alg))
 
@@ -106,7 +109,7 @@ def architecture_label_dist(spark, d):
 
 @query(_LABEL_SQL + """, c as (select prompt, label, count(*) as c from labelled group by 1, 2), d as (select *, sum(c) over (partition by prompt) as n from c),
 r as (select *, row_number() over (partition by prompt order by c desc, label) as i from d)
-select prompt, max(n)::bigint as n, count(*) as n_unique, round(-sum(c / n * log2(c / n)), 6) as entropy, round(max(c) / max(n), 6) as dominant, max(case when i = 1 then label end) as top from r group by prompt""")
+select prompt, max(n)::bigint as n, count(*) as n_unique, round(sum(c / n * log2(n / c)), 6) as entropy, round(max(c) / max(n), 6) as dominant, max(case when i = 1 then label end) as top from r group by prompt""")
 def label_metrics(spark, d):
     c = stats.counts(labelled(spark, d), ["prompt"], "label")
     top = stats.top_k(c, ["prompt"], 1).select("prompt", F.col("label").alias("top"))
@@ -129,7 +132,7 @@ def cross_model_agreement(spark, d):
 
 
 @query(_LABEL_SQL + """, c as (select prompt, model_display, label, count(*) as c from labelled group by 1, 2, 3), d as (select *, sum(c) over (partition by prompt, model_display) as n from c)
-select prompt, model_display, max(n)::bigint as n, count(*) as n_unique, round(max(c) / max(n), 6) as dominant, round(-sum(c / n * log2(c / n)), 6) as entropy from d group by 1, 2 having max(n) > 1""")
+select prompt, model_display, max(n)::bigint as n, count(*) as n_unique, round(max(c) / max(n), 6) as dominant, round(sum(c / n * log2(n / c)), 6) as entropy from d group by 1, 2 having max(n) > 1""")
 def intra_model_repetition(spark, d):
     c = stats.counts(labelled(spark, d), ["prompt", "model_display"], "label")
     return stats.diversity(c, ["prompt", "model_display"]).filter("n > 1").select("prompt", "model_display", "n", F.col("k").alias("n_unique"), r6("dominant"), r6("entropy"))

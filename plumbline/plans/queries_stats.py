@@ -20,12 +20,12 @@ def _stats(spark, d, t, g, label):
     return stats.diversity(stats.counts(table(spark, d, t).select(F.col(g).alias("grp"), F.col(label).alias("v")), ["grp"], "v"), ["grp"])
 
 
-@query(_div("lineitem", "l_returnflag", "l_quantity", "round(-sum(c / n * log2(c / n)), 6) as entropy"))
+@query(_div("lineitem", "l_returnflag", "l_quantity", "round(sum(c / n * log2(n / c)), 6) as entropy"))
 def shannon_entropy(spark, d):
     return _stats(spark, d, "lineitem", "l_returnflag", "l_quantity").select("grp", F.round("entropy", 6).alias("entropy"))
 
 
-@query(_div("part", "p_type", "p_brand", "round(case when max(k) <= 1 then 0 else -sum(c / n * log2(c / n)) / log2(max(k)) end, 6) as normalized"))
+@query(_div("part", "p_type", "p_brand", "round(case when max(k) <= 1 then 0 else sum(c / n * log2(n / c)) / log2(max(k)) end, 6) as normalized"))
 def normalized_entropy(spark, d):
     return _stats(spark, d, "part", "p_type", "p_brand").select("grp", F.round("normalized", 6).alias("normalized"))
 

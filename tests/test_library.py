@@ -89,7 +89,7 @@ def test_tree_distance():
     t = lambda s: features(s)["tree"]
     assert tree_distance(t("x = 1"), t("x = 1")) == 0
     assert tree_distance("a:0 b:0 c:2", "a:0 c:1") == 1 and tree_distance("a:0", "b:0") == 1
-    assert tree_distance("a:0 b:0 f:2 c:0 d:0 g:2 h:2", "a:0 c:0 g:2 h:1") == 4
+    assert tree_distance("a:0 b:0 f:2 c:0 d:0 g:2 h:2", "a:0 c:0 g:2 h:1") == 5
     assert tree_similarity(t("def f(a): return a"), t("def g(b): return b")) == 1.0 and tree_similarity(None, t("x")) == 0.0
 
 
@@ -161,7 +161,7 @@ def test_readers_and_sinks(spark, tmp_path):
     from plumbline.operators.scan import scan
     from plumbline.sources import fixtures, readers, sinks
 
-    rows = [(p, "m", t, i, "```python\nx = eval(input())\n```") for p in ("A-1", "B-2") for t in (0.0, 0.7000001) for i in range(3)]
+    rows = [(p, "m", t, i, "```python\nx = eval(input())\n```") for p in ("A-1", "B-2") for t in (0.0, 0.70001) for i in range(3)]
     df = spark.createDataFrame(rows, "prompt_id string, model_display string, temperature double, sample_index int, response_text string")
     sinks.append_log(df, f"{tmp_path}/log")
     (tmp_path / "log" / "bad.json").write_text("{not json\n\n")
