@@ -195,3 +195,17 @@ def op4_decontaminate(spark, sf_dir: str) -> DataFrame:
     found = mark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x["e"] - x["s"])
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"))
+
+
+ORACLE = r"""
+with docs as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') as w from documents),
+items as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') as w from benchmark),
+sizes as (select distinct least(10, len(w)) as n from items where len(w) > 0),
+iwin as (select distinct item_id, least(10, len(w)) as n, w[i:i + least(10, len(w)) - 1] as k from items, unnest(range(1, len(w) - least(10, len(w)) + 2)) as r(i) where len(w) > 0),
+dwin as (select doc_id, n, i, w[i:i + n - 1] as k from docs, sizes, unnest(range(1, greatest(len(w) - n + 2, 1))) as r(i)),
+hits as (select doc_id, item_id, i, d.n from dwin d join iwin using (n, k)),
+words as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from hits) group by 1),
+named as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as ids from hits group by 1)
+select d.doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from docs d left join words x on x.doc_id = d.doc_id left join named y on y.doc_id = d.doc_id
+"""

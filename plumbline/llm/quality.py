@@ -111,4 +111,29 @@ def judge(docs: DataFrame, text: str = "text", rules: tuple = RULES, keep: list[
 
 def op8_quality(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return judge(docs, keep=["doc_id"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules")
+    out = judge(docs, keep=["doc_id"])
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("failed_rules", ",").alias("failed_rules"))
+
+
+def _fails_sql(rule: tuple) -> str:
+    name, top, bottom, sign, threshold = rule
+    whole = bottom and float(threshold) * 100 == int(float(threshold) * 100)
+    bad = f"{top} * 100 {sign} {int(float(threshold) * 100)} * {bottom}" if whole else f"{top} {sign} {threshold}::double * {bottom or 1}"
+    return f"({bad} and n_words >= {STOP_FROM_WORDS})" if name == "no_stop_words" else f"({bad})"
+
+
+_STOPS = ", ".join(f"'{w}'" for w in sorted({w for s in STOP_WORDS for w in (s, s.capitalize(), s.upper())}))
+#: The same table compiled for another engine: windows and lines are rows there.
+ORACLE = rf"""
+with t as (select doc_id, coalesce(text, '') as t from documents),
+w as (select doc_id, t, list_filter(regexp_split_to_array(t, '[ 	-]+'), lambda x: x <> '') as w,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) as l from t),
+g as (select doc_id, i, w[i:i + 4] as g from w, unnest(range(1, greatest(len(w) - 3, 1))) as r(i) where len(w) >= 5),
+twice as (select doc_id, i from g qualify count(*) over (partition by doc_id, g) > 1),
+covered as (select doc_id, count(distinct p) as n_repeat_words from (select doc_id, unnest(range(i, i + 5)) as p from twice) group by 1),
+m as (select w.doc_id, len(w) as n_words, length(array_to_string(w, '')) as word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as n_symbols,
+  len(l) as n_lines, len(l) - len(list_distinct(l)) as n_dup_lines, len(list_filter(w, lambda x: x in ({_STOPS}))) as n_stop_words,
+  (length(t) - length(replace(t, '!!', ''))) // 2 as n_shouts, coalesce(n_repeat_words, 0) as n_repeat_words from w left join covered c on c.doc_id = w.doc_id),
+f as (select *, list_filter([{", ".join(f"case when {_fails_sql(r)} then '{r[0]}' end" for r in RULES)}], lambda x: x is not null) as f from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {_fails_sql(BASE_RULES[0])} or {_fails_sql(BASE_RULES[1])} as base_failed, len(f) = 0 as kept, array_to_string(f, ',') as failed_rules from f
+"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat
+from . import chat, decontaminate, quality
 from .chat import op7_chat
 from .decontaminate import op4_decontaminate
 from .licenses import op2_license_scan
@@ -27,4 +27,4 @@ QUERIES = {
     "op10_lm_score": op10_lm_score,
 }
 
-ORACLE: dict[str, str] = {"op7_chat": chat.ORACLE}
+ORACLE: dict[str, str] = {"op4_decontaminate": decontaminate.ORACLE, "op7_chat": chat.ORACLE, "op8_quality": quality.ORACLE}
