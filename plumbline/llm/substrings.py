@@ -46,8 +46,8 @@ LENGTH, GRAM = 400, 64
 BLOCKS = (64, 8, 1)
 #: Different segments of one anchor gram that one task sorts; grams with more are searched by counting.
 GROUP = 128
-#: Rows with lists of places up to this many are broadcast to the scan; more are joined by a shuffle.
-BROADCAST_ROWS = 400_000
+#: Lists of places with up to this many entries in all (counted) are broadcast to the scan; more are joined by a shuffle.
+BROADCAST_ENTRIES = 1_000_000
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BASE = 0x2545F4914F6CDD1D
 
@@ -361,25 +361,33 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", length: i
 
 def _joined(keyed: DataFrame, lists: DataFrame, how: str = "inner") -> DataFrame:
     lists = lists.withColumnsRenamed({"r1": "l1", "r2": "l2"})
-    side = F.broadcast(lists) if lists.count() <= BROADCAST_ROWS else lists
+    side = F.broadcast(lists) if (lists.agg(F.sum(F.size("x"))).first()[0] or 0) <= BROADCAST_ENTRIES else lists
     return keyed.join(side, (F.col("r1") == F.col("l1")) & (F.col("r2") == F.col("l2")), how)
 
 
 def kept_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """doc_id, n_bytes, removed (maximal removed runs: start, end bytes), kept (remaining bytes) for every row."""
     spans = repeated(docs, key, text, length, gram, group).groupBy("r1", "r2").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("x"))
-    kind = dict(docs.dtypes)[key]
+    kind, run_type = dict(docs.dtypes)[key], pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, removed, kept = [], [], []
-            for x, t in zip(b.column(1), b.column(2), strict=True):
-                data, runs = t.as_py(), []
-                for y in x.as_py() or ():
+            out = []
+            for x in b.column(2).to_pylist():
+                runs: list[dict] = []
+                for y in x:
                     if runs and y["s"] <= runs[-1]["e"]:
                         runs[-1]["e"] = max(runs[-1]["e"], y["e"])
                     else:
-                        runs.append({"s": y["s"], "e": y["e"]})
+                        runs.append(y)
+                out.append(runs)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, run_type)], names=["r1", "r2", "x"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, removed, kept = [], [], []
+            for x, t in zip(b.column(1), b.column(2), strict=True):
+                data, runs = t.as_py(), x.as_py() or []
                 at, left = 0, []
                 for y in runs:
                     left.append(data[at : y["s"]])
@@ -387,10 +395,11 @@ def kept_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", length:
                 n.append(len(data))
                 removed.append(runs)
                 kept.append(b"".join([*left, data[at:]]))
-            cols = [b.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))), pa.array(kept, pa.binary())]
+            cols = [b.column(0), pa.array(n, pa.int64()), pa.array(removed, run_type), pa.array(kept, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_bytes", "removed", "kept"])
 
-    joined = _joined(_keyed(docs, key, text), written(spans, "spans"), "left")
+    spans = written(spans.mapInArrow(merge, "r1 long, r2 long, x array<struct<s:bigint,e:bigint>>"), "spans")
+    joined = _joined(_keyed(docs, key, text), spans, "left")
     return joined.select("doc_id", "x", F.col("text").cast("binary").alias("t")).mapInArrow(run, f"doc_id {kind}, n_bytes long, removed array<struct<s:bigint,e:bigint>>, kept binary")
 
 
