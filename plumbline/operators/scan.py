@@ -22,23 +22,39 @@ def rule_findings(code: Column) -> Column:
 
     A rule's patterns are tried in turn and the first with any line stands for it. The fixed
     patterns are literals, compiled once; a pattern walks the lines only where the whole code
-    has a match at all.
+    has a match at all. Lines, the line found and its text are bound, so each is made once.
     """
-    lines = F.split(code, "\n")
-    found = []
-    for cwe, name, patterns in vocab.WEAKNESS_RULES:
-        line = F.coalesce(*[F.when(code.rlike("(?i)" + p), _first_line(lines, p)) for p in patterns])
-        if cwe in vocab.RULE_EXCLUDED_BY:
-            line = F.when(~code.rlike(vocab.RULE_EXCLUDED_BY[cwe]), line)
-        matched = F.substr(tx.strip(F.get(lines, line - 1)), F.lit(1), F.lit(120))
-        label = tx.normalize_cwe(F.lit(cwe))
-        found.append(F.when(line.isNotNull(), F.struct(label.alias("cwe"), F.lit(name).alias("rule"), line.cast("int").alias("line"), matched.alias("matched"), tx.sink_signature(matched).alias("sink"), tx.severity_of(label).alias("severity"), F.lit("regex").alias("detector"))))
-    return F.array_compact(F.array(*found)).cast(FINDING)
+
+    def in_lines(lines: Column) -> Column:
+        found = []
+        for cwe, name, patterns in vocab.WEAKNESS_RULES:
+            line = F.coalesce(*[F.when(code.rlike("(?i)" + p), _first_line(lines, p)) for p in patterns])
+            if cwe in vocab.RULE_EXCLUDED_BY:
+                line = F.when(~code.rlike(vocab.RULE_EXCLUDED_BY[cwe]), line)
+            found.append(tx.bind(line, _finding(tx.normalize_cwe(F.lit(cwe)), name, lines)))
+        return F.array_compact(F.array(*found))
+
+    return tx.bind(F.split(code, "\n"), in_lines).cast(FINDING)
+
+
+def _finding(label: Column, name: str, lines: Column):
+    def made(line: Column) -> Column:
+        def with_text(m: Column) -> Column:
+            return F.struct(label.alias("cwe"), F.lit(name).alias("rule"), line.cast("int").alias("line"), m.alias("matched"), tx.sink_signature(m).alias("sink"), tx.severity_of(label).alias("severity"), F.lit("regex").alias("detector"))
+
+        return F.when(line.isNotNull(), tx.bind(F.substr(tx.strip(F.get(lines, line - 1)), F.lit(1), F.lit(120)), with_text))
+
+    return made
 
 
 def scan(samples: DataFrame, code: str = "code") -> DataFrame:
-    """samples with findings and the fields derived from them; samples that are clean stay, with empty arrays."""
-    return derived(samples.withColumn("findings", rule_findings(F.col(code))))
+    """samples with findings and the fields derived from them; samples that are clean stay, with empty arrays.
+
+    Each distinct code is scanned once: repeated answers are common, and the distinct codes are
+    found by partial aggregation before anything is scanned.
+    """
+    once = derived(samples.select(F.col(code).alias("code_")).distinct().withColumn("findings", rule_findings(F.col("code_"))))
+    return samples.join(once, F.col(code) == F.col("code_")).drop("code_")
 
 
 def derived(scanned: DataFrame) -> DataFrame:
