@@ -10,8 +10,8 @@ slots; the r-th slot of a source takes its r-th block, going round the line at m
 document's taken words are what its blocks' slots take of it.
 
 Ranks and running sums are exact and spread: the schedule is ranked by counting within
-ranges of slots, documents by hash buckets within a source, so no window holds more than
-about `bucket_rows` rows however many rows one source has. Only the table of sources (one
+ranges of slots, documents within hash buckets, as many as the root of the row count, and
+buckets by their sums; so no window holds more than about that root, even for one source. Only the table of sources (one
 row each) is ordered in one task. Texts are never shuffled, only their sizes.
 
 Edge cases: null or blank texts have size 0 and nothing taken; null sources are one
@@ -22,6 +22,8 @@ gives an empty result; extra columns are kept by `mix` unless they bear its name
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,7 +33,6 @@ WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2.0
 SLOTS = 100_000
 GOLDEN = 0.6180339887498949
-BUCKET_ROWS = 20_000
 
 
 def size_of(text: Column) -> Column:
@@ -86,10 +87,9 @@ def schedule(shares: DataFrame, slots: int = SLOTS) -> DataFrame:
     return inner.join(base, ["place", "range"]).select("place", (F.col("base") + F.col("k")).alias("r"))
 
 
-def lines(sized: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def lines(sized: DataFrame) -> DataFrame:
     """Adds a, b: where each row starts and ends on its source's line of words, in hash order."""
-    n = sized.count()
-    buckets = max(1, -(-n // bucket_rows)) * 4
+    buckets = max(1, math.isqrt(sized.count()))
     h = sized.withColumn("h", F.xxhash64(F.lit(7), "doc_id", "size")).withColumn("bucket", F.pmod("h", F.lit(buckets)))
     sums = h.groupBy("place", "bucket").agg(F.sum("size").alias("s"))
     base = sums.select("place", "bucket", (F.sum("s").over(Window.partitionBy("place").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("s")).alias("base"))
