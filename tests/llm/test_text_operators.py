@@ -161,6 +161,18 @@ def test_tokens(spark, docs, empty):
     assert token_counts(empty).count() == 0
 
 
+def test_other_tokenizers(docs):
+    import public_tokenizers
+    import sentencepiece
+    from tokenizers import Tokenizer
+    from plumbline.llm.tokens import token_counts
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    for name, count in (("piece_bpe_32k.model", lambda t: len(sp.encode(t))), ("word_bpe_49k.json", lambda t: len(tok.encode(t, add_special_tokens=False)))):
+        same(token_counts(docs, path=public_tokenizers.path(name)), [(r.doc_id, count(r.text or "")) for r in docs.collect()], ["doc_id", "n_tokens"])
+
+
 def test_token_split_agrees_with_the_library():
     import regex
     from tokenizers import Tokenizer
