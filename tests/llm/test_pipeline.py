@@ -100,3 +100,15 @@ def test_run_gives_the_last_stage(stages, spark):
 
     got = sorted((r.doc_id, r.taken) for r in corpus_pipeline.run(spark, DATA).collect())
     assert got == sorted((r.doc_id, r.taken) for r in stages["mixing"])
+
+
+def test_odd_rows_and_an_empty_table(spark, docs, empty):
+    import corpus_pipeline
+
+    for table in (docs, empty):
+        out = table
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, out, DATA)
+            if name != "mixing":
+                assert out.columns == corpus_pipeline.COLUMNS
+        out.collect()
