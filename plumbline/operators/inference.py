@@ -30,13 +30,11 @@ def bootstrap_mean(values: DataFrame, group: list[str], key: str, value: str, b:
 
 def leave_one_out_match(counted: DataFrame, group: list[str], part: str) -> DataFrame:
     """Match rate of labels in each group without each part, and with all (null): from counts (group, part, label, c), subtracted."""
-    w_label, w_all = Window.partitionBy(*group, "label"), Window.partitionBy(*group)
-    c = counted.withColumn("t", F.sum("c").over(w_label))
+    c = counted.withColumn("t", F.sum("c").over(Window.partitionBy(*group, "label")))
     totals = counted.groupBy(*group, "label").agg(F.sum("c").alias("t")).groupBy(*group).agg(F.sum("t").alias("n"), F.sum(F.col("t") * (F.col("t") - 1)).alias("same"))
     less = c.groupBy(*group, part).agg(F.sum("c").alias("gone"), F.sum((F.col("t") - F.col("c")) * (F.col("t") - F.col("c") - 1) - F.col("t") * (F.col("t") - 1)).alias("change"))
     rate = lambda s, n: F.when(n > 1, s / (n * (n - 1)))
     out = less.join(totals, group).select(*group, part, (F.col("n") - F.col("gone")).alias("n"), rate(F.col("same") + F.col("change"), F.col("n") - F.col("gone")).alias("match_rate"))
-    del w_all
     return out.unionByName(totals.select(*group, F.lit(None).cast("string").alias(part), "n", rate(F.col("same"), F.col("n")).alias("match_rate")))
 
 

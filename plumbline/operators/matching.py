@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,6 +60,3 @@ def quota(df: DataFrame, part: list[str], key: str, cap: int) -> DataFrame:
     """The first cap rows of each part in key order, after duplicates."""
     return df.withColumn("place", F.row_number().over(Window.partitionBy(*part).orderBy(key)).cast("long")).filter(F.col("place") <= cap)
 
-
-def score(similarity: float, n: int) -> float:
-    return similarity * math.log1p(n)

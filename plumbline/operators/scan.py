@@ -98,14 +98,12 @@ def signature_homogeneity(scanned: DataFrame, group: list[str], only_vulnerable:
     """
     s = scanned.filter("is_vulnerable") if only_vulnerable else scanned
     c = s.groupBy(*group, signature_text(F.col("pattern_signature")).alias("sig")).agg(F.count("*").alias("c"))
-    n = F.sum("c")
     p = F.col("c") / F.col("n")
     total = c.withColumn("n", F.sum("c").over(Window.partitionBy(*group)))
     a = total.groupBy(*group).agg(
         F.max("n").alias("n"), F.count("*").alias("n_unique"), F.sum(F.col("c") * (F.col("c") - 1)).alias("same"),
         F.sum(F.when(F.col("sig") != "", F.col("c") * (F.col("c") - 1)).otherwise(0)).alias("same_nonempty"), F.exp(-F.sum(p * F.log(p))).alias("effective"),
     )
-    del n
     pairs = F.when(F.col("n") > 1, F.col("n") * (F.col("n") - 1))
     return a.filter("n > 1").select(*group, "n", "n_unique", (F.col("same") / pairs).alias("match_rate"), (F.col("same_nonempty") / pairs).alias("match_rate_nonempty"), "effective")
 
