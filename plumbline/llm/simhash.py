@@ -130,7 +130,9 @@ def forest(members: np.ndarray, open_bytes: tuple[int, int]) -> tuple[np.ndarray
 
 def links(fps: DataFrame) -> DataFrame:
     """a, b: a spanning set of the links between distinct fingerprints (column fp) at most two bits apart."""
-    posted = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(c).cast("tinyint").alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for c, m in enumerate(MASKS)])).alias("p"))
+    # One row becomes 28: spread the rows first, as adaptive execution sees only how small they are.
+    spread = fps.repartition(max(1, int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    posted = spread.select("fp", F.explode(F.array(*[F.struct(F.lit(c).cast("tinyint").alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for c, m in enumerate(MASKS)])).alias("p"))
     lists = posted.groupBy("p.c", "p.key").agg(F.collect_list("fp").alias("m")).filter(F.size("m") > 1).select("c", "m")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
