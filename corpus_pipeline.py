@@ -18,6 +18,7 @@ from plumbline.llm.quality import judge
 from plumbline.llm.simhash import near_duplicates
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+BROADCAST_IDS = 1_000_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,9 +27,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each SimHash component."""
-    first = near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(first, "doc_id", "left_semi")
+    """The document with the least doc_id of each SimHash component.
+
+    The others' ids, the smaller part, are joined out: broadcast up to BROADCAST_IDS, by a
+    shuffle beyond. Repeated rows of one doc_id are one document; rows without an id stay, as
+    they cannot be named.
+    """
+    others = written(near_duplicates(docs).filter("doc_id <> component_id").select("doc_id").distinct(), "duplicates")
+    side = F.broadcast(others) if others.count() <= BROADCAST_IDS else others
+    return docs.select(*COLUMNS).join(side, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
