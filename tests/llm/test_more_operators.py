@@ -146,3 +146,17 @@ def test_lm_scores(spark, docs, empty):
         assert r.n_tokens == len(w) and abs(r.score - (r.loss_target - r.loss_background)) < 1e-9
     assert scores(empty, good).count() == 0
     assert scores(docs, good.limit(0)).count() == len(rows)
+
+
+def test_lm_counts_are_exact_beyond_any_fixed_number_of_classes(spark):
+    from plumbline.llm.lm_score import ALPHA, MU, scores
+    from pyspark.sql import functions as F
+
+    docs, each = 300, 4000  # 1.2 million words, contexts and pairs, all different but for the starts of texts
+    df = spark.range(docs).select(F.col("id").alias("doc_id"), F.expr(f"array_join(transform(sequence(0, {each - 1}), i -> concat('w', id * {each} + i)), ' ')").alias("text"))
+    got = scores(df, df.filter("doc_id < 0")).collect()
+    n = docs * each
+    p = (1 + ALPHA) / (n + ALPHA * n)
+    want = -((each - 1) * math.log((1 + MU * p) / (1 + MU)) + math.log((1 + MU * p) / (docs + MU))) / each
+    assert len(got) == docs and all(r.n_tokens == each and abs(r.loss_background - want) < 1e-9 for r in got)
+    assert all(abs(r.loss_target + math.log(ALPHA / (ALPHA * n))) < 1e-9 for r in got)
