@@ -1,20 +1,19 @@
 """License scan by a positional rare-token index.
 
-The licence templates' own words (function words left out) form the index: word -> postings
-(template, position). Document frequencies of those words, counted over the whole corpus,
-order them by IDF. Each file looks up its `RARE` highest-IDF licence words, intersects their
-postings by relative position (file position minus template position), keeps templates that
-at least `ALIGNED` look-ups agree on at one offset, and verifies the template's mandatory key
+The licence templates' own words (function words, the frequent ones, left out) form the index:
+word -> postings (template, position). Each file looks up every index word it holds, wherever
+it stands, so a long file or one of many licences loses none; it intersects the postings by
+relative position (file position minus template position), keeps templates that at least
+`ALIGNED` look-ups agree on at one offset, and verifies the template's mandatory key
 phrases in the file. The score is the share of the template's indexed words that stand at
 their places, or 1 where a base phrase stands.
 
-All steps are built-in functions on one row: one scan counts frequencies (combined before
-the shuffle to one row a word and task), one scan decides; texts never move. The index is
+All steps are built-in functions on one row, in one scan; texts never move. The index is
 the templates', a fixed size; nothing grows with the data.
 
 Edge cases: null texts are empty; blank texts have no words and score 0; repeated rows are
 judged each; an empty table gives an empty result; extra columns are ignored or passed on by
-`keep`; ties in IDF are ordered by word. Texts are scanned whole.
+`keep`. Texts are scanned whole.
 """
 
 from __future__ import annotations
@@ -47,7 +46,7 @@ TEMPLATES = (
     ("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
 )
 FUNCTION_WORDS = frozenset("a an and any are as at be by can for in into is it not of or that the this to under you".split())
-RARE, ALIGNED = 12, 3
+ALIGNED = 3
 
 
 def index(templates: tuple = TEMPLATES) -> dict[str, list[tuple[int, int]]]:
@@ -63,13 +62,6 @@ def license_words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), PUNCT_RE), "")
 
 
-def rarest_first(docs: DataFrame, text: str, vocabulary: list[str]) -> list[str]:
-    """The index's words by IDF over all documents, rarest first; the list is the index's size."""
-    hits = docs.select(F.explode(F.array_intersect(license_words(F.col(text)), F.array(*map(F.lit, vocabulary)))).alias("w"))
-    df = {r.w: r.n for r in hits.groupBy("w").agg(F.count("*").alias("n")).collect()}
-    return sorted(vocabulary, key=lambda w: (df.get(w, 0), w))
-
-
 def starts(w: Column, phrase: str) -> Column:
     """Positions where the phrase's words stand consecutively."""
     first, *rest = phrase.split()
@@ -88,23 +80,23 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None, tem
     names, row = packed(docs, ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "found"), keep)
     keep = ["row__"]
     postings = index(templates)
-    ranked = rarest_first(docs, text, sorted(postings))
+    vocabulary = F.array(*map(F.lit, sorted(postings)))
     words = let(docs, row__=row, w=license_words(F.col(text)))
     places = [starts(F.col("w"), p) for p, _ in BASE]
     none = F.array().cast("array<int>")
     based = let(
         words, *keep, "w",
-        rare=F.slice(F.array_intersect(F.array(*map(F.lit, ranked)), "w"), 1, RARE),
+        rare=F.array_intersect(vocabulary, "w"),
         base=F.when(F.array_contains("w", "license"), F.array(*places)).otherwise(F.array(*[none] * len(BASE))),
     )
-    posted = F.create_map(*[x for w in ranked for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in postings[w]]))])
+    posted = F.create_map(*[x for w, at in postings.items() for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in at]))])
     hits = F.flatten(
         F.transform(
             F.filter(F.transform("w", lambda x, i: F.when(F.array_contains("rare", x), F.struct(x.alias("w"), i.alias("i")))), lambda x: x.isNotNull()),
             lambda h: F.transform(F.element_at(posted, h["w"]), lambda q: F.struct(q["t"].alias("t"), (h["i"] - q["p"]).alias("o"))),
         )
     )
-    aligned = let(based, *keep, "w", "base", hits=F.when(F.size("rare") >= ALIGNED, F.sort_array(hits)).otherwise(F.array().cast("array<struct<t:int,o:int>>")))
+    aligned = let(based, *keep, "w", "base", hits=F.when(F.size("rare") > 0, F.sort_array(hits)).otherwise(F.array().cast("array<struct<t:int,o:int>>")))
     # Sorted hits: the first of a run of at least ALIGNED equal ones stands for its template and offset.
     heads = F.filter("hits", lambda x, i: F.coalesce(F.get("hits", i + ALIGNED - 1) == x, F.lit(False)) & (F.get("hits", i - 1).isNull() | (F.get("hits", i - 1) != x)))
     lined = let(aligned, *keep, "w", "base", lined=F.transform(heads, lambda x: F.struct(x["t"].alias("t"), x["o"].alias("o"))), line=F.when(F.size("hits") >= ALIGNED, F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" "))).otherwise(""))

@@ -94,6 +94,18 @@ def test_license_scan(spark, docs, empty):
     assert out.filter("score < 0 or score > 1").count() == 0 and scan(empty).count() == 0
 
 
+def test_license_scan_of_files_with_many_licences(spark):
+    from plumbline.llm.licenses import TEMPLATES, scan
+
+    bodies = [t for _, t, _ in TEMPLATES]
+    pairs = [(i, j) for i in range(len(bodies)) for j in range(len(bodies)) if i != j]
+    rows = [(-1, ". ".join(bodies))] + [(k, f"Words {bodies[i]}. And {bodies[j]} etc") for k, (i, j) in enumerate(pairs)]
+    got = {r.doc_id: set(r.labels.split(",")) for r in scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[-1] == {t[0] for t in TEMPLATES}
+    for k, (i, j) in enumerate(pairs):
+        assert {TEMPLATES[i][0], TEMPLATES[j][0]} <= got[k], (bodies[i], bodies[j], got[k])
+
+
 def test_chats(spark):
     from plumbline.llm.chat import maximal_chats
 
