@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import inference, kernels, matching, pools, stats
 from ..sources import fixtures as fx
-from .registry import query, table
+from .registry import ORACLE, query, table
 
 
 def r6(c, name=None):
@@ -300,7 +300,17 @@ c as (select prompt, trace, count(*) as c from t where ok > 0 group by 1, 2), d
 select prompt, max(n)::bigint as n, count(*) as clusters, round(exp(-sum(c / n * ln(c / n))), 6) as effective from d group by 1""")
 def trace_effective_size(spark, d):
     """Effective number of behaviours among runs with a passing case; a trace is a user's outcomes in order."""
-    e = table(spark, d, "events").filter("event_id < 3000").select("user_id", "event_id", F.when(F.col("event_type") == "error", "ERR").otherwise(F.concat(F.lit("OK:"), (F.col("event_id") % 3).cast("string"))).alias("r"))
+    return _traces(table(spark, d, "events").filter("event_id < 3000"))
+
+
+def _traces(events):
+    e = events.select("user_id", "event_id", F.when(F.col("event_type") == "error", "ERR").otherwise(F.concat(F.lit("OK:"), (F.col("event_id") % 3).cast("string"))).alias("r"))
     t = e.groupBy((F.col("user_id") % 10).alias("prompt"), "user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", "r"))).alias("s"))
     t = t.select("prompt", F.array_join(F.transform("s", lambda x: x["r"]), ";").alias("trace"), F.exists("s", lambda x: x["r"] != "ERR").alias("ok")).filter("ok")
     return stats.diversity(stats.counts(t, ["prompt"], "trace"), ["prompt"]).select("prompt", "n", F.col("k").alias("clusters"), r6("effective"))
+
+
+@query(ORACLE["trace_effective_size"].replace("where event_id < 3000 ", ""))
+def trace_effective_size_whole(spark, d):
+    """The same over every event of the table."""
+    return _traces(table(spark, d, "events"))
