@@ -71,6 +71,36 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     return a.select("n", "rho", (1 - 6 * F.col("d2") / (F.col("n") * (F.col("n") * F.col("n") - 1))).alias("rho_formula"))
 
 
+def counted_ranks(values: DataFrame, ranges: int = 64) -> DataFrame:
+    """v, r: the tie-averaged rank of each value of the counts v, c; no task holds more than a range of the values.
+
+    The cuts between ranges are approximate quantiles; where they lie does not change a rank.
+    """
+    v = F.col("v").cast("double")
+    cuts = sorted(set(values.select(v.alias("v")).approxQuantile("v", [i / ranges for i in range(1, ranges)], 0.2 / ranges)))
+    ranged = values.withColumn("part", sum((F.when(v > q, 1).otherwise(0) for q in cuts), F.lit(0)))
+    before = ranged.groupBy("part").agg(F.sum("c").alias("here"))
+    before = before.select("part", (F.sum("here").over(Window.orderBy("part")) - F.col("here")).alias("before"))  # one row a range
+    upto = F.sum("c").over(Window.partitionBy("part").orderBy("v"))
+    return ranged.withColumn("upto", upto).join(F.broadcast(before), "part").select("v", (F.col("before") + F.col("upto") - (F.col("c") - 1) / 2).alias("r"))
+
+
+def spearman_counted(df: DataFrame, x: str, y: str) -> DataFrame:
+    """What spearman gives, from counts of the distinct pairs and values: for tables too large to rank in one task."""
+    both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y))
+    counted = pairs = both.groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("c"))
+    for k in ("x", "y"):
+        ranks = counted_ranks(counted.groupBy(F.col(k).alias("v")).agg(F.sum("c").alias("c"))).select(F.col("v").alias(k), F.col("r").alias(f"r{k}"))
+        pairs = pairs.join(ranks, k)
+    n = pairs.agg(F.sum("c").alias("n"))
+    d = pairs.crossJoin(F.broadcast(n)).select("n", "c", (F.col("rx") - (F.col("n") + 1) / 2).alias("x"), (F.col("ry") - (F.col("n") + 1) / 2).alias("y"))
+    total = lambda v: F.sum(F.col("c") * v)
+    x_, y_ = F.col("x"), F.col("y")
+    a = d.agg(F.sum("c").alias("n"), (total(x_ * y_) / F.sqrt(total(x_ * x_) * total(y_ * y_))).alias("rho"), total((x_ - y_) * (x_ - y_)).alias("d2"))
+    size = F.col("n").cast("double")
+    return a.select("n", "rho", (1 - 6 * F.col("d2") / (size * (size * size - 1))).alias("rho_formula"))
+
+
 def normal_two_sided(z: Column) -> Column:
     """erfc(|z|/sqrt 2) by the Abramowitz-Stegun rational form 7.1.26; absolute error below 2e-7."""
     x = F.abs(z) / math.sqrt(2)

@@ -94,14 +94,26 @@ n as (select lang, doc_id, sum(c) as n from c group by 1, 2), s as (select a.lan
 select p.lang, p.doc_id as a, r.doc_id as b, round(coalesce(common, 0) / (p.n + r.n - coalesce(common, 0)), 6) as j from n p join n r on p.lang = r.lang and p.doc_id < r.doc_id left join s on s.a = p.doc_id and s.b = r.doc_id""")
 def multiset_jaccard(spark, d):
     """Multiset Jaccard of character pairs inside one source, from counts joined on the pair."""
-    t = table(spark, d, "documents").filter("source = 'src0'").select("lang", "doc_id", F.explode(tx.char_ngrams(F.col("text"), 2)).alias("g"))
-    c = t.groupBy("lang", "doc_id", "g").agg(F.count("*").alias("c"))
-    n = c.groupBy("lang", "doc_id").agg(F.sum("c").alias("n"))
-    a, b = c.select("lang", "g", F.col("doc_id").alias("a"), F.col("c").alias("ca")), c.select("lang", "g", F.col("doc_id").alias("b"), F.col("c").alias("cb"))
-    s = a.join(b, ["lang", "g"]).filter("a < b").groupBy("lang", "a", "b").agg(F.sum(F.least("ca", "cb")).alias("both"))
-    p = n.select("lang", F.col("doc_id").alias("a"), F.col("n").alias("na")).join(n.select("lang", F.col("doc_id").alias("b"), F.col("n").alias("nb")), "lang").filter("a < b")
+    return _multisets(table(spark, d, "documents").filter("source = 'src0'"), ["lang"])
+
+
+def _multisets(docs, group):
+    t = docs.select(*group, "doc_id", F.explode(tx.char_ngrams(F.col("text"), 2)).alias("g"))
+    c = t.groupBy(*group, "doc_id", "g").agg(F.count("*").alias("c"))
+    n = c.groupBy(*group, "doc_id").agg(F.sum("c").alias("n"))
+    a, b = c.select(*group, "g", F.col("doc_id").alias("a"), F.col("c").alias("ca")), c.select(*group, "g", F.col("doc_id").alias("b"), F.col("c").alias("cb"))
+    s = a.join(b, [*group, "g"]).filter("a < b").groupBy(*group, "a", "b").agg(F.sum(F.least("ca", "cb")).alias("both"))
+    p = n.select(*group, F.col("doc_id").alias("a"), F.col("n").alias("na")).join(n.select(*group, F.col("doc_id").alias("b"), F.col("n").alias("nb")), group).filter("a < b")
     both = F.coalesce("both", F.lit(0))
-    return p.join(s, ["lang", "a", "b"], "left").select("lang", "a", "b", r6(both / (F.col("na") + F.col("nb") - both), "j"))
+    return p.join(s, [*group, "a", "b"], "left").select(*group, "a", "b", r6(both / (F.col("na") + F.col("nb") - both), "j"))
+
+
+@query("""with t as (select doc_id, lang, source, text, unnest(range(1, length(text))) as i from documents where length(text) >= 2), c as (select lang, source, doc_id, substr(text, i, 2) as g, count(*) as c from t group by 1, 2, 3, 4),
+n as (select lang, source, doc_id, sum(c) as n from c group by 1, 2, 3), s as (select a.doc_id as a, b.doc_id as b, sum(least(a.c, b.c)) as common from c a join c b on a.lang = b.lang and a.source = b.source and a.g = b.g and a.doc_id < b.doc_id group by 1, 2)
+select p.lang, p.source, p.doc_id as a, r.doc_id as b, round(coalesce(common, 0) / (p.n + r.n - coalesce(common, 0)), 6) as j from n p join n r on p.lang = r.lang and p.source = r.source and p.doc_id < r.doc_id left join s on s.a = p.doc_id and s.b = r.doc_id""")
+def multiset_jaccard_pools(spark, d):
+    """Multiset Jaccard of character pairs inside every pool of a language and a source."""
+    return _multisets(table(spark, d, "documents"), ["lang", "source"])
 
 
 @query(sc.SCAN_SQL + ", c as (select prompt_id, model_display, count(*) as n, count(distinct cwes) as sets from scanned where vulnerable group by 1, 2 having count(*) > 1), r as (select *, row_number() over (order by n desc, prompt_id, model_display) as i from c) select prompt_id, model_display, n, sets from r where i <= 10")

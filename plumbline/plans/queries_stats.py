@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import stats
-from .registry import query, table
+from .registry import ORACLE, query, table
 
 _DIV = """with c as (select {g} as grp, {l} as label, count(*) as c from {t} group by 1, 2),
 d as (select *, sum(c) over (partition by grp) as n, row_number() over (partition by grp order by c, label) as i, count(*) over (partition by grp) as k from c)
@@ -75,6 +75,13 @@ def rank_correlation(spark, d):
     return stats.spearman(one, "l_quantity", "l_extendedprice").select("n", F.round("rho", 6).alias("rho"), F.round("rho_formula", 6).alias("rho_formula"))
 
 
+@query(ORACLE["rank_correlation"].replace(" where l_linenumber = 1", ""))
+def rank_correlation_whole(spark, d):
+    """Over every row of the table, ranked from counts of the distinct values."""
+    c = stats.spearman_counted(table(spark, d, "lineitem"), "l_quantity", "l_extendedprice")
+    return c.select("n", F.round("rho", 6).alias("rho"), F.round("rho_formula", 6).alias("rho_formula"))
+
+
 @query("""with a as (select p_brand as grp, (avg(p_retailprice) - 1400) / 100 as z from part group by p_type, p_brand)
 select grp, round(sum(z) / sqrt(count(*)), 6) as z from a group by grp""")
 def stouffer_z(spark, d):

@@ -155,6 +155,28 @@ def test_regressions(spark):
     assert abs(r["x"] - 3) < 0.02 and abs(r["residual"] - 0.01) < 0.003 and 3 < r["group_variance"] < 7
 
 
+def test_whole_tables_are_covered(spark, duck, tmp_path):
+    """Rows that the older queries leave out count in the whole ones: ids of 3000 and over, other sources, other lines."""
+    import collections
+
+    e = catalogue()[1]
+    rnd = random.Random(8)
+    rows = [(rnd.randrange(60), i * 7, rnd.choice(["error", "view"])) for i in range(1200)]
+    spark.createDataFrame(rows, "user_id long, event_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    traces, pools = collections.defaultdict(list), collections.defaultdict(collections.Counter)
+    for u, i, t in rows:
+        traces[u].append("ERR" if t == "error" else f"OK:{i % 3}")
+    for u, t in traces.items():
+        if set(t) != {"ERR"}:
+            pools[u % 10][";".join(t)] += 1
+    got = {r.prompt: (r.n, r.clusters) for r in e.queries()["trace_effective_size_whole"](spark, str(tmp_path)).collect()}
+    assert got == {p: (sum(c.values()), len(c)) for p, c in pools.items()}
+    n = duck.sql("select count(*) from lineitem").fetchall()[0][0]
+    assert e.queries()["rank_correlation_whole"](spark, DATA).first().n == n
+    want = duck.sql("select sum(n * (n - 1) // 2) from (select count(*) as n from documents where length(text) >= 2 group by lang, source)").fetchall()[0][0]
+    assert e.queries()["multiset_jaccard_pools"](spark, DATA).count() == want
+
+
 def test_readers_and_sinks(spark, tmp_path):
     import zipfile
 
