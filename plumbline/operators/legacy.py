@@ -12,22 +12,44 @@ from .stats import counts, diversity
 # Weights of the composite, and the number of pairs drawn from a pool.
 WEIGHTS = {"ngram": 0.15, "ast": 0.25, "naming": 0.20, "vector": 0.30, "pattern": 0.10}
 PAIRS = 500
+#: Pools of up to so many pairs are listed to draw from; of more, pair numbers are drawn, twice as many as needed.
+LISTED = 20_000
+
+
+def drawn_pairs(sizes: DataFrame, group: list[str], most: int = PAIRS) -> DataFrame:
+    """group, i, j: all pairs i < j of the places 0 .. n-1 of each group, or `most` of them, distinct and drawn by key from all."""
+    of = sizes.filter("n > 1").select(*group, F.expr("n * (n - 1) div 2").alias("all"))
+    listed = F.col("all") <= LISTED
+    k = of.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.when(listed, F.col("all") - 1).otherwise(2 * most - 1))))
+    draw = lambda seed: tx.drawn(F.lit(seed), *[F.coalesce(F.col(g).cast("string"), F.lit("")) for g in group], F.col("k").cast("string"))
+    wide = (draw("pairs") % (1 << 31)) * (1 << 32) + draw("more")
+    p = k.select(*group, F.when(listed, F.col("k")).otherwise(wide % F.col("all")).alias("p"), F.when(listed, draw("pairs")).otherwise(F.col("k")).alias("r"))
+    p = p.groupBy(*group, "p").agg(F.min("r").alias("r"))
+    p = p.withColumn("rn", F.row_number().over(Window.partitionBy(*group).orderBy("r", "p"))).filter(F.col("rn") <= most)
+    # Pair number p is j (j - 1) / 2 + i; the root may be off by one for large p.
+    j = F.floor((1 + F.sqrt(1 + 8 * F.col("p").cast("double"))) / 2)
+    p = p.withColumn("j", j).withColumn("i", F.expr("p - j * (j - 1) div 2"))
+    p = p.withColumn("j", F.col("j") + F.when(F.col("i") < 0, -1).when(F.col("i") >= F.col("j"), 1).otherwise(0))
+    return p.select(*group, F.expr("p - j * (j - 1) div 2").alias("i"), "j")
 
 
 def composite(samples: DataFrame, group: list[str], key: str, vectors: DataFrame | None = None) -> DataFrame:
     """group, n, the mean similarities and the composite (0 diverse, 1 uniform).
 
-    samples: group, key, code. Pairs of a pool beyond PAIRS are drawn by key; vectors (group, mean)
-    gives the mean cosine where there is one, else 0.
+    samples: group, key, code. n and the entropy are of all samples; pairs beyond PAIRS are drawn by key
+    from all pairs of all samples; vectors (group, mean) gives the mean cosine where there is one, else 0.
     """
     f = syntax.with_features(samples).select(
         *group, key, F.array_distinct(tx.ngrams(tx.tokens(F.col("code"), tx.LEGACY_TOKENS), 3)).alias("g"),
         syntax.fingerprint_words(F.col("ast.fingerprint")).alias("s"), F.col("ast.names").alias("n"), F.array_join(tx.design_patterns(F.col("code")), ",").alias("p"),
     )
-    a, b = f.select(*group, *[F.col(c).alias(f"{c}1") for c in (key, "g", "s", "n")]), f.select(*group, *[F.col(c).alias(f"{c}2") for c in (key, "g", "s", "n")])
-    pairs = a.join(b, group).filter(F.col(f"{key}1") < F.col(f"{key}2"))
-    draw = tx.drawn(F.lit("pairs"), F.col(f"{key}1").cast("string"), F.col(f"{key}2").cast("string"))
-    pairs = pairs.withColumn("rn", F.row_number().over(Window.partitionBy(*group).orderBy(draw, f"{key}1", f"{key}2"))).filter(F.col("rn") <= PAIRS)
+    # Keys alone are numbered, and the columns of the drawn places alone are joined to them.
+    place = samples.select(*group, key).withColumn("i", (F.row_number().over(Window.partitionBy(*group).orderBy(key)) - 1).cast("long"))
+    drawn = drawn_pairs(place.groupBy(*group).agg(F.count("*").alias("n")), group)
+    pairs = drawn.join(place.withColumnRenamed(key, "key1"), [*group, "i"]).drop("i")
+    pairs = pairs.join(place.select(*group, F.col("i").alias("j"), F.col(key).alias("key2")), [*group, "j"]).drop("j")
+    for x in ("1", "2"):
+        pairs = pairs.join(f.select(*group, F.col(key).alias(f"key{x}"), *[F.col(c).alias(f"{c}{x}") for c in ("g", "s", "n")]), [*group, f"key{x}"])
     sims = pairs.groupBy(*group).agg(F.avg(tx.jaccard(F.col("g1"), F.col("g2"))).alias("ngram"), F.avg(tx.jaccard(F.col("s1"), F.col("s2"))).alias("ast"), F.avg(tx.jaccard(F.col("n1"), F.col("n2"))).alias("naming"))
     ent = diversity(counts(f, group, "p"), group).select(*group, F.col("n").alias("n_samples"), "legacy_entropy")
     out = ent.join(sims, group, "left")

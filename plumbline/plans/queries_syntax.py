@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import syntax
@@ -82,9 +83,27 @@ def structural_similarity(spark, d):
 
 @query()
 def composite_similarity(spark, d):
-    """The composite score of the capped pool of each prompt."""
-    s = pools.ranked(fx.code_samples(spark, d), ["prompt_id"], "event_id", "cap").filter("rn <= 60").select("prompt_id", "event_id", "code")
-    return legacy.composite(s, ["prompt_id"], "event_id").select("prompt_id", "n_samples", *[F.round(c, 6).alias(c) for c in ("ngram", "ast", "naming", "score")])
+    """The composite score of all samples of each prompt."""
+    return _composite(fx.code_samples(spark, d), ["prompt_id"])
+
+
+def _composite(samples, group):
+    s = legacy.composite(samples.select(*group, "event_id", "code"), group, "event_id")
+    return s.select(*group, "n_samples", *[F.round(c, 6).alias(c) for c in ("ngram", "ast", "naming", "score")])
+
+
+@query()
+def composite_intra(spark, d):
+    """The composite score of all samples of each model for a prompt."""
+    return _composite(fx.code_samples(spark, d), ["prompt_id", "model_display"])
+
+
+@query()
+def composite_inter(spark, d):
+    """The composite score of a prompt's pool: so many drawn samples of each model that has as many."""
+    s = fx.code_samples(spark, d).withColumn("of", F.count("*").over(Window.partitionBy("prompt_id", "model_display"))).filter(F.col("of") >= pools.PER_MODEL)
+    s = pools.ranked(s, ["prompt_id", "model_display"], "event_id", "inter").filter(F.col("rn") <= pools.PER_MODEL)
+    return _composite(s, ["prompt_id"])
 
 
 @query()

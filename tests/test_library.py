@@ -177,6 +177,21 @@ def test_whole_tables_are_covered(spark, duck, tmp_path):
     assert e.queries()["multiset_jaccard_pools"](spark, DATA).count() == want
 
 
+def test_composite_takes_all_samples(spark):
+    from pyspark.sql import functions as F
+
+    from plumbline.operators.legacy import PAIRS, composite, drawn_pairs
+
+    got = drawn_pairs(spark.createDataFrame([("a", 1), ("b", 2), ("c", 32), ("d", 40), ("e", 5000), ("f", 10**9)], "g string, n long"), ["g"]).collect()
+    for g, n in (("a", 1), ("b", 2), ("c", 32), ("d", 40), ("e", 5000), ("f", 10**9)):
+        own = [(r.i, r.j) for r in got if r.g == g]
+        assert len(own) == len(set(own)) == min(PAIRS, n * (n - 1) // 2) and all(0 <= i < j < n for i, j in own)
+        assert n < 5000 or max(j for _, j in own) > n * 9 // 10
+    df = spark.range(400).select(F.lit("p").alias("prompt_id"), "id", F.when(F.col("id") % 2 == 0, "x = 1").otherwise("def f(a):\n    return a").alias("code"))
+    r = composite(df, ["prompt_id"], "id").first()
+    assert r.n_samples == 400 and 0.4 < r.ngram < 0.6  # half of the pairs are of one kind
+
+
 def test_readers_and_sinks(spark, tmp_path):
     import zipfile
 
