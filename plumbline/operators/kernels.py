@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.syntax import tree_similarity
 
 
 def gram_sets(df: DataFrame, text: str, pattern: str = tx.TOKENS, n: int = 3) -> DataFrame:
@@ -188,14 +190,67 @@ def cosine_matrix(vectors: list) -> np.ndarray:
     return np.clip(e @ e.T, 0, 1)
 
 
-#: name -> (items of one distinct value each -> matrix).
-KERNELS: dict[str, Callable[[list], np.ndarray]] = {
-    "jaccard": lambda items: jaccard_matrix([frozenset(i) for i in items]),
-    "multiset": lambda items: multiset_matrix([{e["key"]: e["value"] for e in i} for i in items]),
-    "cosine": cosine_matrix,
+def tree_matrix(trees: list[str | None]) -> np.ndarray:
+    """1 - tree edit distance over the larger size; what does not parse is like itself alone."""
+    k = np.eye(len(trees))
+    for i, a in enumerate(trees):
+        for j in range(i):
+            k[i, j] = k[j, i] = tree_similarity(a, trees[j])
+    return k
+
+
+def _bound_grams(text: str, low: int = 3, high: int = 5) -> list[str]:
+    """What word_bound_grams gives, in Python."""
+    out = []
+    for w in text.split():
+        w = f" {w} "
+        for n in range(low, high + 1):
+            out += [w[i : i + n] for i in range(max(1, len(w) - n + 1))]
+            if len(w) <= n:  # a short word counts once
+                break
+    return out
+
+
+def tfidf_matrix(codes: list[str | None], counts: np.ndarray, features: int = 50_000) -> np.ndarray:
+    """Cosines of TF-IDF rows of one pool, cut to [0, 1]; codes of under three characters are one and the same text.
+
+    counts are the codes' multiplicities, which the document frequencies need. Every text has a
+    word, so no other vocabulary is ever needed. Beyond `features` terms the most frequent stay,
+    as the analysis has it; ties go to the lesser term.
+    """
+    safe = [s if len(s := (c or "").strip()) >= 3 else "EMPTY_OR_TINY_RESPONSE" for c in codes]
+    bags = [Counter(_bound_grams(s)) for s in safe]
+    total: Counter = Counter()
+    df: Counter = Counter()
+    for b, c in zip(bags, counts, strict=True):
+        for g, tf in b.items():
+            total[g] += tf * c
+            df[g] += c
+    terms = {g: i for i, g in enumerate(sorted(total, key=lambda g: (-total[g], g))[:features])}
+    x = np.zeros((len(codes), max(1, len(terms))))
+    for i, b in enumerate(bags):
+        for g, tf in b.items():
+            if g in terms:
+                x[i, terms[g]] = (1 + np.log(tf)) * (np.log((1 + counts.sum()) / (1 + df[g])) + 1)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    return np.clip(x @ x.T, 0, 1)
+
+
+#: name -> (items of one distinct value each, their multiplicities -> matrix).
+KERNELS: dict[str, Callable[[list, np.ndarray], np.ndarray]] = {
+    "jaccard": lambda items, _: jaccard_matrix([frozenset(i) for i in items]),
+    "multiset": lambda items, _: multiset_matrix([{e["key"]: e["value"] for e in i} for i in items]),
+    "cosine": lambda items, _: cosine_matrix(items),
+    "tree": lambda items, _: tree_matrix([i["tree"] for i in items]),
+    "tfidf": tfidf_matrix,
 }
 
 
+def tree_item(tree: Column, key: Column) -> Column:
+    """Item of the tree kernel: what does not parse keeps its key, so that it is no other's copy."""
+    return F.struct(tree.alias("tree"), F.when(tree.isNull(), key).alias("own"))
+
+
 def pool_scores(pools: DataFrame, group: list[str], item: str, kernel: str, boot: int = 0, seed: int = 42) -> DataFrame:
     """group, n, score, normalised, and the 95 % interval of a bootstrap of samples (order statistics).
 
@@ -211,7 +266,7 @@ def pool_scores(pools: DataFrame, group: list[str], item: str, kernel: str, boot
         pdf = pdf.sort_values("id")
         c = pdf["c"].to_numpy(float)
         n = int(c.sum())
-        k = make(list(pdf["item"]))
+        k = make(list(pdf["item"]), c)
         score = effective_number(k, c) if n > 1 else float(n)
         lo = hi = score
         if boot and n > 1:

@@ -14,8 +14,8 @@ from .registry import query
 from .sql_code import q
 
 
-def _trees(spark, d):
-    return syntax.with_features(fx.code_samples(spark, d).select("event_id", "prompt_id", "model_display", "code"))
+def _trees(spark, d, *more):
+    return syntax.with_features(fx.code_samples(spark, d).select("event_id", "prompt_id", "model_display", *more, "code"))
 
 
 def _golden(columns: str, pick) -> str:
@@ -58,6 +58,25 @@ def node_bag_effective_size(spark, d):
     return s.select("prompt_id", "n", F.round("score", 6).alias("score"), F.round("normalised", 6).alias("normalised"))
 
 
+def _scored(samples, group, kernel, boot=0):
+    """Scores of pools of trees under one of the kernels of code."""
+    item = {"token": F.transform(tx.ngrams(tx.tokens(F.col("code"), tx.TOKENS), 3), lambda x: F.xxhash64(x)), "tree": kernels.tree_item(F.col("ast.tree"), F.col("event_id")), "tfidf": F.coalesce("code", F.lit(""))}[kernel]
+    s = samples.select(*group, (F.array_sort(F.array_distinct(item)) if kernel == "token" else item).alias("item"))
+    return kernels.pool_scores(s, group, "item", "jaccard" if kernel == "token" else kernel, boot=boot)
+
+
+@query()
+def tree_effective_size(spark, d):
+    """Effective number of structures of each prompt's capped pool under the tree-edit similarity."""
+    return _scored(_pool(spark, d), ["prompt_id"], "tree").select("prompt_id", "n", F.round("score", 6).alias("score"), F.round("normalised", 6).alias("normalised"))
+
+
+@query()
+def tfidf_effective_size(spark, d):
+    """Effective number of texts of each prompt's capped pool under the TF-IDF cosine."""
+    return _scored(_pool(spark, d), ["prompt_id"], "tfidf").select("prompt_id", "n", F.round("score", 6).alias("score"), F.round("normalised", 6).alias("normalised"))
+
+
 def _similarities(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([syntax.tree_similarity(x, y) for x, y in zip(a, b, strict=True)])
 

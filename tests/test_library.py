@@ -192,6 +192,18 @@ def test_composite_takes_all_samples(spark):
     assert r.n_samples == 400 and 0.4 < r.ngram < 0.6  # half of the pairs are of one kind
 
 
+def test_tree_and_tfidf_kernels(spark):
+    from plumbline.operators.kernels import KERNELS, tree_matrix
+
+    t = ["m:0 x:1", None, None, "m:0 x:1"]
+    assert tree_matrix(t).tolist() == [[1, 0, 0, 1], [0, 1, 0, 0], [0, 0, 1, 0], [1, 0, 0, 1]]
+    codes, c = ["", " a", "x = call(y)", "x = call(z)", "zzz zzz"], np.array([1, 1, 1, 2, 1])
+    k = KERNELS["tfidf"](codes, c)
+    whole = KERNELS["tfidf"](list(np.repeat(codes, c)), np.ones(6))
+    assert np.allclose(whole, np.repeat(np.repeat(k, c, 0), c, 1)) and np.allclose(np.diag(k), 1)
+    assert abs(k[0, 1] - 1) < 1e-9 and 0 < k[2, 3] < 1 and k[2, 4] == 0
+
+
 def test_readers_and_sinks(spark, tmp_path):
     import zipfile
 
