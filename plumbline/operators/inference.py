@@ -38,6 +38,13 @@ def leave_one_out_match(counted: DataFrame, group: list[str], part: str) -> Data
     return out.unionByName(totals.select(*group, F.lit(None).cast("string").alias(part), "n", rate(F.col("same"), F.col("n")).alias("match_rate")))
 
 
+def without_each(df: DataFrame, part: str, name: str = "without_family") -> DataFrame:
+    """The rows once with all parts (name null), and once for each part of the table without that part's rows."""
+    parts = df.select(F.col(part).alias(name)).filter(F.col(name).isNotNull()).distinct()
+    less = df.join(F.broadcast(parts), ~F.col(part).eqNullSafe(F.col(name)))
+    return less.unionByName(df.withColumn(name, F.lit(None).cast(dict(df.dtypes)[part])))
+
+
 def fixed_effects(df: DataFrame, group: str, y: str, xs: list[str]) -> dict[str, float]:
     """Slopes of y on xs with an intercept for each group: within-group products summed in one pass, a p x p solve here."""
     w = Window.partitionBy(group)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import syntax
 from ..functions import text as tx
-from ..operators import kernels, legacy, pools
+from ..operators import inference, kernels, legacy, pools
 from ..sources import fixtures as fx
 from .registry import query
 from .sql_code import q
@@ -77,6 +77,20 @@ def tfidf_effective_size(spark, d):
     return _scored(_pool(spark, d), ["prompt_id"], "tfidf").select("prompt_id", "n", F.round("score", 6).alias("score"), F.round("normalised", 6).alias("normalised"))
 
 
+@query()
+def family_ablation_scores(spark, d):
+    """Effective numbers, with intervals, of each prompt's inter pool without each family in turn and with all (null), by kernel."""
+    s = inference.without_each(_trees(spark, d, "model_family"), "model_family")
+    # A model's own draws do not depend on the family left out; the cap is drawn anew from what is left.
+    few = pools.ranked(s, ["without_family", "prompt_id", "model_display"], "event_id", "inter").filter(F.col("rn") <= pools.PER_MODEL).drop("rn")
+    few = pools.ranked(few, ["without_family", "prompt_id"], "event_id", "cap").filter(F.col("rn") <= pools.CAP)
+    out = None
+    for k in ("token", "tree", "tfidf"):
+        one = _scored(few, ["prompt_id", "without_family"], k, boot=100).select(F.lit(k).alias("kernel"), "prompt_id", "without_family", "n", *[F.round(c, 6).alias(c) for c in ("score", "normalised", "lo", "hi")])
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def _similarities(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([syntax.tree_similarity(x, y) for x, y in zip(a, b, strict=True)])
 

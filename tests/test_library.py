@@ -204,6 +204,15 @@ def test_tree_and_tfidf_kernels(spark):
     assert abs(k[0, 1] - 1) < 1e-9 and 0 < k[2, 3] < 1 and k[2, 4] == 0
 
 
+def test_ablation_scores_see_near_copies(spark):
+    """Without family beta the pools lose its models' samples, by every kernel; the rate of exact matches cannot tell near copies."""
+    e = catalogue()[1]
+    got = e.queries()["family_ablation_scores"](spark, DATA).collect()
+    assert {r.kernel for r in got} == {"token", "tree", "tfidf"} and {r.without_family for r in got} == {None, "alpha", "beta", "gamma"}
+    n = {(r.prompt_id, r.without_family): r.n for r in got if r.kernel == "token"}
+    assert all(n[p, f] < n[p, None] for p, f in n if f == "alpha") and all(1 - 1e-6 <= r.score <= r.n + 1e-6 and r.lo <= r.hi for r in got if r.n)
+
+
 def test_readers_and_sinks(spark, tmp_path):
     import zipfile
 
