@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import itertools
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -23,10 +24,12 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The shared folder named by spark.checkpoint.dir; a temporary one only where that is unset and one JVM does all the work."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not getattr(scratch_dir, "own", None):
         scratch_dir.own = "file://" + tempfile.mkdtemp(prefix="plumbline-")
         atexit.register(lambda: __import__("shutil").rmtree(scratch_dir.own.removeprefix("file://"), ignore_errors=True))
@@ -36,7 +39,7 @@ def scratch_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: lineage ends there and a lost executor costs nothing.
 
-    The tables go when the driver process ends.
+    The tables go when the driver process ends, or before by `release`.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/plumbline-{uuid.uuid4().hex}-{label}"
@@ -44,15 +47,26 @@ def written(df: DataFrame, label: str) -> DataFrame:
     if not _written:
         atexit.register(_remove)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._plumbline_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete written tables that only other written tables were made from."""
+    for t in tables:
+        _delete(t.sparkSession, t._plumbline_path)
 
 
 def _remove() -> None:
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the session may be gone at exit; nothing depends on this
             return
 
@@ -179,3 +193,13 @@ def hashed_words(raw: np.ndarray, off: np.ndarray, table: np.ndarray) -> tuple[n
 
 def pairs_of(n: int, k: int) -> list[tuple[int, ...]]:
     return list(itertools.combinations(range(n), k))
+
+
+def window_least(h: np.ndarray, w: int) -> np.ndarray:
+    """Least of every w consecutive values."""
+    x, size = h, 1
+    while 2 * size <= w:
+        x = np.minimum(x[:-size], x[size:]) if len(x) > size else x[:0]
+        size *= 2
+    d = w - size
+    return np.minimum(x[: len(x) - d], x[d:]) if d and len(x) > d else x if not d else x[:0]

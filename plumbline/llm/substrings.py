@@ -25,8 +25,8 @@ Counts are partial sums by hash, so a passage in a third of all documents is one
 classes of equal stretches stay in the search by one representative. Joins back run on
 written tables, where adaptive execution splits hot keys. Windows never cross documents.
 
-Edge cases: null texts are empty; texts under 400 bytes lose nothing; repeated rows are
-copies of each other; an empty table gives an empty result; extra columns are ignored.
+Edge cases: null texts are empty; texts under 400 bytes lose nothing; repeated rows (id and
+text) are reduced to one that counts twice, so they cost one row each; an empty table gives an empty result; extra columns are ignored.
 Very long and periodic texts are handled whole in linear time.
 """
 
@@ -40,7 +40,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, powers, text_chunks, written
+from .common import mix, powers, release, text_chunks, window_least, written
+from .passages import shared_passages
 
 LENGTH, GRAM = 400, 64
 BLOCKS = (64, 8, 1)
@@ -71,16 +72,6 @@ def gram_hashes(raw: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
-def window_least(h: np.ndarray, w: int) -> np.ndarray:
-    """Least of every w consecutive values."""
-    x, size = h, 1
-    while 2 * size <= w:
-        x = np.minimum(x[:-size], x[size:]) if len(x) > size else x[:0]
-        size *= 2
-    d = w - size
-    return np.minimum(x[: len(x) - d], x[d:]) if d and len(x) > d else x if not d else x[:0]
-
-
 def segments(raw: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """row, first window, last window, anchor (places in the chunk), anchor hash, of every segment of a chunk."""
     empty = np.zeros(0, np.int64)
@@ -121,15 +112,30 @@ def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).alias("doc_id"), F.xxhash64(key, t).alias("r1"), F.xxhash64(F.lit(1), t, key).alias("r2"), t.alias("text"))
 
 
+def single(keyed: DataFrame) -> DataFrame:
+    """Each row once, with m = 2 where it is repeated.
+
+    Rows that stand alone stay where they are; of the repeated ones one text a key is shuffled.
+    """
+    again = written(keyed.groupBy(F.col("r1").alias("d1"), F.col("r2").alias("d2")).agg(F.count("*").alias("k")).filter("k > 1").select("d1", "d2"), "repeated_rows")
+    n = again.count()
+    if not n:
+        return keyed.withColumn("m", F.lit(1))
+    side, same = F.broadcast(again) if n <= BROADCAST_ENTRIES else again, (F.col("r1") == F.col("d1")) & (F.col("r2") == F.col("d2"))
+    one = keyed.join(side, same, "left_semi").groupBy("r1", "r2").agg(F.max("text").alias("text"), F.lit(2).alias("m"))
+    out = keyed.join(side, same, "left_anti").select("r1", "r2", "text", F.lit(1).alias("m")).unionByName(one)
+    return out if n <= BROADCAST_ENTRIES else written(out, "rows")
+
+
 def anchors(keyed: DataFrame, length: int, gram: int) -> DataFrame:
-    """r1, r2, ah, fk, lo, hi, at: the segments of all rows; lo and hi count from the row's first byte."""
+    """r1, r2, m, ah, fk, lo, hi, at: the segments of all rows; lo and hi count from the row's first byte."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         digest = xxhash.xxh3_128_digest
         for batch in batches:
-            r1, r2 = (batch.column(i).to_numpy() for i in (0, 1))
+            r1, r2, m = (batch.column(i).to_numpy() for i in range(3))
             for first, _, raw, off in text_chunks(batch, "text", 1 << 18):
                 r, a, b, q, h = segments(raw, off, length, gram)
                 if not len(r):
@@ -137,10 +143,10 @@ def anchors(keyed: DataFrame, length: int, gram: int) -> DataFrame:
                 data = raw.tobytes()
                 keys = [digest(data[x : y + length], ((z - x) << 32) | (y - x)) for x, y, z in zip(a.tolist(), b.tolist(), q.tolist(), strict=True)]
                 o, rows = off[r], first + r
-                cols = [pa.array(r1[rows]), pa.array(r2[rows]), pa.array(h.view(np.int64)), pa.array(keys, pa.binary()), *[pa.array((x - o).astype(np.int64)) for x in (a, b, q)]]
-                yield pa.RecordBatch.from_arrays(cols, names=["r1", "r2", "ah", "fk", "lo", "hi", "at"])
+                cols = [pa.array(r1[rows]), pa.array(r2[rows]), pa.array(m[rows]), pa.array(h.view(np.int64)), pa.array(keys, pa.binary()), *[pa.array((x - o).astype(np.int64)) for x in (a, b, q)]]
+                yield pa.RecordBatch.from_arrays(cols, names=["r1", "r2", "m", "ah", "fk", "lo", "hi", "at"])
 
-    return keyed.select("r1", "r2", "text").mapInArrow(run, "r1 long, r2 long, ah long, fk binary, lo long, hi long, at long")
+    return keyed.select("r1", "r2", "m", "text").mapInArrow(run, "r1 long, r2 long, m int, ah long, fk binary, lo long, hi long, at long")
 
 
 class Suffixes:
@@ -299,15 +305,17 @@ BLOCK = "r1 long, r2 long, ah long, at long, lo long, hi long, m int, ck binary,
 
 def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """r1, r2, s, e: stretches of bytes of a row that repeated windows cover (they may overlap)."""
-    keyed = _keyed(docs, key, text)
+    keyed = single(_keyed(docs, key, text).drop("doc_id"))
     rid = F.xxhash64("r1", "r2", "at", "lo")
     each = written(anchors(keyed, length, gram), "anchors")
-    classes = written(each.groupBy("ah", "fk").agg(F.count("*").alias("n"), F.min(rid).alias("rep")), "segments")
+    classes = written(each.groupBy("ah", "fk").agg(F.sum("m").alias("n"), F.min(rid).alias("rep")), "segments")
     mixed = written(classes.groupBy("ah").agg(F.count("*").alias("d")).filter("d > 1").select(F.col("ah").alias("g"), "d"), "mixed")
     shared = classes.join(mixed, F.col("ah") == F.col("g"), "left").filter("n > 1 or g is not null")
     shared = written(shared.select(F.col("fk").alias("k"), "ah", "n", "rep", "d"), "shared")
+    release(classes, mixed)
     found = each.drop("ah").join(shared, F.col("fk") == F.col("k"))
     found = written(found.select("r1", "r2", "ah", "at", "lo", "hi", "n", F.when(rid == F.col("rep"), F.col("d")).alias("d")).filter("n > 1 or d is not null"), "found")
+    release(each, shared)
     covers = lambda df: df.select("r1", "r2", F.col("lo").alias("s"), (F.col("hi") + length).alias("e"))
     done = [covers(found.filter("n > 1"))]
 
@@ -352,6 +360,7 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", length: i
         done.append(covers(both.filter("m = 1 and nf > 1")))
         # What is open goes on; of equal stretches one goes on as a partner for the others.
         on = both.filter("nf < 2 or (rid = rep and nc > nf)").withColumn("m", F.when(F.col("nf") > 1, 2).otherwise(F.col("m")))
+        release(state, live)
         state = on.select("r1", "r2", "ah", "at", "lo", "hi", F.col("m").cast("int").alias("m"), "t").mapInArrow(deeper(BLOCKS[n + 1]), BLOCK)
     out = done[0]
     for d in done[1:]:
@@ -366,7 +375,7 @@ def _joined(keyed: DataFrame, lists: DataFrame, how: str = "inner") -> DataFrame
 
 
 def kept_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
-    """doc_id, n_bytes, removed (maximal removed runs: start, end bytes), kept (remaining bytes) for every row."""
+    """r1 (the row's key), doc_id, n_bytes, removed (maximal removed runs: start, end bytes), kept (remaining bytes) for every row."""
     spans = repeated(docs, key, text, length, gram, group).groupBy("r1", "r2").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("x"))
     kind, run_type = dict(docs.dtypes)[key], pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
 
@@ -387,7 +396,7 @@ def kept_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", length:
         # Results leave by the few hundred rows: a batch of whole texts is held once, not three times over.
         for b in (whole.slice(i, 500) for whole in batches for i in range(0, len(whole), 500)):
             n, removed, kept = [], [], []
-            for x, t in zip(b.column(1), b.column(2), strict=True):
+            for x, t in zip(b.column(2), b.column(3), strict=True):
                 data, runs = t.as_py(), x.as_py() or []
                 at, left = 0, []
                 for y in runs:
@@ -396,14 +405,20 @@ def kept_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", length:
                 n.append(len(data))
                 removed.append(runs)
                 kept.append(b"".join([*left, data[at:]]))
-            cols = [b.column(0), pa.array(n, pa.int64()), pa.array(removed, run_type), pa.array(kept, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_bytes", "removed", "kept"])
+            cols = [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(removed, run_type), pa.array(kept, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["r1", "doc_id", "n_bytes", "removed", "kept"])
 
     spans = written(spans.mapInArrow(merge, "r1 long, r2 long, x array<struct<s:bigint,e:bigint>>"), "spans")
     joined = _joined(_keyed(docs, key, text), spans, "left")
-    return joined.select("doc_id", "x", F.col("text").cast("binary").alias("t")).mapInArrow(run, f"doc_id {kind}, n_bytes long, removed array<struct<s:bigint,e:bigint>>, kept binary")
+    return joined.select("r1", "doc_id", "x", F.col("text").cast("binary").alias("t")).mapInArrow(run, f"r1 long, doc_id {kind}, n_bytes long, removed array<struct<s:bigint,e:bigint>>, kept binary")
 
 
 def op6_substrings(spark, sf_dir: str) -> DataFrame:
-    out = kept_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    out = kept_texts(docs)
+    out = out.select("r1", "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    # Passages of over 50 words may be shorter than 400 bytes: they stay, and are reported.
+    shared = written(shared_passages(_keyed(docs, "doc_id", "text").select(F.col("r1").alias("rid"), "text")), "passages")
+    side = F.broadcast(shared) if shared.count() <= BROADCAST_ENTRIES else shared
+    out = out.join(side, F.col("r1") == F.col("rid"), "left")
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.coalesce("n_passage_words", F.lit(0).cast("long")).alias("n_passage_words"))

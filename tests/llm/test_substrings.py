@@ -61,3 +61,50 @@ def test_repeated_rows_and_empty_table(spark):
     got = sorted((r.doc_id or 0, r.n_bytes, len(r.removed), bytes(r.kept)) for r in kept_texts(df, length=60, gram=8).collect())
     assert got == [(0, 0, 0, b""), (1, 80, 1, b""), (1, 80, 1, b""), (2, 5, 0, b"short")]
     assert kept_texts(df.limit(0)).count() == 0
+
+
+def test_many_repeated_rows_and_near_copies(spark):
+    from plumbline.llm.substrings import kept_texts
+
+    rnd = random.Random(7)
+    body = "".join(rnd.choices("abcdefgh ", k=4500))
+    near = body[:2000] + "#" + body[2001:]
+    rows = [(1, body)] * 2000 + [(2, near), (3, near + "tail"), (None, body[:700])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = collections.Counter((r.doc_id, r.n_bytes, r.n_bytes - len(r.kept), len(r.removed)) for r in kept_texts(df).collect())
+    assert got == {(1, 4500, 4500, 1): 2000, (2, 4500, 4500, 1): 1, (3, 4504, 4500, 1): 1, (None, 700, 700, 1): 1}
+
+
+def plain_passages(rows, words):
+    """Words covered by windows of `words` words that another (id, text) holds."""
+    w = {k: (k[1] or "").lower().split() for k in set(rows)}
+    holders = collections.defaultdict(set)
+    for k, v in w.items():
+        for i in range(len(v) - words + 1):
+            holders[tuple(v[i : i + words])].add(k)
+    return {k: len({j for i in range(len(v) - words + 1) if len(holders[tuple(v[i : i + words])]) > 1 for j in range(i, i + words)}) for k, v in w.items()}
+
+
+def test_shared_passages(spark):
+    from plumbline.llm.passages import shared_passages
+    from plumbline.llm.substrings import _keyed
+
+    rnd = random.Random(11)
+    line = lambda n: " ".join(f"w{rnd.randrange(400)}" for _ in range(n))
+    common = [line(n) for n in (50, 51, 52, 80, 120, 300)]
+    rows = [(i, f"{line(rnd.randrange(90))} {rnd.choice(common)} {line(rnd.randrange(90))}") for i in range(120)]
+    rows += [(200 + i, "a " * n) for i, n in enumerate((49, 50, 51, 52, 400, 3000))] + [(300, "b " * 500), (301, None), (302, ""), (None, common[5]), (None, common[5])]
+    rows += [(400 + i, rows[5][1]) for i in range(30)] + [rows[5], (500, rows[5][1].upper())]
+    for i in range(40):  # near copies
+        t = rows[8][1].split()
+        t[rnd.randrange(len(t))] = "changed"
+        rows.append((600 + i, " ".join(t)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    keyed = _keyed(df, "doc_id", "text")
+    got = {r.rid: r.n_passage_words for r in shared_passages(keyed.selectExpr("r1 as rid", "text")).collect()}
+    want = plain_passages(rows, 51)
+    ids = {(r.doc_id, r.text): r.r1 for r in keyed.collect()}
+    wrong = [(k[0], got.get(ids[(k[0], k[1] or "")], 0), n) for k, n in want.items() if got.get(ids[(k[0], k[1] or "")], 0) != n]
+    assert not wrong, wrong[:5]
+    assert sum(n > 0 for n in want.values()) > 100
+    assert shared_passages(keyed.selectExpr("r1 as rid", "text").limit(0)).count() == 0
