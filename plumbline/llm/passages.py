@@ -1,21 +1,18 @@
-"""Passages of over 50 words that different documents share, by winnowed word windows.
+"""Documents that share a passage of over 50 words with another, by winnowed word windows.
 
-A passage counts where 51 consecutive words (runs without white space, ASCII case aside) stand
-in two documents or more. A k-gram of words that is least in some window of a row is an anchor,
-so equal windows hold the same anchors at the same places:
+A gram of 20 words (runs without white space, ASCII case aside) that is least in some window of
+51 words of a row is an anchor. Equal windows hold the same anchors, so documents that share
+51 consecutive words share an anchor, always; documents that share an anchor share its 20
+words (by a 64-bit hash). What lies between may count or not.
 
 1. One scan counts anchors by least and largest row key: those of several documents are
    shared. They set bits in a filter of fixed size (`FILTER_WORDS` longs, by bitwise or), the
    only thing that is broadcast; false positives cost work, never results.
-2. A second scan hands over shared anchors with their context, two bytes a word and as far
-   as windows around them reach. Equal contexts of several documents are shared whole.
-   Windows are listed only for anchors with several different contexts, each context once,
-   and counted by hash, again by least and largest row key.
-3. Shared windows of a context are one mask of 44 bits, joined back to its places; a row's
-   words are counted from its masks.
+2. A second scan hands over the anchors that pass the filter; a join with the shared ones
+   leaves those, and a row's are counted.
 
 Everything is a partial sum by hash, so a passage in a third of all documents is one row a
-task. Texts never move.
+task, and a periodic text has few different anchors. Texts never move.
 
 Edge cases: a document is an id with its text, so repeated rows are one document, and copies
 of a text without ids too; null texts have no words; an empty table gives an empty result.
@@ -31,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_table, hashed_words, release, text_chunks, window_least, written
+from .common import byte_table, hashed_words, text_chunks, window_least, written
 
-WORDS, GRAM = 51, 8
+WORDS, GRAM = 51, 20
 FILTER_WORDS = 1 << 20
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 1_000_000
 TABLE = byte_table(white=True)
 _MOST = np.uint64(2**64 - 1)
 _ODD = [np.uint64(pow(0x9FB21C651E98DF25, i + 1, 1 << 64)) for i in range(GRAM)]
@@ -57,17 +54,25 @@ def anchors(doc: np.ndarray, h: np.ndarray, words: int, gram: int) -> tuple[np.n
     return at, g[at]
 
 
-def _counted(keyed: DataFrame, words: int, gram: int) -> DataFrame:
+def _anchored(keyed: DataFrame, words: int, gram: int, bits=None) -> DataFrame:
+    """fp and rid: the different anchors of every row, those that pass the filter where there is one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rid = batch.column(0).to_numpy()
             for first, _, raw, off in text_chunks(batch, "text"):
                 doc, _, _, h = hashed_words(raw, off, TABLE)
                 at, g = anchors(doc, h, words, gram)
-                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(rid[first + doc[at]])], names=["fp", "rid"])
+                fp, row = g.view(np.int64), doc[at]
+                if bits is not None:
+                    held = (bits.value[(fp >> 6) % FILTER_WORDS] >> (fp & 63)) & 1 == 1
+                    fp, row = fp[held], row[held]
+                order = np.lexsort((fp, row))
+                fp, row = fp[order], row[order]
+                new = np.append(True, (fp[1:] != fp[:-1]) | (row[1:] != row[:-1]))[: len(fp)]
+                yield pa.RecordBatch.from_arrays([pa.array(fp[new]), pa.array(rid[first + row[new]])], names=["fp", "rid"])
 
-    each = keyed.mapInArrow(run, "fp long, rid long")
-    return each.groupBy("fp").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi")).filter("lo <> hi").select("fp")
+    return keyed.mapInArrow(run, "fp long, rid long")
 
 
 def _filter(shared: DataFrame) -> np.ndarray:
@@ -79,75 +84,11 @@ def _filter(shared: DataFrame) -> np.ndarray:
     return bits
 
 
-def _contexts(keyed: DataFrame, bits, words: int, gram: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = bits.value
-        for batch in batches:
-            rid = batch.column(0).to_numpy()
-            for first, last, raw, off in text_chunks(batch, "text"):
-                doc, _, _, h = hashed_words(raw, off, TABLE)
-                at, g = anchors(doc, h, words, gram)
-                fp = g.view(np.int64)
-                held = (known[(fp >> 6) % FILTER_WORDS] >> (fp & 63)) & 1 == 1
-                at, fp = at[held], fp[held]
-                begin, end = (np.searchsorted(doc, np.arange(last - first), side) for side in ("left", "right"))
-                digest, row = (h >> np.uint64(24)).astype("<u2"), doc[at]
-                a, b = np.maximum(begin[row], at - (words - gram)), np.minimum(end[row], at + words)
-                ctx = [digest[x:y].tobytes() for x, y in zip(a.tolist(), b.tolist(), strict=True)]
-                cols = [pa.array(fp), pa.array(rid[first + row]), pa.array((a - begin[row]).astype(np.int32)), pa.array(ctx, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=["fp", "rid", "first", "ctx"])
-
-    # The anchor's place in its context is part of the key: contexts cut at a text's start are others.
-    return keyed.mapInArrow(run, "fp long, rid long, first int, ctx binary").withColumn("cid", F.xxhash64("ctx", "fp"))
-
-
-def _windows(contexts: DataFrame, words: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        digest = xxhash.xxh3_64_intdigest
-        for b in batches:
-            ctx = [x.as_py() for x in b.column(4)]
-            n = np.array([len(x) // 2 - words + 1 for x in ctx], np.int64)
-            row = np.repeat(np.arange(len(ctx)), n)
-            hashes = np.fromiter((digest(x[2 * s : 2 * (s + words)]) for x, k in zip(ctx, n.tolist(), strict=True) for s in range(k)), np.uint64, len(row))
-            at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            cols = [*[b.column(i).take(pa.array(row)) for i in range(4)], pa.array(hashes.view(np.int64)), pa.array(at.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(cols, names=["fp", "cid", "lo", "hi", "wh", "s"])
-
-    return contexts.select("fp", "cid", "lo", "hi", "ctx").mapInArrow(run, "fp long, cid long, lo long, hi long, wh long, s int")
-
-
 def shared_passages(keyed: DataFrame, words: int = WORDS, gram: int = GRAM) -> DataFrame:
-    """rid and n_passage_words of the rows that have any; keyed: rid (a hash of id and text) and text.
-
-    words - gram must be under 63, as a context's windows are one mask.
-    """
-    spark = keyed.sparkSession
-    shared = written(_counted(keyed, words, gram), "shared_anchors")
-    each = written(_contexts(keyed, spark.sparkContext.broadcast(_filter(shared)), words, gram), "contexts")
-    release(shared)
-    kinds = written(each.groupBy("fp", "cid").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi"), F.first("ctx").alias("ctx")), "kinds")
-    several = kinds.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("fp").alias("f"))
-    listed = written(_windows(kinds.join(several, F.col("fp") == F.col("f"), "left_semi"), words), "windows")
-    common = listed.groupBy("fp", "wh").agg(F.min("lo").alias("a"), F.max("hi").alias("b")).filter("a <> b").select(F.col("fp").alias("f"), F.col("wh").alias("w"))
-    some = listed.join(common, (F.col("fp") == F.col("f")) & (F.col("wh") == F.col("w")), "left_semi").groupBy("fp", "cid").agg(F.expr("bit_or(shiftleft(1L, s))").alias("mask"))
-    whole = kinds.filter("lo <> hi").select("fp", "cid", F.expr(f"shiftleft(1L, cast(length(ctx) / 2 as int) - {words - 1}) - 1").alias("mask"))
-    masks = some.unionByName(whole).groupBy(F.col("fp").alias("f"), F.col("cid").alias("c")).agg(F.bit_or("mask").alias("mask"))
-    masks = written(masks, "masks")
-    release(listed, kinds)
-    side = F.broadcast(masks) if masks.count() <= BROADCAST_ROWS else masks
-    places = each.join(side, (F.col("fp") == F.col("f")) & (F.col("cid") == F.col("c"))).select("rid", "first", "mask")
-    lists = places.groupBy("rid").agg(F.collect_set(F.struct("first", "mask")).alias("x"))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for x in b.column(1):
-                first, mask = x.values.field("first").to_numpy(), x.values.field("mask").to_numpy()
-                r, s = np.nonzero((mask[:, None] >> np.arange(63)) & 1)
-                at = np.unique(first[r] + s)
-                out.append(int(np.minimum(np.diff(at), words).sum()) + words)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.int64())], names=["rid", "n_passage_words"])
-
-    return lists.mapInArrow(count, "rid long, n_passage_words long")
+    """rid and n_shared, its different shared anchors, of the rows that have any; keyed: rid (a hash of id and text) and text."""
+    counts = _anchored(keyed, words, gram).groupBy("fp").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi"))
+    shared = written(counts.filter("lo <> hi").select(F.col("fp").alias("f")), "shared_anchors")
+    bits = keyed.sparkSession.sparkContext.broadcast(_filter(shared.withColumnRenamed("f", "fp")))
+    side = F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared
+    held = _anchored(keyed, words, gram, bits).join(side, F.col("fp") == F.col("f"))
+    return held.select("rid", "fp").distinct().groupBy("rid").agg(F.count("*").alias("n_shared"))

@@ -417,8 +417,8 @@ def op6_substrings(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = kept_texts(docs)
     out = out.select("r1", "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
-    # Passages of over 50 words may be shorter than 400 bytes: they stay, and are reported.
+    # Passages of over 50 words may be shorter than 400 bytes: those stay, and are reported.
     shared = written(shared_passages(_keyed(docs, "doc_id", "text").select(F.col("r1").alias("rid"), "text")), "passages")
     side = F.broadcast(shared) if shared.count() <= BROADCAST_ENTRIES else shared
     out = out.join(side, F.col("r1") == F.col("rid"), "left")
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.coalesce("n_passage_words", F.lit(0).cast("long")).alias("n_passage_words"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.coalesce("n_shared", F.lit(0).cast("long")).alias("n_shared"))
