@@ -148,6 +148,22 @@ def test_decontamination(spark, docs, empty):
     assert mark(docs, bench.limit(0)).filter("size(hits) > 0 or n_words < 0").count() == 0
 
 
+def test_decontamination_of_periodic_texts_and_shared_windows(spark):
+    from plumbline.llm.decontaminate import mark
+
+    def go(docs, items, **more):
+        out = mark(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string"), **more)
+        return sorted((r.doc_id, sum(x.e - x.s for x in r.hits), r.item_ids) for r in out.collect())
+
+    assert go([(1, "a " * 20000)], [("x", "b " + "a " * 20000)]) == [(1, 20000, ["x"])]
+    line = "this line of ten words stands in very many items "
+    many = [(f"i{k:05d}", f"w{k} {line} v{k}") for k in range(10000)] + [(f"j{k:05d}", "stands in") for k in range(5000)]
+    got = go([(k, f"{line}doc {k} {line}") for k in range(50)], many)
+    assert all(n == 20 and ids == [i for i, _ in many] for _, n, ids in got)
+    few = many[:40] + many[-40:]
+    assert go([(k, f"{line}doc {k} {line}") for k in range(5)], few, block_words=100) == [(k, 20, [i for i, _ in few]) for k in range(5)]
+
+
 def test_tokens(spark, docs, empty):
     from tokenizers import Tokenizer
     from plumbline.llm.tokens import default_path, token_counts
