@@ -68,6 +68,56 @@ def test_bootstrapping_finds_unseen_identifiers(spark):
     assert masked[50].text == "some text. mail us: [EMAIL] please" and masked[3].text == "words here call me at [PHONE] now" and masked[52].text is None and masked[51].more == "x"
 
 
+def test_identifiers_of_several_tokens_secrets_and_decoys(spark):
+    from plumbline.llm.pii import extract, listed, mask
+
+    cards = ["4539578763621486", "6011000990139424", "4485275742308327", "4929939187355598", "4556737586899855", "4716461583322103", "5425233430109903"]
+    rows = [(i, f"word card {c} here") for i, c in enumerate(cards)] + [(20 + i, f"number {4539578763621480 + i} here") for i in range(6)]
+    rows += [(40 + i, f"words +1 (0{i:02d}) 555-77{i:02d} more") for i in range(10)] + [(60 + i, f'set token = "{"ab12cd34" * 3}{i:02d}" now') for i in range(8)]
+    both = "say +1 (843) 555-7672 4539578763621486, then"  # the base takes neither: the digits run on
+    rows += [(90, both), (91, "id " + "ab12cd34" * 3 + "77 alone"), (92, "\ue000\ue001 4539578763621486 \ue002"), (93, 'password="short1pass", api_key: zz99zz99zz'), (94, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = extract(df)
+    got = {r.doc_id: r.spans for r in out.select("doc_id", listed(out.spans).alias("spans")).collect()}
+    assert got[90] == "phone:4:21,card:22:38" and base(both) == []
+    assert got[91] == "secret:3:29" and got[60] == "secret:13:39" and got[92] == "card:3:19" and got[93] == "secret:10:20,secret:32:42" and got[94] == ""
+    luhn_fails = [20 + i for i in range(6) if not luhn(str(4539578763621480 + i))]
+    assert len(luhn_fails) == 6 and all(got[i] == "" for i in luhn_fails)
+    masked = {r.doc_id: r.text for r in mask(df).collect()}
+    assert masked[90] == "say [PHONE] [CARD], then" and masked[93] == 'password="[SECRET]", api_key: [SECRET]' and masked[92] == "\ue000\ue001 [CARD] \ue002"
+
+
+def test_hidden_spans_are_found_again(spark):
+    from plumbline.llm.pii import extract
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    hidden = lambda v: F.pmod(F.xxhash64(F.lit(9), v), F.lit(10)) < 2
+    t = {r.doc_id: r.text for r in docs.collect()}
+    out = {r.doc_id: r for r in extract(docs, hide=hidden).filter("size(spans) > 0").collect()}
+    lost = added = total = 0
+    for d, text in t.items():
+        every = set(base(text))
+        kept = {(x.s, x.k, x.e) for x in out[d].base} if d in out else set()
+        found = {(x.s, x.k, x.e) for x in out[d].spans if x.k < 4} if d in out else set()
+        total += len(every - kept)
+        lost += len(every - found)
+        added += len(found - every)
+    assert total > 100 and lost <= 0.1 * total and added <= 0.1 * total, (total, lost, added)
+
+
+def test_texts_of_very_many_identifiers(spark):
+    import time
+
+    from plumbline.llm.pii import mask
+
+    text = "\n".join(f"user{i}@mail.example.com +1 (017) 555-{i:04d}, 10.0.{i % 250}.7" for i in range(3000))
+    t = time.time()
+    got = mask(spark.createDataFrame([(1, text), (2, "1 " * 20000)], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in got} == {1: "\n".join(["[EMAIL] [PHONE], [IP]"] * 3000), 2: "1 " * 20000}
+    assert time.time() - t < 120
+
+
 def license_base(t):
     w = re.findall(PUNCT, low(t))
     at, labels = [], set()
@@ -116,18 +166,43 @@ def test_chats(spark):
             rows.append((c, k, "user" if k % 2 == 0 else "assistant", rnd.choice(["hi", "yo <|im_end|>", None, ""]), "extra"))
     rows += [(None, 0, None, "alone", "e"), (None, 1, "user", None, "e"), rows[0], (90, None, "user", "first", "e"), (90, 0, "user", "then", "e")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, rendered string")
+    for conf in ("1", "7"):  # conversations that cross tasks, or none
+        spark.conf.set("spark.sql.shuffle.partitions", conf)
+        same(maximal_chats(df, part_turns=4), plain_chats(rows, 4), ["conv_id", "part", "n_turns", "rendered"])
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert maximal_chats(df.limit(0)).count() == 0
+
+
+def plain_chats(rows, part_turns):
     chats = collections.defaultdict(set)
-    for c, t, r, x, _ in rows:
-        chats[c].add((t, r, x))
+    for c, t, r, x, *_ in rows:
+        chats[(c, None if c is not None else (t, r, x))].add((t, r, x))
     low_ = lambda v: (v is not None, v if v is not None else 0)
-    seqs = {c: tuple((r, x) for _, r, x in sorted(v, key=lambda y: (low_(y[0]), (y[1] is not None, y[1] or ""), (y[2] is not None, y[2] or "")))) for c, v in chats.items()}
+    word = lambda v: (v is not None, v or "")
+    md5 = lambda v: word(None if v is None else hashlib.md5(v.encode()).hexdigest())
+    seqs = {c: tuple((r, x) for _, r, x in sorted(v, key=lambda y: (low_(y[0]), word(y[1]), md5(y[2])))) for c, v in chats.items()}
+    inner, least = {s[:k] for s in seqs.values() for k in range(1, len(s))}, {}
+    for (c, _), s in seqs.items():
+        least[s] = min(least.get(s, (True, 0)), (c is None, c or 0))
     want = []
-    for c, s in seqs.items():
-        if any(o[: len(s)] == s and (len(o) > len(s) or (d is not None and (c is None or d < c))) for d, o in seqs.items() if d != c):
-            continue
-        want.append((c, len(s), "".join(f"<|im_start|>{r if r is not None else 'unknown'}\n{(x or '').replace('<|', '< |')}<|im_end|>\n" for r, x in s)))
-    same(maximal_chats(df), want, ["conv_id", "n_turns", "rendered"])
-    assert maximal_chats(df.limit(0)).count() == 0
+    for s, (null, c) in least.items():
+        for p in range(0, 0 if s in inner else len(s), part_turns):
+            shown = [f"<|im_start|>{r if r is not None else 'unknown'}\n{(x or '').replace('<|', '< |')}<|im_end|>\n" for r, x in s[p : p + part_turns]]
+            want.append((None if null else c, p // part_turns, len(s), "".join(shown)))
+    return want
+
+
+def test_long_chats_and_many_rows_without_an_id(spark):
+    import time
+
+    from plumbline.llm.chat import maximal_chats
+
+    rows = [(1, k, "user", f"turn {k}") for k in range(40000)] + [(2, k, "user", f"turn {k}") for k in range(30000)] + [(None, k, "user", "turn 0") for k in range(20000)]
+    rows += [(3, 0, "user", "hello")] * 5000 + [(4, k, "user", f"turn {k}") for k in range(39999)] + [(4, 39999, "user", "another end")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    t = time.time()
+    got = collections.Counter((r.conv_id, r.n_turns) for r in maximal_chats(df).collect())
+    assert got == {(1, 40000): 40, (3, 1): 1, (4, 40000): 40} and time.time() - t < 60
 
 
 def test_lm_scores(spark, docs, empty):
