@@ -1,59 +1,57 @@
 """License scan by a positional rare-token index.
 
-The licence templates' own words (function words, the frequent ones, left out) form the index:
-word -> postings (template, position). Each file looks up every index word it holds, wherever
-it stands, so a long file or one of many licences loses none; it intersects the postings by
-relative position (file position minus template position), keeps templates that at least
-`ALIGNED` look-ups agree on at one offset, and verifies the template's mandatory key
-phrases in the file. The score is the share of the template's indexed words that stand at
-their places, or 1 where a base phrase stands.
-
-All steps are built-in functions on one row, in one scan; texts never move. The index is
-the templates', a fixed size; nothing grows with the data.
+Templates are notices and paragraphs of licences (`license_texts`). One scan counts in how many
+documents each of their words stands (function words aside); the `RARE` words of highest IDF
+of every template make the index: word -> postings (template, position). Each file looks up
+the index words it holds, wherever they stand, so a long file or one of many licences loses
+none; it intersects the postings by relative position (file position minus template
+position), keeps templates that at least `ALIGNED` look-ups agree on at one offset, and
+verifies there that the template's mandatory key phrases stand at their places. The score
+is the share of the template's words (function words aside) that stand at theirs, or 1 where a
+base phrase stands.
+
+All steps are built-in functions; texts never move. The index is the templates', a fixed
+size, and so are the counts that reach the driver, one a template word.
 
 Edge cases: null texts are empty; blank texts have no words and score 0; repeated rows are
-judged each; an empty table gives an empty result; extra columns are ignored or passed on by
-`keep`. Texts are scanned whole.
+judged each; a file with fewer than `ALIGNED` different index words has no labels of the method;
+an empty table gives an empty result; extra columns are ignored or passed on by `keep`. Texts are scanned whole.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import PUNCT_RE, ascii_lower, let, packed, unpacked
+from .license_texts import FUNCTION_WORDS, TEXTS
 
 # The phrases of the base, and their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-# Opening sentences or notices of public licences, and what must stand in a file that bears them.
-TEMPLATES = (
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction", ("hereby granted free of charge", "without restriction")),
-    ("mit", "released under the mit license", ("mit license",)),
-    ("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", ("apache license version 2 0",)),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", ("gnu general public license",)),
-    ("gpl", "this work is licensed under the gnu general public license version 3", ("gnu general public license",)),
-    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", ("gnu lesser general public license",)),
-    ("agpl", "licensed under the terms of the gnu affero general public license as published by the free software foundation", ("gnu affero general public license",)),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("redistribution and use in source and binary forms",)),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("with or without fee is hereby granted",)),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
-    ("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc",)),
-    ("cc-by-sa", "licensed under cc by sa 4 0", ("cc by sa",)),
-    ("cc-by-nc", "licensed under a creative commons attribution noncommercial 4 0 international license", ("creative commons attribution noncommercial",)),
-    ("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license", ("creative commons attribution sharealike",)),
-    ("cc-by", "licensed under a creative commons attribution 4 0 international license", ("creative commons attribution 4 0",)),
-    ("cc0", "dedicated to the public domain under cc0 1 0 universal", ("cc0 1 0",)),
-    ("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
-)
-FUNCTION_WORDS = frozenset("a an and any are as at be by can for in into is it not of or that the this to under you".split())
-ALIGNED = 3
-
-
-def index(templates: tuple = TEMPLATES) -> dict[str, list[tuple[int, int]]]:
+RARE, ALIGNED = 12, 3
+
+
+def _words(text: str) -> list[str]:
+    return [w for w in re.split(PUNCT_RE, text.lower()) if w]
+
+
+#: (label, words, (place, word) of the key phrases) of every template.
+TEMPLATES = []
+for _label, _text, _phrases in TEXTS:
+    _body = _words(_text)
+    _at = [next((i, _words(p)) for i in range(len(_body)) if _body[i : i + len(_words(p))] == _words(p)) for p in _phrases]
+    TEMPLATES.append((_label, _body, [(i + k, w) for i, ws in _at for k, w in enumerate(ws)]))
+
+
+def index(frequency: dict[str, int], templates: list = TEMPLATES, rare: int = RARE) -> dict[str, list[tuple[int, int]]]:
+    """Postings of the rarest words of every template; ties by word."""
     found: dict[str, list[tuple[int, int]]] = {}
-    for t, (_, text, _) in enumerate(templates):
-        for p, w in enumerate(text.split()):
-            if w not in FUNCTION_WORDS:
+    for t, (_, body, _) in enumerate(templates):
+        own = sorted({w for w in body if w not in FUNCTION_WORDS}, key=lambda w: (frequency.get(w, 0), w))[:rare]
+        for p, w in enumerate(body):
+            if w in own:
                 found.setdefault(w, []).append((t, p))
     return found
 
@@ -75,11 +73,18 @@ def starts(w: Column, phrase: str) -> Column:
     return F.array_compact(F.transform(w, here))
 
 
-def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None, templates: tuple = TEMPLATES) -> DataFrame:
+def frequencies(docs: DataFrame, text: str, templates: list = TEMPLATES) -> dict[str, int]:
+    """Documents that hold each template word, over all documents."""
+    vocabulary = F.array(*map(F.lit, sorted({w for _, body, _ in templates for w in body} - FUNCTION_WORDS)))
+    held = docs.select(F.explode(F.array_intersect(vocabulary, license_words(F.col(text)))).alias("w"))
+    return {r.w: r.n for r in held.groupBy("w").agg(F.count("*").alias("n")).collect()}
+
+
+def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None, templates: list = TEMPLATES) -> DataFrame:
     """keep, n_words, n_base, first_word, last_word, base_labels, labels, score, found (template label, offset, share)."""
     names, row = packed(docs, ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "found"), keep)
     keep = ["row__"]
-    postings = index(templates)
+    postings = index(frequencies(docs, text, templates), templates)
     vocabulary = F.array(*map(F.lit, sorted(postings)))
     words = let(docs, row__=row, w=license_words(F.col(text)))
     places = [starts(F.col("w"), p) for p, _ in BASE]
@@ -96,30 +101,22 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None, tem
             lambda h: F.transform(F.element_at(posted, h["w"]), lambda q: F.struct(q["t"].alias("t"), (h["i"] - q["p"]).alias("o"))),
         )
     )
-    aligned = let(based, *keep, "w", "base", hits=F.when(F.size("rare") > 0, F.sort_array(hits)).otherwise(F.array().cast("array<struct<t:int,o:int>>")))
+    aligned = let(based, *keep, "w", "base", hits=F.when(F.size("rare") >= ALIGNED, F.sort_array(hits)).otherwise(F.array().cast("array<struct<t:int,o:int>>")))
     # Sorted hits: the first of a run of at least ALIGNED equal ones stands for its template and offset.
     heads = F.filter("hits", lambda x, i: F.coalesce(F.get("hits", i + ALIGNED - 1) == x, F.lit(False)) & (F.get("hits", i - 1).isNull() | (F.get("hits", i - 1) != x)))
-    lined = let(aligned, *keep, "w", "base", lined=F.transform(heads, lambda x: F.struct(x["t"].alias("t"), x["o"].alias("o"))), line=F.when(F.size("hits") >= ALIGNED, F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" "))).otherwise(""))
+    lined = let(aligned, *keep, "w", "base", lined=F.transform(heads, lambda x: F.struct(x["t"].alias("t"), x["o"].alias("o"))))
+    keys = F.array(*[F.array(*[F.struct(F.lit(p).alias("p"), F.lit(w).alias("w")) for p, w in phrases]) for _, _, phrases in templates])
+    own = F.array(*[F.array(*[F.struct(F.lit(p).alias("p"), F.lit(w).alias("w")) for p, w in enumerate(body) if w not in FUNCTION_WORDS]) for _, body, _ in templates])
+    there = lambda x: lambda q: F.coalesce(F.get("w", x["o"] + q["p"]) == q["w"], F.lit(False))
 
-    def has(t: Column) -> Column:
-        out = F.lit(False)
-        for k, (_, _, phrases) in enumerate(templates):
-            ok = t == k
-            for p in phrases:
-                ok &= F.contains(F.col("line"), F.lit(f" {p} "))
-            out = out | ok
-        return out
+    def has(x: Column) -> Column:
+        return F.forall(F.get(keys, x["t"]), there(x))
 
     def share(x: Column) -> Column:
-        out = F.lit(0.0)
-        for k, (_, body, _) in enumerate(templates):
-            own = [(p, w) for p, w in enumerate(body.split()) if w not in FUNCTION_WORDS]
-            hit = sum((F.when(F.get("w", x["o"] + p) == w, 1).otherwise(0) for p, w in own), F.lit(0))
-            out = F.when(x["t"] == k, hit / F.lit(float(len(own)))).otherwise(out)
-        return out
+        return F.size(F.filter(F.get(own, x["t"]), there(x))) / F.size(F.get(own, x["t"]))
 
     labels = F.array(*[F.lit(t[0]) for t in templates])
-    found = F.transform(F.filter("lined", lambda x: has(x["t"])), lambda x: F.struct(F.get(labels, x["t"]).alias("label"), x["o"].alias("offset"), share(x).alias("share")))
+    found = F.transform(F.filter("lined", has), lambda x: F.struct(F.get(labels, x["t"]).alias("label"), x["o"].alias("offset"), share(x).alias("share")))
     judged = let(lined, *keep, "base", n_words=F.size("w").cast("long"), found=F.when(F.size("lined") > 0, found).otherwise(F.array().cast("array<struct<label:string,offset:int,share:double>>")))
     every = F.flatten("base")
     base_labels = F.array_compact(F.array(*[F.when(F.size(F.get("base", F.lit(k))) > 0, F.lit(label)) for k, (_, label) in enumerate(BASE)]))

@@ -130,30 +130,35 @@ def license_base(t):
 
 
 def test_license_scan(spark, docs, empty):
-    from plumbline.llm.licenses import TEMPLATES, scan
+    from plumbline.llm.licenses import scan
+    from plumbline.llm.license_texts import TEXTS
 
-    extra = [(2000 + i, f"Some words. {t.capitalize()}, etc.") for i, (_, t, _) in enumerate(TEMPLATES)]
+    extra = [(2000 + i, f"Some words. {t.upper()}, etc.") for i, (_, t, _) in enumerate(TEXTS)]
     extra += [(3000, "Licensed under CC BY-NC 4.0."), (3001, "nc by cc 4 0 licensed under"), (3002, "hereby granted free of charge")]
+    # The key phrase stands in the file, but not at the place that the other words tell.
+    extra += [(3003, "CC BY NC. Licensed under cc xx nc 4 0"), (3004, "public domain under CC0 1.0 Universal")]
     df = docs.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string"))
     out = scan(df).cache()
     same(out, [(r.doc_id, *license_base(r.text)) for r in df.collect()], ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"])
     got = {r.doc_id: r for r in out.collect()}
-    for i, (label, _, _) in enumerate(TEMPLATES):
-        assert label in got[2000 + i].labels.split(","), (label, got[2000 + i])
-    assert got[3000].labels == "cc-by-nc" and got[3000].score == 1.0 and got[3001].labels == got[3002].labels == ""
+    for i, (label, _, _) in enumerate(TEXTS):
+        assert label in got[2000 + i].labels.split(",") and got[2000 + i].score == 1.0, (label, got[2000 + i])
+    assert got[3000].labels == "cc-by-nc" and got[3000].score == 1.0 and got[3001].labels == got[3002].labels == got[3003].labels == ""
+    assert got[3004].labels == "cc0" and 0.5 < got[3004].score < 1
     assert out.filter("score < 0 or score > 1").count() == 0 and scan(empty).count() == 0
 
 
 def test_license_scan_of_files_with_many_licences(spark):
-    from plumbline.llm.licenses import TEMPLATES, scan
+    from plumbline.llm.licenses import scan
+    from plumbline.llm.license_texts import TEXTS
 
-    bodies = [t for _, t, _ in TEMPLATES]
+    bodies = [t for _, t, _ in TEXTS]
     pairs = [(i, j) for i in range(len(bodies)) for j in range(len(bodies)) if i != j]
-    rows = [(-1, ". ".join(bodies))] + [(k, f"Words {bodies[i]}. And {bodies[j]} etc") for k, (i, j) in enumerate(pairs)]
+    rows = [(-1, ". ".join(bodies))] + [(k, f"Words {bodies[i]}. And {bodies[j]} etc") for k, (i, j) in enumerate(pairs)] + [(10_000 + i, "word " * 50) for i in range(100)]
     got = {r.doc_id: set(r.labels.split(",")) for r in scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[-1] == {t[0] for t in TEMPLATES}
+    assert got[-1] == {t[0] for t in TEXTS}
     for k, (i, j) in enumerate(pairs):
-        assert {TEMPLATES[i][0], TEMPLATES[j][0]} <= got[k], (bodies[i], bodies[j], got[k])
+        assert {TEXTS[i][0], TEXTS[j][0]} <= got[k], (bodies[i], bodies[j], got[k])
 
 
 def test_chats(spark):
