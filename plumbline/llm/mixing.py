@@ -4,8 +4,8 @@ Targets: sources in code-point order (null last) weigh 5, 2, 1, repeating, and s
 of all words; none may exceed twice its own words, what is over goes to the others by
 weight. The schedule has a fixed number of slots: slot i sits at frac(i * golden ratio),
 which is mapped through the cumulative target weights to a source, and the slots of a
-source are ranked in order. Each source's documents, in the order of a hash of their
-content, form one line of words, cut into as many equal-token blocks as the source has
+source are ranked in order. Each source's documents, in the order of a hash of their id
+and size, form one line of words, cut into as many equal-token blocks as the source has
 slots; the r-th slot of a source takes its r-th block, going round the line at most twice. A
 document's taken words are what its blocks' slots take of it.
 

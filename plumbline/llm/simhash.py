@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pairs_of, written
+from .common import pairs_of, release, written
 
 SEED = 42
 #: Pairs of byte positions left open by a posting, as masks of the six that stay.
@@ -144,11 +144,12 @@ def links(fps: DataFrame) -> DataFrame:
     return lists.mapInArrow(run, "a long, b long").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, root (the least node of its component) for every node of the links a, b.
 
     Large-star then small-star, each a least neighbour by partial aggregation and one join,
-    until nothing changes; every round ends in a written table.
+    until stars alone remain; every round ends in a written table. A path of n nodes takes
+    about the square of log n rounds; more than `rounds` is an error, never a partial result.
     """
     e = written(edges.filter("a <> b"), "links")
     for _ in range(rounds):
@@ -160,21 +161,39 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         small = down.join(least, F.col("a") == F.col("n")).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*")
         new = written(small.filter("a <> b").distinct(), "stars")
         # Stars alone remain when no node is both a leaf and a centre.
+        release(e)
         e = new
         if not new.select("a").join(new.select(F.col("b").alias("a")), "a", "left_semi").limit(1).count() and new.count() == new.select("a").distinct().count():
             break
+    else:
+        raise RuntimeError(f"components are not done after {rounds} rounds")
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """doc_id, fp, component_id (least doc_id reachable by links), one row for each row in."""
+    """doc_id, fp, component_id (least doc_id reachable by links), root (a component's least fingerprint), one row for each row in."""
     own = written(fingerprints(docs, key, text, shingle), "fingerprints")
     each = own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     tree = written(components(links(each.select("fp"))), "components")
     of = each.join(tree, each.fp == tree.node, "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     of = written(of.filter("n > 1 or root <> fp").unionByName(of.join(tree.select(F.col("root").alias("r")).distinct(), F.col("fp") == F.col("r"), "left_semi").filter("n = 1 and root = fp")), "classes")
-    named = of.join(of.groupBy("root").agg(F.min("least").alias("component_id")), "root").select(F.col("fp").alias("f"), "component_id", F.lit(True).alias("known"))
-    return own.join(named, own.fp == named.f, "left").select("doc_id", "fp", F.when(F.col("known"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = of.join(of.groupBy("root").agg(F.min("least").alias("component_id")), "root").select(F.col("fp").alias("f"), "component_id", "root", F.lit(True).alias("known"))
+    out = own.join(named, own.fp == named.f, "left")
+    return out.select("doc_id", "fp", F.when(F.col("known"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("root", "fp").alias("root"))
+
+
+def numbered(docs: DataFrame, name: str = "row__") -> DataFrame:
+    """docs as a written table with a number for each row, the same at every reading."""
+    return written(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
+def others(rows: DataFrame, key: str = "doc_id", text: str = "text", row: str = "row__") -> DataFrame:
+    """Row numbers of all but one row of every component: the one with the least key (nulls last), then row, stays."""
+    ids = rows.select(F.col(row).alias("n__"), F.col(key).alias("k__"))
+    found = near_duplicates(rows, row, text).select(F.col("doc_id").alias("n"), "root")
+    each = written(found.join(ids, F.col("n") == F.col("n__")).select("n", "root", F.struct(F.col("k__").isNull(), "k__", "n").alias("rank")), "ranks")
+    best = each.groupBy(F.col("root").alias("r")).agg(F.min("rank").alias("best"), F.count("*").alias("size")).filter("size > 1").select("r", "best")
+    return each.join(best, F.col("root") == F.col("r")).filter(F.col("n") != F.col("best.n")).select(F.col("n").alias(row))
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
