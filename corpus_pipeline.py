@@ -15,10 +15,10 @@ from plumbline.llm.decontaminate import RESULTS, mark
 from plumbline.llm.mixing import mix
 from plumbline.llm.pii import mask
 from plumbline.llm.quality import judge
-from plumbline.llm.simhash import near_duplicates
+from plumbline.llm.simhash import numbered, others
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-BROADCAST_IDS = 1_000_000
+BROADCAST_ROWS = 1_000_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,15 +27,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each SimHash component.
+    """One row of each SimHash component: that of the least doc_id (rows without one last), of repeated rows the first.
 
-    The others' ids, the smaller part, are joined out: broadcast up to BROADCAST_IDS, by a
-    shuffle beyond. Repeated rows of one doc_id are one document; rows without an id stay, as
-    they cannot be named.
+    The others' row numbers are joined out: broadcast up to BROADCAST_ROWS, by a shuffle beyond.
     """
-    others = written(near_duplicates(docs).filter("doc_id <> component_id").select("doc_id").distinct(), "duplicates")
-    side = F.broadcast(others) if others.count() <= BROADCAST_IDS else others
-    return docs.select(*COLUMNS).join(side, "doc_id", "left_anti").select(*COLUMNS)
+    rows = numbered(docs.select(*COLUMNS))
+    gone = written(others(rows), "others")
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    return rows.join(side, "row__", "left_anti").select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
