@@ -192,7 +192,7 @@ def others(rows: DataFrame, key: str = "doc_id", text: str = "text", row: str =
     ids = rows.select(F.col(row).alias("n__"), F.col(key).alias("k__"))
     found = near_duplicates(rows, row, text).select(F.col("doc_id").alias("n"), "root")
     each = written(found.join(ids, F.col("n") == F.col("n__")).select("n", "root", F.struct(F.col("k__").isNull(), "k__", "n").alias("rank")), "ranks")
-    best = each.groupBy(F.col("root").alias("r")).agg(F.min("rank").alias("best"), F.count("*").alias("size")).filter("size > 1").select("r", "best")
+    best = written(each.groupBy(F.col("root").alias("r")).agg(F.min("rank").alias("best"), F.count("*").alias("size")).filter("size > 1").select("r", "best"), "best")
     return each.join(best, F.col("root") == F.col("r")).filter(F.col("n") != F.col("best.n")).select(F.col("n").alias(row))
 
 
