@@ -145,7 +145,10 @@ ALIASES = {
     "dateutil": "python-dateutil", "dotenv": "python-dotenv", "magic": "python-magic", "Crypto": "pycryptodome", "OpenSSL": "pyOpenSSL", "jwt": "PyJWT",
     "google": "google-cloud-core", "googleapiclient": "google-api-python-client", "discord": "discord.py", "telegram": "python-telegram-bot",
     "serial": "pyserial", "wx": "wxPython", "win32com": "pywin32", "win32api": "pywin32", "win32gui": "pywin32", "pythoncom": "pywin32",
-    "attr": "attrs", "pip_audit": "pip-audit", "OpenGL": "PyOpenGL", "huggingface_hub": "huggingface-hub", "huggingface_cli": "huggingface_hub",
+    "pyrogram": "Pyrogram", "redis": "redis", "psutil": "psutil", "msrest": "msrest", "msal": "msal", "attr": "attrs", "tomli": "tomli",
+    "termcolor": "termcolor", "pip_audit": "pip-audit", "lxml": "lxml", "PyQt5": "PyQt5", "PyQt6": "PyQt6", "PySide2": "PySide2", "PySide6": "PySide6",
+    "kivy": "Kivy", "OpenGL": "PyOpenGL", "tensorflow": "tensorflow", "torch": "torch", "transformers": "transformers",
+    "huggingface_hub": "huggingface-hub", "huggingface_cli": "huggingface_hub", "stripe": "stripe", "boto3": "boto3", "botocore": "botocore",
 }
 
 # Literals that are no real password.

@@ -1,14 +1,21 @@
-"""Calibration of findings: drop, relabel and add by rules A, B, C and E (native); D needs syntax trees (functions.syntax)."""
+"""Calibration of findings: drop, relabel and add by rules A, B, C and E (native) and D (syntax trees, of its prompts' codes)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import syntax
 from ..functions import text as tx
 from ..functions import vocab
 from .scan import FINDING, derived
 
+# The prompts that rules A, D and E speak of, and the sinks of what D and E add.
+SQL_PROMPTS, MASS_PROMPTS, PATH_PROMPTS = ("SE-04",), ("SE-28",), ("SE-06",)
+MASS_SINK = "setattr(<obj>, <user_key>, <user_val>) in payload-items loop"
+PATH_SINK = "path build + open() without realpath/is_relative_to containment check"
+RULES = "abcde"
+
 
 def _any(c: Column, patterns: tuple[str, ...]) -> Column:
     out = F.lit(False)
@@ -37,8 +44,10 @@ def debug_run(code: Column, f: Column) -> Column:
 
 
 def weak_password(code: Column, f: Column) -> Column:
-    """Rule C: the literal is empty, short, without a letter, or a placeholder."""
-    v = tx.strip(tx.string_literal(_line(code, f["line"])))
+    """Rule C: what was matched (the line's literal where that is empty) is empty, short, without a letter, or a placeholder."""
+    v = F.coalesce(tx.strip(f["matched"]), F.lit(""))
+    v = tx.strip(F.when(v == "", tx.string_literal(_line(code, f["line"]))).otherwise(v))
+    v = F.regexp_replace(v, r"""(?s)^(["'])(.*)\1$""", "$2")
     return (F.length(v) < 6) | ~v.rlike("[a-zA-Z]") | F.lower(v).isin(*vocab.PLACEHOLDERS)
 
 
@@ -47,27 +56,41 @@ def open_path(code: Column) -> Column:
     return code.rlike("(?i)" + vocab.PATH_BUILD) & code.rlike("(?i)" + vocab.PATH_OPEN) & ~code.rlike("(?i)" + vocab.PATH_CONTAINED)
 
 
-def calibrate(scanned: DataFrame, code: str = "code", sql_prompts: tuple[str, ...] | None = None, path_prompts: tuple[str, ...] | None = None) -> DataFrame:
+def _added(when: Column, cwe: str, rule: str, line: Column, sink: str, severity: float, letter: str) -> Column:
+    made = F.struct(
+        F.lit(cwe).alias("cwe"), F.lit(rule).alias("rule"), F.coalesce(line, F.lit(0)).cast("int").alias("line"), F.lit("").alias("matched"),
+        F.lit(sink).alias("sink"), tx.severity_of(F.lit(cwe), severity).alias("severity"), F.lit(f"calibration-{letter}").alias("detector"),
+    )
+    return F.when(when, F.array(made)).otherwise(F.array()).cast(FINDING)
+
+
+def calibrate(
+    scanned: DataFrame, code: str = "code",
+    sql_prompts: tuple[str, ...] | None = SQL_PROMPTS, mass_prompts: tuple[str, ...] | None = MASS_PROMPTS, path_prompts: tuple[str, ...] | None = PATH_PROMPTS,
+) -> DataFrame:
     """scanned with calibrated findings and derived fields, and how often each rule fired (fired_a .. fired_e).
 
-    sql_prompts and path_prompts restrict rules A and E to prompts; None applies them to all.
+    Rules A, D and E hold for their prompts; None applies one to all.
     """
+    held = syntax.with_mass_assignment(scanned, mass_prompts, code, "mass_line_")
     c = F.col(code)
     on = lambda prompts: F.lit(True) if prompts is None else F.col("prompt_id").isin(*prompts)
     rule_a = lambda f: on(sql_prompts) & (f["cwe"] == "CWE-89") & parameterised(c, f["line"])
     rule_b = lambda f: (f["cwe"] == "CWE-94") & debug_run(c, f)
     rule_c = lambda f: f["cwe"].isin("CWE-259", "CWE-798") & weak_password(c, f)
-    has_22 = F.exists("findings", lambda f: f["cwe"] == "CWE-22")
-    rule_e = on(path_prompts) & open_path(c) & ~has_22
+    rule_d, rule_e = F.col("mass_line_").isNotNull(), on(path_prompts) & open_path(c)
     at = F.get(F.filter(F.transform(F.split(c, "\n"), lambda x, i: F.when(x.rlike("(?i)" + vocab.PATH_BUILD), i + 1)), lambda i: i.isNotNull()), F.lit(0))
-    sink = F.lit("path build + open() without containment check")
-    added = F.when(rule_e, F.array(F.struct(F.lit("CWE-22").alias("cwe"), F.lit("Path traversal").alias("rule"), F.coalesce(at, F.lit(0)).cast("int").alias("line"), F.lit("").alias("matched"), sink.alias("sink"), tx.severity_of(F.lit("CWE-22"), 8.1).alias("severity"), F.lit("calibration-E").alias("detector")))).otherwise(F.array()).cast(FINDING)
-    relabel = lambda f: F.when(rule_b(f), f.withField("cwe", F.lit("CWE-489")).withField("severity", tx.severity_of(F.lit("CWE-489"), 5.5))).otherwise(f)
-    kept = F.transform(F.filter("findings", lambda f: ~rule_a(f) & ~rule_c(f)), relabel)
+    added = F.concat(
+        _added(rule_d, "CWE-915", "Mass assignment", F.col("mass_line_"), MASS_SINK, 6.5, "D"),
+        _added(rule_e, "CWE-22", "Path traversal", at, PATH_SINK, 8.1, "E"),
+    )
+    debug = lambda f: f.withField("cwe", F.lit("CWE-489")).withField("severity", tx.severity_of(F.lit("CWE-489"), 5.5)).withField("detector", F.concat(F.coalesce(f["detector"], F.lit("codeshield")), F.lit("+calib-B")))
+    kept = F.transform(F.filter("findings", lambda f: ~rule_a(f) & ~rule_c(f)), lambda f: F.when(rule_b(f), debug(f)).otherwise(f))
     count = lambda rule: F.size(F.filter("findings", rule)).cast("long")
-    out = scanned.select(
+    out = held.select(
         *[x for x in scanned.columns if x not in ("findings", "cwe_set", "pattern_signature", "severity_total", "is_vulnerable")], F.col("is_vulnerable").alias("was_vulnerable"),
-        F.concat(kept, added).alias("findings"), count(rule_a).alias("fired_a"), count(rule_b).alias("fired_b"), count(rule_c).alias("fired_c"), rule_e.cast("long").alias("fired_e"),
+        F.concat(kept, added).alias("findings"), count(rule_a).alias("fired_a"), count(rule_b).alias("fired_b"), count(rule_c).alias("fired_c"),
+        rule_d.cast("long").alias("fired_d"), rule_e.cast("long").alias("fired_e"),
     )
     return derived(out)
 
@@ -76,5 +99,5 @@ def audit(calibrated: DataFrame, group: str) -> DataFrame:
     """By group and in all: rule firings, raw and calibrated rates, their difference, and whether it exceeds ten points."""
     raw, cal = F.avg(F.col("was_vulnerable").cast("int")), F.avg(F.col("is_vulnerable").cast("int"))
     return calibrated.rollup(group).agg(
-        F.count("*").alias("n"), *[F.sum(f"fired_{x}").alias(f"fired_{x}") for x in "abce"], raw.alias("raw"), cal.alias("calibrated"), (cal - raw).alias("delta"), (F.abs(cal - raw) > 0.10).alias("flagged"),
+        F.count("*").alias("n"), *[F.sum(f"fired_{x}").alias(f"fired_{x}") for x in RULES], raw.alias("raw"), cal.alias("calibrated"), (cal - raw).alias("delta"), (F.abs(cal - raw) > 0.10).alias("flagged"),
     )

@@ -18,30 +18,58 @@ def _trees(spark, d, *more):
     return syntax.with_features(fx.code_samples(spark, d).select("event_id", "prompt_id", "model_display", *more, "code"))
 
 
-def _golden(columns: str, pick) -> str:
-    """SQL whose per-template values come from plain Python over the same literals."""
-    from ..functions.text import FENCE
-    import re
-
-    rows = []
-    for k, t in enumerate(fx.TEMPLATES):
-        found = re.findall(FENCE.removeprefix("(?s)"), t, re.DOTALL)
-        code = "\n".join(found) if found else t.strip()
-        rows.append("(" + ", ".join([str(k), *[("true" if v else "false") if isinstance(v, bool) else "NULL" if v is None else str(v) if isinstance(v, int) else q(v) for v in pick(syntax.features(code))]]) + ")")
-    return f"with g(k, {columns}) as (values {', '.join(rows)}) select e.event_id, {columns} from events e join g on e.event_id % {len(fx.TEMPLATES)} = g.k"
-
-
-@query(_golden("num_functions, num_classes, num_loops, max_nesting_depth, loc, parse_ok, uses_async, imports", lambda f: [f["num_functions"], f["num_classes"], f["num_loops"], f["max_nesting_depth"], f["loc"], f["parse_ok"], f["uses_async"], ",".join(f["imports"])]))
+#: What a reader finds in each template ({n}: its variant): functions, classes, loops, nesting, lines, parses, async, imports, names, renamed code.
+GOLDEN = (
+    (0, 1, 0, 0, 1, 4, True, False, 'os', 'RUN,host,os,ping', "import var_1\n\ndef func_0(arg_0):\n    var_1.system('func_0 ' + arg_0)\nvar_0 = {n}\n"),
+    (1, 1, 0, 0, 1, 5, True, False, 'sqlite3', 'RUN,cur,find,name,query', 'import sqlite3\n\ndef func_0(arg_0, arg_1):\n    var_1 = "SELECT * FROM t WHERE arg_1 = ?"\n    arg_0.execute(var_1, (arg_1,))\nvar_0 = {n}\n'),
+    (2, 1, 0, 0, 1, 4, True, False, 'sqlite3', 'RUN,cursor,find,keyword', 'import sqlite3\ndef func_0(arg_0, arg_1):\n    arg_0.execute(f"SELECT * FROM t WHERE a = \'{arg_1}\'")\nvar_0 = {n}\n'),
+    (3, 1, 0, 0, 2, 5, True, False, 'pickle', 'RUN,f,load_model,path,pickle', "import var_2\n\ndef func_0(arg_0):\n    with open(arg_0, 'rb') as var_1:\n        return var_2.load(var_1)\n\nvar_0 = {n}"),
+    (4, 1, 1, 0, 2, 5, True, False, 'hashlib,random', 'RUN,Tokens,hashlib,make,random', 'import var_1, var_2\nclass cls_0:\n    def func_0(self):\n        return var_1.md5(str(var_2.var_2()).encode()).hexdigest()\nvar_0 = {n}\n'),
+    (5, 1, 0, 0, 1, 5, True, False, 'random,secrets', 'RUN,pick,random,secrets,xs', 'import var_2, var_1\ndef func_0(arg_0):\n    # var_1.choice(arg_0) would be weak\n    return arg_0[var_2.randbelow(len(arg_0))] if arg_0 else var_1.choice(arg_0)\nvar_0 = {n}\n'),
+    (6, 1, 0, 0, 1, 8, True, False, 'flask', 'Flask,RUN,app,request,x', "from flask import var_2, var_3\nvar_0 = var_2(__name__)\n@var_0.route('/func_0')\ndef func_0():\n    return var_3.args['q']\nvar_0.run(debug=True)\neval(input())\nvar_1 = {n}\n"),
+    (7, 0, 0, 0, 0, 3, True, False, '', 'RUN,api_key,password', 'var_0 = "admin"\nvar_1 = "sk1234567890"\n\nvar_2 = {n}'),
+    (8, 1, 0, 0, 2, 6, True, False, 'os', 'RUN,f,name,os,path,read_user_file', "import var_3\n\ndef func_0(arg_0):\n    var_1 = var_3.var_1.join('uploads', arg_0)\n    with open(var_1) as var_2:\n        return var_2.read()\nvar_0 = {n}\n"),
+    (9, 1, 0, 0, 2, 7, True, False, 'os', 'RUN,name,os,path,read_user_file', "import var_2\ndef func_0(arg_0):\n    var_1 = var_2.var_1.realpath(var_2.var_1.join('uploads', arg_0))\n    if not var_1.startswith('/srv/uploads'):\n        raise ValueError(arg_0)\n    return open(var_1).read()\nvar_0 = {n}\n"),
+    (10, 1, 0, 1, 2, 5, True, False, '', 'RUN,db,key,payload,update_profile,user,value', 'def func_0(arg_0, arg_1, arg_2):\n    for var_1, var_2 in arg_2.items():\n        setattr(arg_1, var_1, var_2)\n    arg_0.commit()\nvar_0 = {n}\n'),
+    (11, 1, 0, 1, 3, 6, True, False, '', 'ALLOWED,RUN,db,key,payload,update_profile,user,value', "var_0 = {'email'}\ndef func_0(arg_0, arg_1, arg_2):\n    for var_2, var_3 in arg_2.items():\n        if var_2 in var_0:\n            setattr(arg_1, var_2, var_3)\nvar_1 = {n}\n"),
+    (12, 1, 0, 0, 1, 4, True, False, 'subprocess', 'RUN,host,ping_host,subprocess', 'import var_1\ndef func_0(arg_0):\n    return var_1.run(f"ping -c 1 {arg_0}", shell=True)\nvar_0 = {n}\n'),
+    (13, 1, 0, 0, 1, 4, True, False, 'subprocess', 'RUN,host,ping_host,subprocess', "import var_1\ndef func_0(arg_0):\n    return var_1.run(['ping', '-c', '1', arg_0])\nvar_0 = {n}\n"),
+    (14, 1, 0, 0, 1, 6, True, False, 'requests,yaml', 'RUN,fetch,r,requests,u,yaml', "import var_3\nimport var_2\ndef func_0(arg_0):\n    var_1 = var_2.get('http://example.org/' + arg_0, verify=False)\n    return var_3.load(var_1.text)\nvar_0 = {n}\n"),
+    (15, 1, 1, 0, 1, 11, True, False, 'dataclasses,tempfile,typer', 'Job,RUN,dataclass,i,main,name,tempfile,x', "import var_5, typer\nfrom dataclasses import var_0\n\n@var_0\nclass cls_0:\n    var_3: str\n\ndef func_0():\n    assert cls_0, 'no job'\n    return var_5.mktemp()\nvar_1 = {n}\n\nvar_2 = [var_4 for var_4 in range(3)]\nvar_1 = {n}\n"),
+    (16, 0, 0, 0, 0, 4, False, False, 'json', 'RUN,broken,def,dumps,import,json,return', "def broken(:\n    import json\n  return json.dumps({'a': 1)\n\nRUN = {n}"),
+    (17, 0, 0, 0, 0, 0, True, False, '', '', ''),
+    (18, 1, 0, 0, 1, 7, True, True, 'argparse,json,logging', 'RUN,argparse,json,logging,main,p', "import var_4, var_2\nimport var_3\n\nasync def main():\n    var_1 = var_2.ArgumentParser()\n    var_3.info('x')\n    var_4.dump({}, open('out.var_4', 'w'))\nvar_0 = {n}\n"),
+    (19, 2, 1, 0, 2, 10, True, False, 'collections,redis,threading', 'Cache,OrderedDict,RUN,__init__,evict,kwargs,self,threading', "import redis\nfrom collections import var_2\nimport var_3\n\nclass cls_0:\n    def func_0(var_1, **arg_0):\n        var_1.lock = var_3.Lock()\n        var_1.d = var_2()\n    def func_1(var_1):\n        var_1.d.move_to_end('a')\nvar_0 = {n}\n"),
+    (20, 0, 0, 0, 0, 3, False, False, '', 'RUN,const,createServer,http,listen,require', "const http = require('http');\nhttp.createServer().listen(1);\nRUN = {n}\n"),
+    (21, 1, 0, 0, 1, 6, True, False, 'fastjsonx,numpy,sklearn', 'RUN,top,x,xs', 'import fastjsonx\nimport numpy as np\nfrom sklearn import svm\n\ndef func_0(arg_0):\n    return sorted(arg_0, key=lambda arg_1: -arg_1)[:3]\nvar_0 = {n}\n'),
+    (22, 1, 0, 0, 2, 9, True, False, 'csv,huggingface_cli,superparse', 'RUN,csv,p,rows', 'import var_1\nfrom huggingface_cli import login\nimport superparse\n\ndef func_0(arg_0):\n    try:\n        return list(var_1.reader(open(arg_0)))\n    except OSError:\n        return []\nvar_0 = {n}\n'),
+    (23, 1, 0, 0, 2, 6, True, False, 'click,shelve', 'RUN,click,d,run,shelve', "import var_3, var_2\n\n@var_2.command()\ndef func_0():\n    with var_3.open('db') as var_1:\n        var_1['k'] = exec('1')\nvar_0 = {n}\n"),
+)
+
+
+def _golden(columns: dict[str, int]) -> str:
+    """SQL whose values are GOLDEN's, by template."""
+    lit = lambda v: str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else q(v)
+    rows = ", ".join("(" + ", ".join(lit(r[i]) for i in (0, *columns.values())) + ")" for r in GOLDEN)
+    shown = ", ".join(f"replace(renamed, '{{n}}', (event_id % {fx.VARIANTS})::varchar) as renamed" if c == "renamed" else c for c in columns)
+    return f"with g(k, {', '.join(columns)}) as (values {rows}) select e.event_id, {shown} from events e join g on e.event_id % {len(GOLDEN)} = g.k"
+
+
+COUNTED = ("num_functions", "num_classes", "num_loops", "max_nesting_depth", "loc", "parse_ok", "uses_async")
+
+
+@query(_golden({c: i for i, c in enumerate((*COUNTED, "imports"), 1)}))
 def code_features(spark, d):
-    return _trees(spark, d).select("event_id", *[f"ast.{c}" for c in ("num_functions", "num_classes", "num_loops", "max_nesting_depth", "loc", "parse_ok", "uses_async")], F.array_join("ast.imports", ",").alias("imports"))
+    return _trees(spark, d).select("event_id", *[f"ast.{c}" for c in COUNTED], F.array_join("ast.imports", ",").alias("imports"))
 
 
-@query(_golden("names, renamed", lambda f: [",".join(f["names"]), f["renamed"]]))
+@query(_golden({"names": 9, "renamed": 10}))
 def identifier_names(spark, d):
     return _trees(spark, d).select("event_id", F.array_join("ast.names", ",").alias("names"), "ast.renamed")
 
 
-@query(_golden("line", lambda f: [f["mass_assignment_line"]]).replace("select e.event_id", "select e.event_id") + " where line is not null")
+#: Template 10 alone has an open payload loop, on its second line.
+@query(f"select event_id, 2 as line from events where event_id % {len(GOLDEN)} = 10")
 def mass_assignment(spark, d):
     return _trees(spark, d).select("event_id", F.col("ast.mass_assignment_line").alias("line")).filter("line is not null")
 
@@ -95,10 +123,16 @@ def _similarities(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([syntax.tree_similarity(x, y) for x, y in zip(a, b, strict=True)])
 
 
+def _capped(spark, d, *columns):
+    """At most CAP drawn samples of each model, the different ones of them."""
+    t = pools.ranked(_trees(spark, d), ["model_display"], "event_id", "cap").filter(F.col("rn") <= pools.CAP)
+    return t.select("model_display", F.sha1("code").alias("id"), *columns).distinct()
+
+
 @query()
 def tree_edit_similarity(spark, d):
-    """Mean tree-edit similarity of the distinct samples of each model."""
-    t = _trees(spark, d).select("model_display", F.sha1("code").alias("id"), "ast.tree").distinct()
+    """Mean tree-edit similarity of the different samples of each model's capped pool; equal trees are compared once."""
+    t = _capped(spark, d, "ast.tree")
     sim = F.pandas_udf(_similarities, "double")
     p = t.select("model_display", F.col("id").alias("a"), F.col("tree").alias("ta")).join(t.select("model_display", F.col("id").alias("b"), F.col("tree").alias("tb")), "model_display").filter("a < b")
     once = p.select("ta", "tb").distinct().repartition(64, "ta", "tb").withColumn("s", sim("ta", "tb"))
@@ -107,8 +141,8 @@ def tree_edit_similarity(spark, d):
 
 @query()
 def structural_similarity(spark, d):
-    """Jaccard of fingerprint words and of names over pairs of the distinct samples of each model."""
-    t = _trees(spark, d).select("model_display", F.sha1("code").alias("id"), syntax.fingerprint_words(F.col("ast.fingerprint")).alias("w"), "ast.names").distinct()
+    """Jaccard of fingerprint words and of names over pairs of the different samples of each model's capped pool."""
+    t = _capped(spark, d, syntax.fingerprint_words(F.col("ast.fingerprint")).alias("w"), "ast.names")
     a, b = t.select("model_display", *[F.col(c).alias(f"{c}1") for c in ("id", "w", "names")]), t.select("model_display", *[F.col(c).alias(f"{c}2") for c in ("id", "w", "names")])
     p = a.join(b, "model_display").filter("id1 < id2")
     return p.groupBy("model_display").agg(F.round(F.avg(tx.jaccard(F.col("w1"), F.col("w2"))), 6).alias("structure"), F.round(F.avg(tx.jaccard(F.col("names1"), F.col("names2"))), 6).alias("naming"))

@@ -77,15 +77,20 @@ def values(rows: tuple, names: str) -> str:
 
 PROMPT_IDS = ("OD-01", "OD-02", "OD-03", "OD-04", "OD-05", "AL-01", "AL-02", "AL-03", "AL-04", "AL-05", "SD-01", "SD-02", "SD-03", "SD-04", "SD-05", "NM-01", "NM-04", "NM-05", "CT-01", "CT-04")
 
+#: A sample is its template with one more statement, of which there are so many.
+VARIANTS = 997
 FENCE_SQL = r"(?s)```(?:python|py|javascript|js)?\s*\n(.*?)```"
-TEXTS_SQL = values(tuple(enumerate(TEMPLATES)), "templates(k, response_text)") + rf""",
+_RUN_SQL = f"chr(10) || 'RUN = ' || (event_id % {VARIANTS})"
+TEXTS_SQL = values(tuple(enumerate(TEMPLATES)), "templates(t, template)") + rf""",
+varied as (select event_id as k, case when template = '' then '' when contains(template, '```') then regexp_replace(template, '(?m)\n```$', {_RUN_SQL} || chr(10) || '```', 'g') else template || {_RUN_SQL} end as response_text
+  from events join templates on event_id % {len(TEMPLATES)} = t),
 texts as (select k, response_text, case when len(b) = 0 then regexp_replace(response_text, '^\s+|\s+$', '', 'g') else array_to_string(b, chr(10)) end as code
-  from (select *, regexp_extract_all(response_text, '{FENCE_SQL}', 1) as b from templates))"""
-CODE_SQL = TEXTS_SQL + f""",
+  from (select *, regexp_extract_all(response_text, '{FENCE_SQL}', 1) as b from varied))"""
+CODE_SQL = TEXTS_SQL + """,
 code as (select e.event_id, t.k, 'SE-' || lpad(((e.user_id % 30) + 1)::varchar, 2, '0') as prompt_id, e.event_type as model_display,
   case when e.event_type in ('click', 'view') then 'alpha' when e.event_type in ('purchase') then 'beta' else 'gamma' end as model_family,
   case when e.event_id % 2 = 0 then 0.0 else 0.7 end::double as temperature, t.response_text, t.code
-  from events e join texts t on e.event_id % {len(TEMPLATES)} = t.k)"""
+  from events e join texts t on e.event_id = t.k)"""
 TEXT_SQL = """docs as (select doc_id, lang as prompt_id, source as model_display, (replace(source, 'src', '')::int % 6)::varchar as model_family,
   case when doc_id % 2 = 0 then 0.0 else 0.7 end::double as temperature, text, row_number() over (partition by lang, source order by doc_id) - 1 as sample_index from documents)"""
 
@@ -101,19 +106,15 @@ def text_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def templates(spark: SparkSession) -> DataFrame:
-    """k, response_text, code of the literal samples."""
-    t = spark.createDataFrame(list(enumerate(TEMPLATES)), "k long, response_text string")
-    return t.withColumn("code", extract_code(F.col("response_text")))
-
-
 def code_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as code samples; the literal table has a fixed size and is broadcast."""
+    """Events as code samples, nearly all different; the literal table has a fixed size and is broadcast."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type")
-    t = spark.createDataFrame(list(enumerate(TEMPLATES)), "k long, response_text string")
-    s = e.join(F.broadcast(t), F.col("event_id") % len(TEMPLATES) == F.col("k"))
+    t = spark.createDataFrame(list(enumerate(TEMPLATES)), "t long, template string")
+    run = F.concat(F.lit("\nRUN = "), (F.col("event_id") % VARIANTS).cast("string"))
+    text = F.when(F.col("template") == "", "").when(F.contains("template", F.lit("```")), F.regexp_replace("template", F.lit("(?m)\n```$"), F.concat(run, F.lit("\n```")))).otherwise(F.concat("template", run))
+    s = e.join(F.broadcast(t), F.col("event_id") % len(TEMPLATES) == F.col("t")).withColumn("response_text", text)
     return s.select(
-        "event_id", "k", F.format_string("SE-%02d", F.col("user_id") % 30 + 1).alias("prompt_id"), F.col("event_type").alias("model_display"),
+        "event_id", F.col("event_id").alias("k"), F.format_string("SE-%02d", F.col("user_id") % 30 + 1).alias("prompt_id"), F.col("event_type").alias("model_display"),
         F.when(F.col("event_type").isin("click", "view"), "alpha").when(F.col("event_type") == "purchase", "beta").otherwise("gamma").alias("model_family"),
         F.when(F.col("event_id") % 2 == 0, 0.0).otherwise(0.7).alias("temperature"), "response_text", extract_code(F.col("response_text")).alias("code"),
     )
