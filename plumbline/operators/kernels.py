@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +31,67 @@ def pair_jaccard(sets: DataFrame, group: list[str], order: str, extra: list[str]
     return a.join(b, group).filter("a < b").withColumn("j", j).drop("ga", "gb")
 
 
+def _shared(a: list[np.ndarray], b: list[np.ndarray], slice_: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all sets of a with all of b, by products of 0/1 rows over slices of the terms that both have."""
+    flat = lambda sets: (np.concatenate([np.zeros(0, np.int64), *sets]), np.repeat(np.arange(len(sets)), [len(x) for x in sets]))
+    (ta, ra), (tb, rb) = flat(a), flat(b)
+    if a is b:
+        terms, n = np.unique(ta, return_counts=True)
+        terms = terms[n > 1]
+    else:
+        terms = np.intersect1d(ta, tb)
+    out = np.zeros((len(a), len(b)))
+
+    def placed(t: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        i = np.searchsorted(terms, t)
+        ok = (i < len(terms)) & (terms[np.minimum(i, len(terms) - 1)] == t)
+        order = np.argsort(i[ok], kind="stable")
+        return i[ok][order], r[ok][order]
+
+    if not len(terms):
+        return out
+    (ia, ra), (ib, rb) = placed(ta, ra), placed(tb, rb)
+    for lo in range(0, len(terms), slice_):
+        rows = []
+        for i, r, n in ((ia, ra, len(a)), (ib, rb, len(b))):
+            x, (s, e) = np.zeros((n, slice_), np.float32), np.searchsorted(i, [lo, lo + slice_])
+            x[r[s:e], i[s:e] - lo] = 1
+            rows.append(x)
+        out += rows[0] @ rows[1].T
+    return out
+
+
+def mean_pair_jaccard(sets: DataFrame, group: list[str], items: str = "g", block: int = 256) -> DataFrame:
+    """group, n_pairs, mean: the mean Jaccard of all pairs of each group's sets (arrays of distinct longs); two empty sets are equal.
+
+    Equal sets are one with a multiplicity. The others are dealt by hash into blocks of about `block`; a task
+    holds two blocks, multiplies them and hands over one sum, so no pair is a row and a group of any size
+    is many tasks. The work is that of all pairs, which the mean is of.
+    """
+    kinds = dict(sets.dtypes)
+    one = sets.select(*group, F.array_sort(items).alias("g")).groupBy(*group, "g").agg(F.count("*").alias("c"))
+    size = one.groupBy(*group).agg(F.count("*").alias("k"), F.sum("c").alias("n"))
+    dealt = one.join(size.select(*group, F.ceil(F.col("k") / block).alias("blocks")), group).withColumn("b", F.pmod(F.xxhash64("g"), "blocks"))
+    pairs = dealt.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    pairs = pairs.select(*group, "g", "c", F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"), (F.col("b") <= F.col("o")).alias("left"))
+
+    def run(name: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        sides = [pdf[pdf["left"]], pdf[~pdf["left"]]]
+        same = name[-1] == name[-2]
+        (a, ca), (b, cb) = [([np.asarray(x, np.int64) for x in s["g"]], s["c"].to_numpy(float)) for s in (sides[0], sides[0] if same else sides[1])]
+        both = _shared(a, a if same else b)
+        union = np.array([len(x) for x in a], float)[:, None] + np.array([len(x) for x in b], float)[None, :] - both
+        j = np.where(union > 0, both / np.where(union > 0, union, 1), 1.0)
+        # Inside a block every pair is met twice, and a set with itself as often as it has copies.
+        total = (ca @ j @ cb - (ca * np.diag(j) * ca).sum()) / 2 + (ca * (ca - 1) / 2).sum() if same else ca @ j @ cb
+        return pd.DataFrame([[*name[: len(group)], float(total)]], columns=[*group, "total"])
+
+    schema = ", ".join(f"{g} {kinds[g]}" for g in group) + ", total double"
+    sums = pairs.groupBy(*group, "p", "q").applyInPandas(run, schema).groupBy(*group).agg(F.sum("total").alias("total"))
+    n_pairs = (F.col("n") * (F.col("n") - 1) / 2).cast("long")
+    return size.filter("n > 1").join(sums, group).select(*group, n_pairs.alias("n_pairs"), (F.col("total") / n_pairs).alias("mean"))
+
+
 def unit(c: Column) -> Column:
     """The vector over its length; zero vectors stay."""
     norm = F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
@@ -133,11 +195,77 @@ def tfidf(df: DataFrame, group: list[str], key: str, terms: Column) -> DataFrame
     return raw.join(norm, [*group, key]).select(*group, key, "term", (F.col("x") / F.col("norm")).alias("w"))
 
 
-def mean_pair_of_sparse(weights: DataFrame, sizes: DataFrame, group: list[str]) -> DataFrame:
-    """Mean cosine of all pairs from sums by term; sizes has group and n."""
-    s = weights.groupBy(*group, "term").agg(F.sum("w").alias("s"), F.sum(F.col("w") * F.col("w")).alias("own"))
-    t = s.groupBy(*group).agg(F.sum(F.col("s") * F.col("s") - F.col("own")).alias("t"))
-    return sizes.join(t, group).filter("n > 1").select(*group, "n", (F.col("t") / (F.col("n") * (F.col("n") - 1))).alias("mean"))
+_WHITE = np.zeros(0x3001, bool)
+_WHITE[[9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = True
+
+
+def hashed_grams(text: str, low: int = 3, high: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the grams that word_bound_grams gives, and how often each stands."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    white = _WHITE[np.minimum(c, 0x3000)] & (c <= 0x3000)
+    edge = np.diff(np.concatenate([[True], white, [True]]).astype(np.int8))
+    s, e = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    # Words in a row, each between two spaces of its own.
+    size = e - s + 2
+    row = np.repeat(np.arange(len(s)), size)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) - 1
+    inside = (at >= 0) & (at < np.repeat(e - s, size))
+    x = np.full(len(row), 32, np.uint64)
+    x[inside] = c[np.repeat(s, size)[inside] + at[inside]]
+    out = []
+    with np.errstate(over="ignore"):
+        for n in range(low, high + 1):
+            m = len(x) - n + 1
+            if m < 1:
+                break
+            h = np.full(m, n, np.uint64)
+            for i in range(n):
+                h = h * np.uint64(0x9E3779B97F4A7C15) + x[i : i + m] + np.uint64(1)
+            h ^= h >> np.uint64(29)
+            out.append(h[row[:m] == row[n - 1 :]] * np.uint64(0xBF58476D1CE4E5B9))
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *out]), return_counts=True)
+
+
+def gram_counts(df: DataFrame) -> DataFrame:
+    """pool, key (longs), text -> pool, key, term, tf: a row for each different gram of a text, counted where the text is read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pool, key, held, n = b.column(0).to_numpy(), b.column(1).to_numpy(), [], 0
+            for i, t in enumerate(b.column(2)):
+                held.append((i, *hashed_grams(t.as_py() or "")))
+                n += len(held[-1][1])
+                if n > 500_000 or i + 1 == len(b):
+                    row = np.repeat([h[0] for h in held], [len(h[1]) for h in held])
+                    term, tf = (np.concatenate([h[k] for h in held]) for k in (1, 2))
+                    yield pa.RecordBatch.from_arrays([pa.array(pool[row]), pa.array(key[row]), pa.array(term.view(np.int64)), pa.array(tf.astype(np.int32))], names=["pool", "key", "term", "tf"])
+                    held, n = [], 0
+
+    return df.mapInArrow(run, "pool long, key long, term long, tf int")
+
+
+#: Rows of pools or of texts (counted) up to which their numbers are broadcast to the terms; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def mean_pair_tfidf(df: DataFrame, group: list[str], key: str, text: str) -> DataFrame:
+    """group, n, mean: mean cosine of all pairs of each group's character n-gram TF-IDF rows, without forming a pair.
+
+    Terms are 64-bit hashes, counted in the scan. They are shuffled by (pool, term) once for document
+    frequencies and, in place, for the sums by term; norms are partial sums by text.
+    """
+    sizes = df.groupBy(*group).agg(F.count("*").alias("n")).withColumn("pool_", F.xxhash64(*group))
+    small = lambda x, n: F.broadcast(x) if n <= BROADCAST_ROWS else x
+    pools, texts = sizes.agg(F.count("*"), F.sum("n")).first()
+    t = gram_counts(df.select(F.xxhash64(*group).alias("pool"), F.col(key).cast("long").alias("key"), F.col(text).alias("text")))
+    t = t.withColumn("df", F.count("*").over(Window.partitionBy("pool", "term")))
+    idf = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1
+    x = t.join(small(sizes.select(F.col("pool_").alias("p"), "n"), pools), F.col("pool") == F.col("p")).select("pool", "key", "term", ((1 + F.log("tf")) * idf).alias("x"))
+    norm = x.groupBy(F.col("pool").alias("np"), F.col("key").alias("nk")).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    w = x.join(small(norm, texts or 0), (F.col("pool") == F.col("np")) & (F.col("key") == F.col("nk"))).select("pool", "term", (F.col("x") / F.col("norm")).alias("w"))
+    s = w.groupBy("pool", "term").agg(F.sum("w").alias("s"), F.sum(F.col("w") * F.col("w")).alias("own"))
+    s = s.groupBy("pool").agg(F.sum(F.col("s") * F.col("s") - F.col("own")).alias("t"))
+    return sizes.filter("n > 1").join(s, F.col("pool_") == F.col("pool")).select(*group, "n", (F.col("t") / (F.col("n") * (F.col("n") - 1))).alias("mean"))
 
 
 # --- effective number of items ----------------------------------------------------------------------

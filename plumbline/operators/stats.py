@@ -59,18 +59,6 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     return mid - half, mid + half
 
 
-def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """n, rho (Pearson of tie-averaged ranks), rho_formula (1 - 6 sum d2 / n(n2-1)) over rows where both are known."""
-    both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y)).select(F.col(x).alias("x"), F.col(y).alias("y"))
-
-    def ranked(c: str) -> Column:
-        return F.rank().over(Window.orderBy(c)) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2
-
-    r = both.withColumn("rx", ranked("x")).withColumn("ry", ranked("y"))
-    a = r.agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("rho"), F.sum((F.col("rx") - F.col("ry")) ** 2).alias("d2"))
-    return a.select("n", "rho", (1 - 6 * F.col("d2") / (F.col("n") * (F.col("n") * F.col("n") - 1))).alias("rho_formula"))
-
-
 def counted_ranks(values: DataFrame, ranges: int = 64) -> DataFrame:
     """v, r: the tie-averaged rank of each value of the counts v, c; no task holds more than a range of the values.
 
@@ -85,8 +73,11 @@ def counted_ranks(values: DataFrame, ranges: int = 64) -> DataFrame:
     return ranged.withColumn("upto", upto).join(F.broadcast(before), "part").select("v", (F.col("before") + F.col("upto") - (F.col("c") - 1) / 2).alias("r"))
 
 
-def spearman_counted(df: DataFrame, x: str, y: str) -> DataFrame:
-    """What spearman gives, from counts of the distinct pairs and values: for tables too large to rank in one task."""
+def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
+    """n, rho (Pearson of tie-averaged ranks), rho_formula (1 - 6 sum d2 / n(n2-1)) over rows where both are known.
+
+    From counts of the distinct pairs and values, so no task ranks them all.
+    """
     both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y))
     counted = pairs = both.groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("c"))
     for k in ("x", "y"):

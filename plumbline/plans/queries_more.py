@@ -28,17 +28,19 @@ def library_metrics(spark, d):
 p as (select a.model_display, case when len(a.i) + len(b.i) = 0 then 1.0 else len(list_intersect(a.i, b.i))::double / (len(a.i) + len(b.i) - len(list_intersect(a.i, b.i))) end as j from s a join s b on a.model_display = b.model_display and a.k < b.k)
 select model_display, count(*) as n_pairs, round(avg(j), 6) as mean from p group by 1""")
 def import_jaccard_mean(spark, d):
-    """Mean Jaccard of import sets over pairs of the distinct samples of each model."""
-    s = qc.imported(spark, d).select("model_display", "k", "imports").distinct()
-    p = kernels.pair_jaccard(s.withColumnRenamed("imports", "g"), ["model_display"], "k")
-    return p.groupBy("model_display").agg(F.count("*").alias("n_pairs"), r6(F.avg("j"), "mean"))
+    """Mean Jaccard of import sets over all pairs of the samples of each model."""
+    s = qc.imported(spark, d).select("model_display", F.transform("imports", lambda x: F.xxhash64(x)).alias("g"))
+    return kernels.mean_pair_jaccard(s, ["model_display"]).select("model_display", "n_pairs", r6("mean"))
 
 
-@query(sc.FEATURES_SQL + """, s as (select k, list_sort(list_distinct(regexp_extract_all(code, '[a-zA-Z_]\\w{2,}'))) as w from features),
-p as (select a.k as a, b.k as b, case when len(a.w) + len(b.w) = 0 then 1.0 else len(list_intersect(a.w, b.w))::double / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) end as j from s a join s b on a.k < b.k) select a, b, round(j, 6) as j from p""")
+@query(sc.FEATURES_SQL + """, s as (select model_display, list_distinct(regexp_extract_all(f.code, '[a-zA-Z_]\\w{2,}')) as w from code c join features f using (k)), d as (select model_display, list_sort(w) as w, count(*) as c from s group by 1, 2),
+n as (select model_display, sum(c) as n, sum(c * (c - 1)) as same from d group by 1),
+p as (select a.model_display, sum(a.c * b.c * case when len(a.w) + len(b.w) = 0 then 1.0 else len(list_intersect(a.w, b.w))::double / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) end) as t from d a join d b on a.model_display = b.model_display and a.w <> b.w group by 1)
+select model_display, (n * (n - 1) / 2)::bigint as n_pairs, round((same + coalesce(t, 0)) / (n * (n - 1)), 6) as mean from n left join p using (model_display)""")
 def naming_fallback_jaccard(spark, d):
-    t = fx.templates(spark).select("k", tx.identifiers(F.col("code")).alias("g")).withColumn("all", F.lit(1))
-    return kernels.pair_jaccard(t, ["all"], "k").select("a", "b", r6("j"))
+    """Mean Jaccard of names, as a pattern finds them, over all pairs of the samples of each model."""
+    s = fx.code_samples(spark, d).select("model_display", F.transform(tx.identifiers(F.col("code")), lambda x: F.xxhash64(x)).alias("g"))
+    return kernels.mean_pair_jaccard(s, ["model_display"]).select("model_display", "n_pairs", r6("mean"))
 
 
 _CAT = "case split_part(prompt_id, '-', 1) " + " ".join(f"when '{k}' then '{v}'" for k, v in vocab.CATEGORIES.items()) + " else 'other' end"
@@ -89,31 +91,20 @@ def last_sample_per_model(spark, d):
     return s.groupBy("prompt_id", "model_display").agg(F.max("event_id").alias("event_id"), F.max_by(F.sha1("code"), "event_id").alias("code"))
 
 
-@query("""with t as (select doc_id, lang, text, unnest(range(1, length(text))) as i from documents where source = 'src0' and length(text) >= 2), c as (select lang, doc_id, substr(text, i, 2) as g, count(*) as c from t group by 1, 2, 3),
-n as (select lang, doc_id, sum(c) as n from c group by 1, 2), s as (select a.lang, a.doc_id as a, b.doc_id as b, sum(least(a.c, b.c)) as common from c a join c b on a.lang = b.lang and a.g = b.g and a.doc_id < b.doc_id group by 1, 2, 3)
-select p.lang, p.doc_id as a, r.doc_id as b, round(coalesce(common, 0) / (p.n + r.n - coalesce(common, 0)), 6) as j from n p join n r on p.lang = r.lang and p.doc_id < r.doc_id left join s on s.a = p.doc_id and s.b = r.doc_id""")
-def multiset_jaccard(spark, d):
-    """Multiset Jaccard of character pairs inside one source, from counts joined on the pair."""
-    return _multisets(table(spark, d, "documents").filter("source = 'src0'"), ["lang"])
-
-
-def _multisets(docs, group):
-    t = docs.select(*group, "doc_id", F.explode(tx.char_ngrams(F.col("text"), 2)).alias("g"))
-    c = t.groupBy(*group, "doc_id", "g").agg(F.count("*").alias("c"))
-    n = c.groupBy(*group, "doc_id").agg(F.sum("c").alias("n"))
-    a, b = c.select(*group, "g", F.col("doc_id").alias("a"), F.col("c").alias("ca")), c.select(*group, "g", F.col("doc_id").alias("b"), F.col("c").alias("cb"))
-    s = a.join(b, [*group, "g"]).filter("a < b").groupBy(*group, "a", "b").agg(F.sum(F.least("ca", "cb")).alias("both"))
-    p = n.select(*group, F.col("doc_id").alias("a"), F.col("n").alias("na")).join(n.select(*group, F.col("doc_id").alias("b"), F.col("n").alias("nb")), group).filter("a < b")
-    both = F.coalesce("both", F.lit(0))
-    return p.join(s, [*group, "a", "b"], "left").select(*group, "a", "b", r6(both / (F.col("na") + F.col("nb") - both), "j"))
-
-
 @query("""with t as (select doc_id, lang, source, text, unnest(range(1, length(text))) as i from documents where length(text) >= 2), c as (select lang, source, doc_id, substr(text, i, 2) as g, count(*) as c from t group by 1, 2, 3, 4),
 n as (select lang, source, doc_id, sum(c) as n from c group by 1, 2, 3), s as (select a.doc_id as a, b.doc_id as b, sum(least(a.c, b.c)) as common from c a join c b on a.lang = b.lang and a.source = b.source and a.g = b.g and a.doc_id < b.doc_id group by 1, 2)
-select p.lang, p.source, p.doc_id as a, r.doc_id as b, round(coalesce(common, 0) / (p.n + r.n - coalesce(common, 0)), 6) as j from n p join n r on p.lang = r.lang and p.source = r.source and p.doc_id < r.doc_id left join s on s.a = p.doc_id and s.b = r.doc_id""")
-def multiset_jaccard_pools(spark, d):
-    """Multiset Jaccard of character pairs inside every pool of a language and a source."""
-    return _multisets(table(spark, d, "documents"), ["lang", "source"])
+select p.lang, p.source, count(*) as n_pairs, round(avg(coalesce(common, 0) / (p.n + r.n - coalesce(common, 0))), 6) as mean from n p join n r on p.lang = r.lang and p.source = r.source and p.doc_id < r.doc_id left join s on s.a = p.doc_id and s.b = r.doc_id group by 1, 2""")
+def multiset_jaccard(spark, d):
+    """Mean multiset Jaccard of character pairs over all pairs of each pool: the n-th time that a gram stands is an item of its own."""
+    t = table(spark, d, "documents").filter("length(text) >= 2").select("lang", "source", F.array_sort(tx.char_ngrams(F.col("text"), 2)).alias("g"))
+    t = t.select("lang", "source", F.explode(F.array("g")).alias("g"))
+    first = F.transform("g", lambda x, i: F.when((i == 0) | (F.get("g", i - 1) != x), i).otherwise(0))
+    t = t.select("lang", "source", "g", F.explode(F.array(first)).alias("f"))
+    # The place of a gram's first occurrence, carried on by doubling steps, numbers the others from it.
+    carry = F.aggregate(F.sequence(F.lit(0), F.lit(30)), F.col("f"), lambda a, k: F.when(F.size(a) > F.call_function("shiftleft", F.lit(1), k), F.transform(a, lambda x, i: F.greatest(x, F.coalesce(F.get(a, i - F.call_function("shiftleft", F.lit(1), k)), F.lit(0))))).otherwise(a))
+    t = t.select("lang", "source", "g", F.explode(F.array(carry)).alias("f"))
+    s = t.select("lang", "source", F.transform("g", lambda x, i: F.xxhash64(x, i - F.get("f", i))).alias("g"))
+    return kernels.mean_pair_jaccard(s, ["lang", "source"]).select("lang", "source", "n_pairs", r6("mean"))
 
 
 @query(sc.SCAN_SQL + ", c as (select prompt_id, model_display, count(*) as n, count(distinct cwes) as sets from scanned where vulnerable group by 1, 2 having count(*) > 1), r as (select *, row_number() over (order by n desc, prompt_id, model_display) as i from c) select prompt_id, model_display, n, sets from r where i <= 10")
@@ -136,10 +127,10 @@ def temperature_sweep(spark, d):
     return kernels.pool_scores(kernels.gram_sets(s, "text"), ["prompt_id", "temperature"], "g", "jaccard").select("prompt_id", "temperature", "n", r6("score"), r6("normalised"))
 
 
-@query()
+@query("select date_trunc('hour', ts) as start, event_type, count(*) as n, round(avg(value), 6) as mean from events group by 1, 2")
 def hourly_events(spark, d):
     """Event counts by hour and type: the batch form of the windowed stream."""
     from ..streaming.incremental import windowed_counts
 
     w = windowed_counts(table(spark, d, "events"))
-    return w.select(F.col("window.start").alias("start"), "event_type", "n", r6("mean"))
+    return w.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", r6("mean"))

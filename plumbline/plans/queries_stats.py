@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import stats
-from .registry import ORACLE, query, table
+from .registry import query, table
 
 _DIV = """with c as (select {g} as grp, {l} as label, count(*) as c from {t} group by 1, 2),
 d as (select *, sum(c) over (partition by grp) as n, row_number() over (partition by grp order by c, label) as i, count(*) over (partition by grp) as k from c)
@@ -68,17 +68,11 @@ def top_labels_other_bucket(spark, d):
 
 
 @query("""with r as (select *, rank() over (order by l_quantity) + (count(*) over (partition by l_quantity) - 1) / 2.0 as rx,
-  rank() over (order by l_extendedprice) + (count(*) over (partition by l_extendedprice) - 1) / 2.0 as ry from lineitem where l_linenumber = 1)
+  rank() over (order by l_extendedprice) + (count(*) over (partition by l_extendedprice) - 1) / 2.0 as ry from lineitem)
 select count(*) as n, round(corr(rx, ry), 6) as rho, round(1 - 6 * sum((rx - ry) * (rx - ry)) / (count(*)::double * (count(*)::double * count(*) - 1)), 6) as rho_formula from r""")
 def rank_correlation(spark, d):
-    one = table(spark, d, "lineitem").filter("l_linenumber = 1")
-    return stats.spearman(one, "l_quantity", "l_extendedprice").select("n", F.round("rho", 6).alias("rho"), F.round("rho_formula", 6).alias("rho_formula"))
-
-
-@query(ORACLE["rank_correlation"].replace(" where l_linenumber = 1", ""))
-def rank_correlation_whole(spark, d):
     """Over every row of the table, ranked from counts of the distinct values."""
-    c = stats.spearman_counted(table(spark, d, "lineitem"), "l_quantity", "l_extendedprice")
+    c = stats.spearman(table(spark, d, "lineitem"), "l_quantity", "l_extendedprice")
     return c.select("n", F.round("rho", 6).alias("rho"), F.round("rho_formula", 6).alias("rho_formula"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import inference, kernels, matching, pools, stats
 from ..sources import fixtures as fx
-from .registry import ORACLE, query, table
+from .registry import query, table
 
 
 def r6(c, name=None):
@@ -29,8 +29,8 @@ _WITHIN = "from g a join g b on a.prompt_id = b.prompt_id and a.model_display =
 
 
 def _within(spark, d, pattern):
-    p = kernels.pair_jaccard(kernels.gram_sets(fx.text_samples(spark, d), "text", pattern), ["prompt_id", "model_display"], "doc_id")
-    return p.groupBy("prompt_id", "model_display").agg(F.count("*").alias("n_pairs"), r6(F.avg("j"), "mean_j"))
+    p = kernels.mean_pair_jaccard(kernels.gram_sets(fx.text_samples(spark, d), "text", pattern), ["prompt_id", "model_display"])
+    return p.select("prompt_id", "model_display", "n_pairs", r6("mean", "mean_j"))
 
 
 @query(_pairs_sql(_TOK, _WITHIN))
@@ -123,9 +123,8 @@ w as (select prompt_id, model_display, doc_id, term, x / sqrt(sum(x * x) over (p
 select prompt_id, model_display, max(n.n) as n, round(sum(s * s - own) / max(n.n * (n.n - 1)), 6) as mean from s join n using (prompt_id, model_display) where n.n > 1 group by 1, 2""")
 def tfidf_char_cosine(spark, d):
     """Mean cosine of character n-gram TF-IDF rows of each pool, without forming a pair."""
-    s = fx.text_samples(spark, d)
     g = ["prompt_id", "model_display"]
-    return kernels.mean_pair_of_sparse(kernels.tfidf(s, g, "doc_id", kernels.word_bound_grams(F.col("text"))), s.groupBy(*g).agg(F.count("*").alias("n")), g).select(*g, "n", r6("mean"))
+    return kernels.mean_pair_tfidf(fx.text_samples(spark, d), g, "doc_id", "text").select(*g, "n", r6("mean"))
 
 
 def _nearest(spark, d) -> DataFrame:
@@ -288,29 +287,23 @@ def subset_recompute(spark, d):
     return stats.diversity(stats.counts(s, ["prompt_id"], "text"), ["prompt_id"]).select("prompt_id", "n", F.round("match_rate", 8).alias("match_rate"))
 
 
-@query("select * from (values (1, 'ab,cd|ef', 'true'), (2, 'x|y,z', 'false')) as t(id, canonical, truth)")
+@query("""with e as (select user_id, event_type, list((event_id % 7)::varchar) as g from events group by 1, 2), c as (select user_id, list_sort(list(list_sort(g))) as c from e group by 1)
+select user_id, array_to_string(list_transform(c, lambda g: array_to_string(g, ',')), '|') as canonical from c""")
 def canonical_outputs(spark, d):
-    t = spark.createDataFrame([(1, [["ef"], ["cd", "ab"]], 1), (2, [["z", "y"], ["x"]], 0)], "id int, groups array<array<string>>, v int")
-    return t.select("id", F.array_join(F.transform(tx.canonical_groups(F.col("groups")), lambda g: F.array_join(g, ",")), "|").alias("canonical"), F.when(F.col("v") != 0, "true").otherwise("false").alias("truth"))
+    """Groups of strings in canonical order: a user's event numbers by type, whatever order they came in."""
+    e = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.collect_list((F.col("event_id") % 7).cast("string")).alias("g"))
+    c = e.groupBy("user_id").agg(F.collect_list("g").alias("c"))
+    return c.select("user_id", F.array_join(F.transform(tx.canonical_groups(F.col("c")), lambda g: F.array_join(g, ",")), "|").alias("canonical"))
 
 
 @query("""with e as (select user_id, event_id, case when event_type = 'error' then 'ERR' else 'OK:' || (event_id % 3) end as r from events),
-t as (select user_id % 10 as prompt, user_id, string_agg(r, ';' order by event_id) as trace, count(*) filter (r <> 'ERR') as ok from e where event_id < 3000 group by 1, 2),
+t as (select user_id % 10 as prompt, user_id, string_agg(r, ';' order by event_id) as trace, count(*) filter (r <> 'ERR') as ok from e group by 1, 2),
 c as (select prompt, trace, count(*) as c from t where ok > 0 group by 1, 2), d as (select *, sum(c) over (partition by prompt) as n from c)
 select prompt, max(n)::bigint as n, count(*) as clusters, round(exp(-sum(c / n * ln(c / n))), 6) as effective from d group by 1""")
 def trace_effective_size(spark, d):
     """Effective number of behaviours among runs with a passing case; a trace is a user's outcomes in order."""
-    return _traces(table(spark, d, "events").filter("event_id < 3000"))
-
-
-def _traces(events):
+    events = table(spark, d, "events")
     e = events.select("user_id", "event_id", F.when(F.col("event_type") == "error", "ERR").otherwise(F.concat(F.lit("OK:"), (F.col("event_id") % 3).cast("string"))).alias("r"))
     t = e.groupBy((F.col("user_id") % 10).alias("prompt"), "user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", "r"))).alias("s"))
     t = t.select("prompt", F.array_join(F.transform("s", lambda x: x["r"]), ";").alias("trace"), F.exists("s", lambda x: x["r"] != "ERR").alias("ok")).filter("ok")
     return stats.diversity(stats.counts(t, ["prompt"], "trace"), ["prompt"]).select("prompt", "n", F.col("k").alias("clusters"), r6("effective"))
-
-
-@query(ORACLE["trace_effective_size"].replace("where event_id < 3000 ", ""))
-def trace_effective_size_whole(spark, d):
-    """The same over every event of the table."""
-    return _traces(table(spark, d, "events"))

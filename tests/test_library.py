@@ -169,12 +169,12 @@ def test_whole_tables_are_covered(spark, duck, tmp_path):
     for u, t in traces.items():
         if set(t) != {"ERR"}:
             pools[u % 10][";".join(t)] += 1
-    got = {r.prompt: (r.n, r.clusters) for r in e.queries()["trace_effective_size_whole"](spark, str(tmp_path)).collect()}
+    got = {r.prompt: (r.n, r.clusters) for r in e.queries()["trace_effective_size"](spark, str(tmp_path)).collect()}
     assert got == {p: (sum(c.values()), len(c)) for p, c in pools.items()}
     n = duck.sql("select count(*) from lineitem").fetchall()[0][0]
-    assert e.queries()["rank_correlation_whole"](spark, DATA).first().n == n
+    assert e.queries()["rank_correlation"](spark, DATA).first().n == n
     want = duck.sql("select sum(n * (n - 1) // 2) from (select count(*) as n from documents where length(text) >= 2 group by lang, source)").fetchall()[0][0]
-    assert e.queries()["multiset_jaccard_pools"](spark, DATA).count() == want
+    assert e.queries()["multiset_jaccard"](spark, DATA).count() == want
 
 
 def test_composite_takes_all_samples(spark):
