@@ -47,10 +47,11 @@ def without_each(df: DataFrame, part: str, name: str = "without_family") -> Data
 
 def fixed_effects(df: DataFrame, group: str, y: str, xs: list[str]) -> dict[str, float]:
     """Slopes of y on xs with an intercept for each group: within-group products summed in one pass, a p x p solve here."""
-    w = Window.partitionBy(group)
     names = [y, *xs]
-    d = df.select(*[(F.col(c) - F.avg(c).over(w)).alias(f"d{i}") for i, c in enumerate(names)])
-    sums = d.agg(*[F.sum(F.col(f"d{i}") * F.col(f"d{j}")).alias(f"s{i}_{j}") for i in range(len(names)) for j in range(i, len(names))]).first()
+    at = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    # A group's products about its means are its covariances times its size: sums that combine before a shuffle.
+    each = df.groupBy(group).agg(*[(F.covar_pop(names[i], names[j]) * F.count("*")).alias(f"s{i}_{j}") for i, j in at])
+    sums = each.agg(*[F.sum(f"s{i}_{j}").alias(f"s{i}_{j}") for i, j in at]).first()
     s = np.array([[sums[f"s{min(i, j)}_{max(i, j)}"] for j in range(len(names))] for i in range(len(names))])
     return dict(zip(xs, np.linalg.solve(s[1:, 1:], s[1:, 0]).tolist(), strict=True))
 

@@ -98,6 +98,14 @@ def unit(c: Column) -> Column:
     return F.transform(c, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
 
 
+def median_pair_cosine(units: DataFrame, group: list[str], key: str, vector: str) -> DataFrame:
+    """group, n_pairs, median: the exact median over the pairs of unit vectors of each pool; pools are what the caller caps."""
+    a = units.select(*group, F.col(key).alias("a"), F.col(vector).alias("u"))
+    b = units.select(*group, F.col(key).alias("b"), F.col(vector).alias("v"))
+    dot = F.aggregate(F.zip_with("u", "v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return a.join(b, group).filter("a < b").groupBy(*group).agg(F.count("*").alias("n_pairs"), F.median(dot).alias("median"))
+
+
 def mean_pair_cosine(df: DataFrame, group: list[str], vector: str) -> DataFrame:
     """Mean cosine of all pairs of each group from one sum of unit vectors: (|sum|^2 - sum of |u|^2) / (n(n-1))."""
     u = df.select(*group, unit(F.col(vector).cast("array<double>")).alias("u"))
@@ -226,6 +234,31 @@ def hashed_grams(text: str, low: int = 3, high: int = 5) -> tuple[np.ndarray, np
     return np.unique(np.concatenate([np.zeros(0, np.uint64), *out]), return_counts=True)
 
 
+def multiset_items(df: DataFrame, group: list[str], text: str, n: int = 2) -> DataFrame:
+    """group and g: the character n-grams of each text as a set, in which the k-th time that a gram stands is an item of its own.
+
+    So the Jaccard of two such sets is the multiset Jaccard of the grams.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for t in b.column(len(group)):
+                c = np.frombuffer((t.as_py() or "").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+                m = max(len(c) - n + 1, 0)
+                h = np.zeros(m, np.uint64)
+                with np.errstate(over="ignore"):
+                    for i in range(n):
+                        h = h * np.uint64(0x9E3779B97F4A7C15) + c[i : i + m] + np.uint64(1)
+                    h = np.sort((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9))
+                    new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])[:m])
+                    k = np.arange(m) - np.repeat(new, np.diff(np.append(new, m)))
+                    out.append(np.sort((h + k.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(group)], pa.array(out, pa.list_(pa.int64()))], names=[*group, "g"])
+
+    kinds = dict(df.dtypes)
+    return df.select(*group, F.col(text).alias("text")).mapInArrow(run, ", ".join(f"{g} {kinds[g]}" for g in group) + ", g array<bigint>")
+
+
 def gram_counts(df: DataFrame) -> DataFrame:
     """pool, key (longs), text -> pool, key, term, tf: a row for each different gram of a text, counted where the text is read."""
 

@@ -29,7 +29,11 @@ def nearest(queries: DataFrame, texts: DataFrame, query_key: str, text_key: str)
     return best.select(query_key, (-F.col("b.k")).alias(text_key), F.col("b.similarity").alias("similarity"))
 
 
-def greedy(matches: DataFrame, top_n: int, min_similarity: float = 0.30, min_solutions: int = 15) -> DataFrame:
+#: The analysis keeps so many candidates, the most similar, then those of most solutions.
+KEEP = 5000
+
+
+def greedy(matches: DataFrame, top_n: int, min_similarity: float = 0.30, min_solutions: int = 15, keep: int = KEEP) -> DataFrame:
     """Picks by similarity * ln(1 + solutions), each problem and each prompt head (120 characters) once.
 
     Columns: match_id, problem_id, prompt, similarity, n_solutions. The thresholds and the exact best
@@ -39,7 +43,8 @@ def greedy(matches: DataFrame, top_n: int, min_similarity: float = 0.30, min_sol
     m = matches.filter((F.col("similarity") >= min_similarity) & (F.col("n_solutions") >= min_solutions)).withColumn("head", F.lower(F.substr("prompt", F.lit(1), F.lit(120)))).withColumn("rank", rank)
     # Of equal (problem, head) pairs only the first by rank can ever be picked.
     first = Window.partitionBy("problem_id", "head").orderBy(F.col("rank").desc(), "match_id")
-    m = m.withColumn("rn", F.row_number().over(first)).filter("rn = 1").select("match_id", "problem_id", "head", "rank")
+    m = m.withColumn("rn", F.row_number().over(first)).filter("rn = 1")
+    m = m.orderBy(F.col("similarity").desc(), F.col("n_solutions").desc(), "match_id").limit(keep).select("match_id", "problem_id", "head", "rank")
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, heads, out = set(), set(), []

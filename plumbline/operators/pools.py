@@ -28,12 +28,15 @@ def intra(df: DataFrame, key: str, cap: int = CAP) -> DataFrame:
 def null_pool(df: DataFrame, sizes: DataFrame, key: str, cap: int = CAP) -> DataFrame:
     """For each prompt as many samples of other prompts as its inter pool has (sizes: prompt_id, n), least draws first.
 
-    Draws do not depend on the prompt they are made for, so the first cap rows of every prompt are
-    all that any other prompt can use; rows never multiply by prompts.
+    Draws do not depend on the prompt they are made for, so the first rows over all prompts are the
+    same for each: 2 * cap rows are broadcast, whatever the tables' sizes.
     """
+    draw = drawn(F.lit("null"), F.col(key).cast("string"))
     first = ranked(df, ["prompt_id"], key, "null").filter(F.col("rn") <= cap).drop("rn").withColumnRenamed("prompt_id", "from_prompt")
-    order = Window.partitionBy("prompt_id").orderBy(drawn(F.lit("null"), F.col(key).cast("string")), key)
-    pairs = first.join(F.broadcast(sizes), F.col("prompt_id") != F.col("from_prompt"))
+    # No prompt has more than cap rows of these, so the first 2 * cap of all hold cap of other prompts for each.
+    first = first.orderBy(draw, key).limit(2 * cap)
+    pairs = sizes.join(F.broadcast(first), F.col("prompt_id") != F.col("from_prompt"))
+    order = Window.partitionBy("prompt_id").orderBy(draw, key)
     return pairs.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= F.least("n", F.lit(cap))).drop("rn", "n").withColumn("pool", F.lit("null"))
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vocab
+from .kernels import pool_scores
+from .stats import counts, diversity, top_k
 
 FINDING = "array<struct<cwe:string,rule:string,line:int,matched:string,sink:string,severity:double,detector:string>>"
 
@@ -53,7 +55,10 @@ def scan(samples: DataFrame, code: str = "code") -> DataFrame:
     Each distinct code is scanned once: repeated answers are common, and the distinct codes are
     found by partial aggregation before anything is scanned.
     """
-    once = derived(samples.select(F.col(code).alias("code_")).distinct().withColumn("findings", rule_findings(F.col("code_"))))
+    parts = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # The codes are few bytes and much work: adaptive execution would leave them to one task.
+    codes = samples.select(F.col(code).alias("code_")).distinct().repartition(parts, "code_")
+    once = derived(codes.withColumn("findings", rule_findings(F.col("code_"))))
     return samples.join(once, F.col(code) == F.col("code_")).drop("code_")
 
 
@@ -117,3 +122,22 @@ def model_pair_overlap(scanned: DataFrame) -> DataFrame:
         F.col("a.prompt_id").alias("prompt_id"), F.col("a.model_display").alias("model_a"), F.col("b.model_display").alias("model_b"),
         ((F.size("a.s") > 0) & (F.col("a.s") == F.col("b.s"))).cast("int").alias("exact"), F.arrays_overlap("a.s", "b.s").cast("int").alias("overlap"),
     )
+
+
+def s2_metrics(scanned: DataFrame, group: list[str]) -> DataFrame:
+    """group, mode (all or vulnerable), n, and in one row the match rate, unique signatures and CWE sets, the effective
+    numbers by equality of signatures, by their Jaccard and by CWE sets, each raw and over n, and the five most frequent signatures.
+
+    Signatures and sets are counted first; the Jaccard kernel is of a group's distinct signatures.
+    """
+    g = [*group, "mode"]
+    mode = F.when(F.col("is_vulnerable"), F.array(F.lit("all"), F.lit("vulnerable"))).otherwise(F.array(F.lit("all")))
+    items = F.transform("pattern_signature", lambda s: F.concat(s["cwe"], F.lit("@"), s["sink"]))
+    s = scanned.select(*group, F.explode(mode).alias("mode"), items.alias("items"), F.array_join("cwe_set", ",").alias("cwes"))
+    signs = counts(s.withColumn("sig", F.array_join("items", ";")), g, "sig")
+    a = diversity(signs, g).select(*g, "n", F.col("k").alias("n_unique"), "match_rate", F.col("effective").alias("indicator"))
+    b = diversity(counts(s, g, "cwes"), g).select(*g, F.col("k").alias("n_unique_cwe"), F.col("effective").alias("cwe"))
+    c = pool_scores(s, g, "items", "jaccard").select(*g, F.col("score").alias("jaccard"))
+    top = top_k(signs, g, 5).groupBy(*g).agg(F.sort_array(F.collect_list(F.struct("rank", "label", "c"))).alias("top"))
+    out = a.join(b, g).join(c, g).join(top, g)
+    return out.select("*", *[(F.col(x) / F.col("n")).alias(f"{x}_norm") for x in ("indicator", "jaccard", "cwe")])

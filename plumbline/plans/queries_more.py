@@ -96,14 +96,7 @@ n as (select lang, source, doc_id, sum(c) as n from c group by 1, 2, 3), s as (s
 select p.lang, p.source, count(*) as n_pairs, round(avg(coalesce(common, 0) / (p.n + r.n - coalesce(common, 0))), 6) as mean from n p join n r on p.lang = r.lang and p.source = r.source and p.doc_id < r.doc_id left join s on s.a = p.doc_id and s.b = r.doc_id group by 1, 2""")
 def multiset_jaccard(spark, d):
     """Mean multiset Jaccard of character pairs over all pairs of each pool: the n-th time that a gram stands is an item of its own."""
-    t = table(spark, d, "documents").filter("length(text) >= 2").select("lang", "source", F.array_sort(tx.char_ngrams(F.col("text"), 2)).alias("g"))
-    t = t.select("lang", "source", F.explode(F.array("g")).alias("g"))
-    first = F.transform("g", lambda x, i: F.when((i == 0) | (F.get("g", i - 1) != x), i).otherwise(0))
-    t = t.select("lang", "source", "g", F.explode(F.array(first)).alias("f"))
-    # The place of a gram's first occurrence, carried on by doubling steps, numbers the others from it.
-    carry = F.aggregate(F.sequence(F.lit(0), F.lit(30)), F.col("f"), lambda a, k: F.when(F.size(a) > F.call_function("shiftleft", F.lit(1), k), F.transform(a, lambda x, i: F.greatest(x, F.coalesce(F.get(a, i - F.call_function("shiftleft", F.lit(1), k)), F.lit(0))))).otherwise(a))
-    t = t.select("lang", "source", "g", F.explode(F.array(carry)).alias("f"))
-    s = t.select("lang", "source", F.transform("g", lambda x, i: F.xxhash64(x, i - F.get("f", i))).alias("g"))
+    s = kernels.multiset_items(table(spark, d, "documents").filter("length(text) >= 2"), ["lang", "source"], "text")
     return kernels.mean_pair_jaccard(s, ["lang", "source"]).select("lang", "source", "n_pairs", r6("mean"))
 
 
@@ -134,3 +127,24 @@ def hourly_events(spark, d):
 
     w = windowed_counts(table(spark, d, "events"))
     return w.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", r6("mean"))
+
+
+@query()
+def s2_metrics(spark, d):
+    """Homogeneity of signatures by prompt, over all samples and over the vulnerable ones, in one row."""
+    m = scan.s2_metrics(qc.scanned(spark, d), ["prompt_id"])
+    top = F.array_join(F.transform("top", lambda t: F.concat(t["label"], F.lit(" x"), t["c"].cast("string"))), " | ")
+    return m.select("prompt_id", "mode", "n", "n_unique", "n_unique_cwe", *[r6(c) for c in ("match_rate", "indicator", "indicator_norm", "jaccard", "jaccard_norm", "cwe", "cwe_norm")], top.alias("top"))
+
+
+@query("""with r as (select *, row_number() over (partition by p_type order by ('0x' || substr(md5('cap|' || p_partkey), 1, 8))::bigint, p_partkey) as rn from part),
+c as (select * from r where rn <= 60), b as (select p_type, avg(p_size) as ms, stddev_pop(p_size) as ss, avg(p_retailprice) as mp, stddev_pop(p_retailprice) as sp from c group by 1),
+z as (select p_type, p_partkey, case when ss > 0 then (p_size - ms) / ss else 0 end as a, case when sp > 0 then (p_retailprice - mp) / sp else 0 end as b from c join b using (p_type)),
+u as (select p_type, p_partkey, a / sqrt(a * a + b * b) as a, b / sqrt(a * a + b * b) as b from z where a <> 0 or b <> 0)
+select x.p_type, count(*) as n_pairs, round(median(x.a * y.a + x.b * y.b), 6) as median from u x join u y on x.p_type = y.p_type and x.p_partkey < y.p_partkey group by 1""")
+def feature_cosine_median(spark, d):
+    """Median cosine of standardised features over the pairs of each group's capped pool."""
+    p = pools.ranked(table(spark, d, "part"), ["p_type"], "p_partkey", "cap").filter(F.col("rn") <= pools.CAP)
+    z = kernels.standardised(p.select("p_type", "p_partkey", F.col("p_size").cast("double").alias("s"), F.col("p_retailprice").alias("r")), ["p_type"], ["s", "r"]).filter("s <> 0 or r <> 0")
+    u = z.select("p_type", "p_partkey", kernels.unit(F.array("s", "r")).alias("u"))
+    return kernels.median_pair_cosine(u, ["p_type"], "p_partkey", "u").select("p_type", "n_pairs", r6("median"))

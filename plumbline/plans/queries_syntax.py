@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import syntax
 from ..functions import text as tx
-from ..operators import inference, kernels, legacy, pools
+from ..operators import inference, kernels, legacy, pillars, pools
 from ..sources import fixtures as fx
 from .registry import query
 from .sql_code import q
@@ -119,6 +119,37 @@ def family_ablation_scores(spark, d):
     return out
 
 
+#: Kernels of code: the column of a pool's items, and the kernel.
+PILLARS = {"token": ("token", "jaccard"), "tree": ("tree", "tree"), "tfidf": ("text", "tfidf")}
+
+
+def _pillar_scores(spark, d, boot=0):
+    """Scores of all pools of code; the samples of one event type stand for those of people."""
+    t = _trees(spark, d)
+    item = {
+        "token": F.array_sort(F.array_distinct(F.transform(tx.ngrams(tx.tokens(F.col("code"), tx.TOKENS), 3), lambda x: F.xxhash64(x)))),
+        "tree": kernels.tree_item(F.col("ast.tree"), F.col("event_id")),
+        "text": F.coalesce("code", F.lit("")),
+    }
+    human = F.col("model_display") == "signup"
+    p = pools.build(t.filter(~human), t.filter(human), "event_id").withColumn("model", F.coalesce("model", F.lit("")))
+    return pillars.scores(p.join(t.select("event_id", *[c.alias(k) for k, c in item.items()]), "event_id"), PILLARS, boot)
+
+
+@query()
+def pillar_scores(spark, d):
+    """Effective number of every prompt's pools under every kernel of code, with intervals."""
+    s = pillars.by_pool(_pillar_scores(spark, d, boot=100))
+    return s.select("kernel", "prompt_id", "pool", "n", *[F.round(c, 6).alias(c) for c in ("score", "normalised", "lo", "hi")])
+
+
+@query()
+def pillar_deltas(spark, d):
+    """Models' pools less people's, raw and over n, by kernel, over the prompts that have all pools under all kernels."""
+    s = pillars.deltas(pillars.by_pool(_pillar_scores(spark, d)), len(PILLARS))
+    return s.select("kernel", "pool", "measure", "n", *[F.round(c, 6).alias(c) for c in ("mean", "lo", "hi", "p")])
+
+
 def _similarities(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([syntax.tree_similarity(x, y) for x, y in zip(a, b, strict=True)])
 

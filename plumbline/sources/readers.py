@@ -5,8 +5,10 @@ from __future__ import annotations
 import io
 import json
 import zipfile
+from collections.abc import Callable
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -135,6 +137,76 @@ def solutions_in(solutions: Column, languages: Column, wanted: tuple[int, ...])
     return F.transform(F.filter(F.arrays_zip(solutions.alias("s"), languages.alias("l")), lambda x: x["l"].isin(*wanted)), lambda x: x["s"])
 
 
+def _problems(df: DataFrame, number: Column, split: Column, question: str, solutions: Column) -> DataFrame:
+    return df.select(number.cast("string").alias("problem_id"), split.alias("split"), F.coalesce(F.col(question), F.lit("")).alias("question"), F.coalesce(solutions, F.array().cast("array<string>")).alias("solutions"))
+
+
+def _held(df: DataFrame, name: str, default: Column) -> Column:
+    return F.coalesce(F.col(name), default) if name in df.columns else default
+
+
+def _place() -> Column:
+    return F.monotonically_increasing_id().cast("string")
+
+
+def _listed(df: DataFrame) -> Column:
+    return F.col("solutions") if dict(df.dtypes)["solutions"].startswith("array") else string_list(F.col("solutions"))
+
+
+def exercises(df: DataFrame) -> DataFrame:
+    """problem_id, split, question, solutions (a list, or one as JSON)."""
+    return _problems(df, _held(df, "problem_id", _place()), _held(df, "split", F.lit("?")), "question", _listed(df))
+
+
+def sourced_exercises(df: DataFrame) -> DataFrame:
+    """As exercises, named by the first of source, id and place that there is."""
+    given = lambda c: F.when(F.col(c).cast("string") != "", F.col(c).cast("string")) if c in df.columns else F.lit(None).cast("string")
+    return _problems(df, F.coalesce(given("source"), given("id"), _place()), _held(df, "split", F.lit("?")), "question", _listed(df))
+
+
+def contests(df: DataFrame, languages: tuple[int, ...] = (1, 3)) -> DataFrame:
+    """As exercises, from a name, a description and a struct of solutions with a language each, of which some are wanted."""
+    given = F.when(F.col("name") != "", F.col("name"))
+    return _problems(df, F.coalesce(given, _place()), F.lit("train"), "description", solutions_in(F.col("solutions.solution"), F.col("solutions.language"), languages))
+
+
+#: Splits in the order in which they are tried.
+SPLITS = ("train", "test", "all", "validation")
+
+
+def first_available(spark: SparkSession, candidates: list[tuple[str, str, Callable[[DataFrame], DataFrame]]]) -> tuple[str, str, DataFrame] | None:
+    """label, split and problems of the first source, in order, with a split (Parquet under path/split) that can be read and has rows.
+
+    candidates: (label, path, mapper). Of a source only its first readable split counts.
+    """
+    for label, path, mapper in candidates:
+        for split in SPLITS:
+            try:
+                rows = mapper(spark.read.parquet(f"{path}/{split}"))
+            except AnalysisException:
+                continue
+            if rows.limit(1).count():
+                return label, split, rows
+            break
+    return None
+
+
+#: One row for each test case of a sample that was run elsewhere; nothing is run here.
+EXECUTION = "prompt_id string, model_display string, sample_index int, case_index int, outcome string, passed boolean"
+
+
+def executions(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(EXECUTION).option("recursiveFileLookup", True).json(path)
+
+
+def traces(rows: DataFrame) -> DataFrame:
+    """prompt_id, model_display, sample_index, trace (outcomes in case order, the last run of a case), n_passed of every sample."""
+    key = ["prompt_id", "model_display", "sample_index"]
+    one = rows.groupBy(*key, "case_index").agg(F.max(F.struct("outcome", "passed")).alias("r"))
+    t = one.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("case_index", "r"))).alias("x"), F.sum(F.col("r.passed").cast("int")).alias("n_passed"))
+    return t.select(*key, F.array_join(F.transform("x", lambda y: F.coalesce(y["r"]["outcome"], F.lit(""))), ";").alias("trace"), F.coalesce("n_passed", F.lit(0)).alias("n_passed"))
+
+
 def curated(spark: SparkSession, path: str) -> DataFrame:
     """Prompts of a curated JSON document; rows without an id or text are skipped, other fields have defaults."""
     df = spark.read.option("multiLine", True).schema("prompts array<struct<id:string,category:string,prompt:string,language:string,notes:string>>").json(path)

@@ -174,7 +174,7 @@ def test_whole_tables_are_covered(spark, duck, tmp_path):
     n = duck.sql("select count(*) from lineitem").fetchall()[0][0]
     assert e.queries()["rank_correlation"](spark, DATA).first().n == n
     want = duck.sql("select sum(n * (n - 1) // 2) from (select count(*) as n from documents where length(text) >= 2 group by lang, source)").fetchall()[0][0]
-    assert e.queries()["multiset_jaccard"](spark, DATA).count() == want
+    assert sum(r.n_pairs for r in e.queries()["multiset_jaccard"](spark, DATA).collect()) == want
 
 
 def test_composite_takes_all_samples(spark):
@@ -262,3 +262,140 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {(r.prompt_id, r.model_display, r.label): r.c for r in spark.table("labels_now").collect()}
     want = {(r.prompt_id, r.model_display, r.label): r.c for r in incremental.label_counts(s).collect()}
     assert got == want
+
+
+def test_pair_means_in_blocks(spark):
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    from plumbline.operators.kernels import hashed_grams, mean_pair_jaccard, multiset_items, word_bound_grams
+
+    rnd = random.Random(4)
+    rows = [("p" if i % 3 else "q", sorted(rnd.sample(range(30), rnd.randrange(0, 9)))) for i in range(120)] + [("one", [1])]
+    df = spark.createDataFrame(rows, "grp string, g array<long>")
+    for block in (7, 1000):
+        got = {r.grp: (r.n_pairs, r["mean"]) for r in mean_pair_jaccard(df, ["grp"], block=block).collect()}
+        assert set(got) == {"p", "q"}
+        for k in got:
+            sets = [set(g) for x, g in rows if x == k]
+            j = [len(a & b) / len(a | b) if a | b else 1.0 for i, a in enumerate(sets) for b in sets[:i]]
+            assert got[k][0] == len(j) and abs(got[k][1] - sum(j) / len(j)) < 1e-9
+    texts = ["", None, "aa aaa", "abab", "\u00e9\u3000x y", " one\ttwo\u0085three ", "\x1c\x1d z"]
+    t = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i long, text string")
+    bags = {r.i: Counter(r.g) for r in t.select("i", word_bound_grams(F.coalesce("text", F.lit(""))).alias("g")).collect()}
+    for i, x in enumerate(texts):
+        term, tf = hashed_grams(x or "")
+        assert sorted(tf.tolist()) == sorted(bags[i].values()) and len(set(term.tolist())) == len(bags[i])
+    sets = {r.i: set(r.g) for r in multiset_items(t, ["i"], "text").collect()}
+    two = lambda x: Counter(x[k : k + 2] for k in range(len(x) - 1))
+    for i, a in enumerate(texts):
+        for k, b in enumerate(texts):
+            assert len(sets[i] & sets[k]) == sum((two(a or "") & two(b or "")).values())
+
+
+def test_renamed_and_payload_loops():
+    import ast
+
+    from plumbline.functions.syntax import mass_assignment, renamed
+
+    code = "def f(a, self):\n    b = a + func_0\n    return print(b, 'a b')\nclass K: pass\n"
+    assert renamed(code, ast.parse(code)) == "def func_0(arg_0, self):\n    var_0 = arg_0 + var_1\n    return print(var_0, 'arg_0 var_0')\nclass cls_0: pass\n"
+    line = lambda c: mass_assignment(c, ast.parse(c))
+    loop = "for k, v in d.items():\n"
+    assert line(loop + "    setattr(o, k, v)") == 1
+    assert line(loop + "    if k in ok:\n        setattr(o, k, v)") is None
+    assert line(loop + "    if hasattr(o, k):\n        setattr(o, k, v)") == 1
+    assert line(loop + "    if k == 'a':\n        setattr(o, k, v)\n    setattr(o, 'x', v)") == 1
+    assert line("for k in x.__dict__:\n    if k not in bad:\n        setattr(o, k, 1)") is None
+    assert line("for k in x:\n    setattr(o, k, 1)") is None
+    assert line(loop + "    # allowed_fields\n    if v in w:\n        setattr(o, 'z', v)") is None
+    assert line("x = 1\nif x:\n    for k, v in d.items():\n        setattr(o, k, v)\n" + loop + "    setattr(o, k, v)") == 5
+
+
+def test_calibration_by_hand(spark):
+    from plumbline.operators.calibrate import calibrate
+    from plumbline.operators.scan import FINDING, derived
+
+    f = lambda cwe, line=1, matched="", sink="s", detector="regex": (cwe, "r", line, matched, sink, 5.0, detector)
+    sql, mass, path = "cur.execute('select ? ', (a,))", "for k, v in d.items():\n    setattr(o, k, v)", "p = os.path.join('u', n)\nopen(p)"
+    rows = [
+        (1, "SE-04", sql, [f("CWE-89")]), (2, "SE-05", sql, [f("CWE-89")]),  # A for its prompt only
+        (3, "SE-01", "app.run(debug=True)", [f("CWE-94", sink="run(debug=True)")]),
+        (4, "SE-01", 'password = "admin"', [f("CWE-798", matched='password = "admin"')]),  # the match decides, and it is long
+        (5, "SE-01", 'password = "admin"', [f("CWE-798")]), (6, "SE-01", "x", [f("CWE-259", matched="'admin'")]), (7, "SE-01", "x", [f("CWE-259", matched='"s3cretword"')]),
+        (8, "SE-28", mass, []), (9, "SE-27", mass, []),
+        (10, "SE-06", path, [f("CWE-22")]), (11, "SE-07", path, []), (12, "SE-06", path + "\nos.path.realpath(p)", []),
+    ]
+    df = derived(spark.createDataFrame(rows, f"id long, prompt_id string, code string, findings {FINDING}"))
+    got = {r.id: ([(x.cwe, x.detector, x.severity) for x in r.findings], [r[f"fired_{c}"] for c in "abcde"], r.is_vulnerable) for r in calibrate(df).collect()}
+    keep = lambda cwe: [(cwe, "regex", 5.0)]
+    none = [0, 0, 0, 0, 0]
+    assert got[1] == ([], [1, 0, 0, 0, 0], False) and got[2] == (keep("CWE-89"), none, True)
+    assert got[3][0][0][:2] == ("CWE-489", "regex+calib-B") and got[3][1] == [0, 1, 0, 0, 0]
+    assert got[4] == (keep("CWE-798"), none, True) and got[5] == ([], [0, 0, 1, 0, 0], False) and got[6][1] == [0, 0, 1, 0, 0] and got[7] == (keep("CWE-259"), none, True)
+    assert [x[0] for x in got[8][0]] == ["CWE-915"] and got[8][0][0][1] == "calibration-D" and got[8][1] == [0, 0, 0, 1, 0] and got[9] == ([], none, False)
+    assert [x[0] for x in got[10][0]] == ["CWE-22", "CWE-22"] and got[10][1] == [0, 0, 0, 0, 1] and got[11] == ([], none, False) and got[12] == ([], none, False)
+    every = {r.id: [r[f"fired_{c}"] for c in "ade"] for r in calibrate(df, sql_prompts=None, mass_prompts=None, path_prompts=None).collect()}
+    assert every[2] == [1, 0, 0] and every[9] == [0, 1, 0] and every[11] == [0, 0, 1]
+
+
+def test_sources_in_order(spark, tmp_path):
+    from plumbline.sources.readers import contests, executions, exercises, first_available, sourced_exercises, traces
+
+    spark.createDataFrame([], "question string, solutions string").write.parquet(f"{tmp_path}/a/train")
+    spark.createDataFrame([("t", "q", '["x", "y"]')], "source string, question string, solutions string").write.parquet(f"{tmp_path}/b/test")
+    spark.createDataFrame([("n", "d", ([1, 2, 3], ["p", "c", "r"])), ("", None, None)], "name string, description string, solutions struct<language:array<int>,solution:array<string>>").write.parquet(f"{tmp_path}/c/all")
+    at = lambda x, m: (x, f"{tmp_path}/{x}", m)
+    label, split, rows = first_available(spark, [at("none", exercises), at("a", exercises), at("b", sourced_exercises), at("c", contests)])
+    assert (label, split) == ("b", "test") and [tuple(r) for r in rows.collect()] == [("t", "?", "q", ["x", "y"])]
+    _, _, rows = first_available(spark, [at("c", contests)])
+    got = {r.problem_id: (r.split, r.question, r.solutions) for r in rows.collect()}
+    assert got.pop("n") == ("train", "d", ["p", "r"]) and list(got.values()) == [("train", "", [])]
+    assert first_available(spark, [at("none", exercises)]) is None
+    lines = [{"prompt_id": "p", "model_display": "m", "sample_index": 0, "case_index": i, "outcome": o, "passed": o == "ok"} for i, o in ((1, "err"), (0, "ok"))]
+    (tmp_path / "runs.jsonl").write_text("\n".join(json.dumps(x) for x in lines))
+    assert [(r.trace, r.n_passed) for r in traces(executions(spark, f"{tmp_path}/runs.jsonl")).collect()] == [("ok;err", 1)]
+
+
+def test_pillars_and_signature_metrics(spark):
+    import math
+
+    from plumbline.operators import pillars
+    from plumbline.operators.kernels import effective_number, jaccard_matrix
+    from plumbline.operators.scan import s2_metrics
+
+    rnd = random.Random(2)
+    rows = [(p, pool, m, [rnd.randrange(6) for _ in range(3)], [float(rnd.random()), 1.0]) for p in ("a", "b") for pool, m in (("inter", ""), ("human", ""), ("intra", "x"), ("intra", "y")) for _ in range(8)]
+    rows += [("c", "inter", "", [1], [1.0, 0.0])] * 3
+    df = spark.createDataFrame(rows, "prompt_id string, pool string, model string, g array<long>, v array<double>")
+    s = pillars.scores(df, {"sets": ("g", "jaccard"), "vectors": ("v", "cosine")})
+    want = effective_number(jaccard_matrix([frozenset(r[3]) for r in rows if r[:3] == ("a", "intra", "x")]))
+    assert abs([r.score for r in s.collect() if (r.kernel, r.prompt_id, r.model) == ("sets", "a", "x")][0] - want) < 1e-6
+    p = pillars.by_pool(s).cache()
+    by = {(r.kernel, r.prompt_id, r.pool): r for r in p.collect()}
+    two = [r.score for r in s.filter("kernel = 'sets' and prompt_id = 'a' and pool = 'intra'").collect()]
+    assert len(two) == 2 and abs(by["sets", "a", "intra"].score - sum(two) / 2) < 1e-9 and by["sets", "a", "intra"].n == 16
+    d = {(r.kernel, r.pool, r.measure): r for r in pillars.deltas(p, 2).collect()}
+    assert len(d) == 8 and all(r.n == 2 for r in d.values())  # prompt c has no human pool
+    mean = sum(by["vectors", x, "inter"].score - by["vectors", x, "human"].score for x in "ab") / 2
+    assert abs(d["vectors", "inter", "raw"]["mean"] - mean) < 1e-9
+    sig = [[("CWE-1", "a")], [("CWE-1", "a")], [("CWE-1", "b"), ("CWE-2", "c")], []]
+    scanned = spark.createDataFrame([("p", x, sorted({c for c, _ in x}), bool(x)) for x in sig], "prompt_id string, pattern_signature array<struct<cwe:string,sink:string>>, cwe_set array<string>, is_vulnerable boolean")
+    m = {r.mode: r for r in s2_metrics(scanned, ["prompt_id"]).collect()}
+    h = lambda c: math.exp(-sum(x / sum(c) * math.log(x / sum(c)) for x in c))
+    a = m["all"]
+    assert (a.n, a.n_unique, a.n_unique_cwe) == (4, 3, 3) and abs(a.match_rate - 1 / 6) < 1e-9 and abs(a.indicator - h([2, 1, 1])) < 1e-6 and [(t.label, t.c) for t in a.top][0] == ("CWE-1@a", 2)
+    assert abs(a.jaccard - effective_number(jaccard_matrix([frozenset(x) for x in sig]))) < 1e-6 and (m["vulnerable"].n, m["vulnerable"].n_unique) == (3, 2) and set(m) == {"all", "vulnerable"}
+
+
+def test_null_pool_and_kept_matches(spark):
+    from plumbline.operators import matching, pools
+
+    rows = [(i, "big" if i % 10 else f"p{i // 10 % 4}", f"m{i % 3}") for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, prompt_id string, model_display string")
+    sizes = spark.createDataFrame([("big", 12), ("p0", 5), ("alone", 3)], "prompt_id string, n long")
+    got = pools.null_pool(df, sizes, "id", cap=8).collect()
+    assert {p: sum(r.prompt_id == p for r in got) for p in ("big", "p0", "alone")} == {"big": 8, "p0": 5, "alone": 3} and all(r.prompt_id != r.from_prompt for r in got)
+    m = spark.createDataFrame([(i, i, f"head {i}", 0.3 + i / 100, 20 + i % 3) for i in range(40)], "match_id long, problem_id long, prompt string, similarity double, n_solutions int")
+    assert {r.match_id for r in matching.greedy(m, 100, keep=5).collect()} == {35, 36, 37, 38, 39} and matching.greedy(m, 3).count() == 3
