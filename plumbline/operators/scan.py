@@ -57,8 +57,9 @@ def scan(samples: DataFrame, code: str = "code") -> DataFrame:
     """
     parts = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # The codes are few bytes and much work: adaptive execution would leave them to one task.
-    codes = samples.select(F.col(code).alias("code_")).distinct().repartition(parts, "code_")
-    once = derived(codes.withColumn("findings", rule_findings(F.col("code_"))))
+    codes = samples.select(F.col(code).alias("code_")).distinct().repartition(parts)
+    # A filter on findings must not be pushed below them: it would scan every sample again to decide.
+    once = derived(codes.select("code_", F.explode(F.array(rule_findings(F.col("code_")))).alias("findings")))
     return samples.join(once, F.col(code) == F.col("code_")).drop("code_")
 
 

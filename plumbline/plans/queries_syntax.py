@@ -124,16 +124,18 @@ PILLARS = {"token": ("token", "jaccard"), "tree": ("tree", "tree"), "tfidf": ("t
 
 
 def _pillar_scores(spark, d, boot=0):
-    """Scores of all pools of code; the samples of one event type stand for those of people."""
-    t = _trees(spark, d)
-    item = {
-        "token": F.array_sort(F.array_distinct(F.transform(tx.ngrams(tx.tokens(F.col("code"), tx.TOKENS), 3), lambda x: F.xxhash64(x)))),
-        "tree": kernels.tree_item(F.col("ast.tree"), F.col("event_id")),
-        "text": F.coalesce("code", F.lit("")),
-    }
+    """Scores of all pools of code; the samples of one event type stand for those of people. Only codes in pools are parsed."""
+    c = fx.code_samples(spark, d).select("event_id", "prompt_id", "model_display", "code")
     human = F.col("model_display") == "signup"
-    p = pools.build(t.filter(~human), t.filter(human), "event_id").withColumn("model", F.coalesce("model", F.lit("")))
-    return pillars.scores(p.join(t.select("event_id", *[c.alias(k) for k, c in item.items()]), "event_id"), PILLARS, boot)
+    p = pools.build(c.filter(~human).drop("code"), c.filter(human).drop("code"), "event_id").withColumn("model", F.coalesce("model", F.lit("")))
+    p = p.join(c.select("event_id", "code"), "event_id")
+    grams = F.array_sort(F.array_distinct(F.transform(tx.ngrams(tx.tokens(F.col("code"), tx.TOKENS), 3), lambda x: F.xxhash64(x))))
+    made = {"token": p.withColumn("token", grams), "tree": syntax.with_features(p).withColumn("tree", kernels.tree_item(F.col("ast.tree"), F.col("event_id"))), "tfidf": p.withColumn("text", F.coalesce("code", F.lit("")))}
+    out = None
+    for name, spec in PILLARS.items():
+        one = pillars.scores(made[name], {name: spec}, boot)
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query()
