@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .inference import bootstrap_mean
@@ -21,10 +21,12 @@ def scores(pooled: DataFrame, kernels: dict[str, tuple[str, str]], boot: int = 0
 
 def by_pool(scored: DataFrame) -> DataFrame:
     """One row for each kernel, prompt and pool; of the pools within models the mean over models, with their 2.5 and 97.5 percentiles."""
-    own = scored.filter("pool <> 'intra'").select("kernel", "prompt_id", "pool", "n", "score", "normalised", "lo", "hi")
+    # A pool across models has one row, which the same sums leave as it is: the scores are made once.
     p = F.percentile("score", F.array(F.lit(0.025), F.lit(0.975)))
-    within = scored.filter("pool = 'intra'").groupBy("kernel", "prompt_id", "pool").agg(F.sum("n").alias("n"), F.avg("score").alias("score"), F.avg("normalised").alias("normalised"), p.alias("p"))
-    return own.unionByName(within.select("kernel", "prompt_id", "pool", "n", "score", "normalised", F.get("p", F.lit(0)).alias("lo"), F.get("p", F.lit(1)).alias("hi")))
+    own = F.array(F.max("lo"), F.max("hi"))
+    one = scored.groupBy("kernel", "prompt_id", "pool").agg(F.sum("n").alias("n"), F.avg("score").alias("score"), F.avg("normalised").alias("normalised"), p.alias("p"), own.alias("own"))
+    p = F.when(F.col("pool") == "intra", F.col("p")).otherwise(F.col("own"))
+    return one.select("kernel", "prompt_id", "pool", "n", "score", "normalised", F.get(p, F.lit(0)).alias("lo"), F.get(p, F.lit(1)).alias("hi"))
 
 
 def deltas(summary: DataFrame, n_kernels: int, b: int = 200) -> DataFrame:
@@ -33,8 +35,7 @@ def deltas(summary: DataFrame, n_kernels: int, b: int = 200) -> DataFrame:
     Only prompts that have all three pools under every kernel are paired.
     """
     s = summary.filter("pool in ('inter', 'intra', 'human')")
-    full = s.groupBy("prompt_id").agg(F.count("*").alias("k")).filter(F.col("k") == 3 * n_kernels).select("prompt_id")
-    s = s.join(full, "prompt_id", "left_semi")
+    s = s.withColumn("k", F.count("*").over(Window.partitionBy("prompt_id"))).filter(F.col("k") == 3 * n_kernels)
     long = s.select("kernel", "prompt_id", "pool", F.explode(F.create_map(F.lit("raw"), "score", F.lit("normalised"), "normalised")).alias("measure", "v"))
     wide = long.groupBy("kernel", "prompt_id", "measure").pivot("pool", ["inter", "intra", "human"]).agg(F.first("v"))
     d = wide.select("kernel", "prompt_id", "measure", F.explode(F.create_map(F.lit("inter"), F.col("inter") - F.col("human"), F.lit("intra"), F.col("intra") - F.col("human"))).alias("pool", "delta"))
