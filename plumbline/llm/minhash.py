@@ -8,12 +8,14 @@ freed of chance (1/256): an estimate of the shingle sets' Jaccard similarity, 1
 
 Near-duplicates are documents linked by a Jaccard similarity of 0.8 or more. Fingerprints are
 cut into BANDS (16) of BAND (5) bytes; texts meet in a bucket if a band agrees, which pairs at
-0.8 do with probability 0.998. Copies are one text, by a 64-bit hash. In each bucket the least
-text is compared with all others; then every text that is not linked to it, through whatever
-buckets, is compared with all texts of the bucket that it is not linked to. So every pair that
-shares a bucket is verified or already connected, but a crowd of near copies costs one comparison
-each. Comparisons are exact: the texts of a pair are brought together, hashed and intersected, in
-groups of a text and at most about GROUP others. Components come from alternating star steps.
+0.8 do with probability 0.998. Copies are one text, by a 64-bit hash. A bucket's texts are
+dealt into groups of about GROUP; in each, the pairs of a spanning forest of greatest likeness are
+verified, twice with another deal, which connects most of what belongs together by one comparison
+a text. Then each text outside a bucket's greatest component is set against all the bucket's
+texts of other components, in blocks, and every pair with a likeness of CUT (0.7) or more is verified.
+So no pair that shares a bucket is lost but those (0.3 % at a similarity of 0.8) below CUT, and a
+crowd of near copies is not compared pair by pair. Verification is exact: the texts of a pair are
+brought together, hashed and intersected. Components come from alternating star steps.
 
 The edited form of a document takes its last floor(n/2) code points from the start of the next
 document by id, of the last one from the first. Texts are range-partitioned and sorted by
@@ -35,16 +37,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_table, hashed_words, mix, release, written
 from .simhash import components
-from .vectors import binaries
+from .vectors import binaries, matrix
 
 PERMS, BANDS, BAND, SHINGLE, JACCARD = 128, 16, 5, 5, 0.8
 GROUP, BROADCAST_ROWS = 256, 1_000_000
+#: Likeness below which a pair is not verified: at a similarity of 0.8, 99.7 % of pairs are above it.
+CUT = 0.7
 #: Bytes of text hashed at a time, and shingles permuted at a time.
 CHUNK, SLICE = 2 << 20, 1 << 16
 TABLE = byte_table(white=True)
@@ -207,6 +212,39 @@ def fingerprinted(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return told.filter("part is null").select(*names).unionByName(met.mapInArrow(last, PIECE))
 
 
+def grouped(table: DataFrame, keys: list[str], run, schema: str) -> DataFrame:
+    """run(rows of one group) -> columns, for every group of keys; groups are small, so many are met in one stream of sorted rows."""
+    names = [f.strip().split()[0] for f in schema.split(",")]
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in _and_end(batches):
+            if b is not None:
+                held.append(b)
+            t = pa.Table.from_batches(held).combine_chunks() if held else None
+            if t is None or not len(t):
+                continue
+            change = np.zeros(len(t) - 1, bool)
+            for k in keys:
+                c = t.column(k).combine_chunks()
+                change |= np.asarray(pa.compute.not_equal(c.slice(1), c.slice(0, len(t) - 1)).to_numpy(zero_copy_only=False), bool)
+            edge = [0, *(np.flatnonzero(change) + 1).tolist(), len(t)]
+            done = edge if b is None else edge[:-1]
+            out = [run(t.slice(x, y - x)) for x, y in zip(done[:-1], done[1:], strict=True)]
+            if out:
+                cols = [np.concatenate([o[i] for o in out]) for i in range(len(names))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
+            held = [] if b is None else t.slice(edge[-2]).to_batches()
+
+    parts = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return table.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(stream, schema)
+
+
+def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
 def verified(pairs: DataFrame, docs: DataFrame, text: str, least: float) -> DataFrame:
     """a, b of the pairs (a, b: hashes of texts, distinct pairs) whose shingle sets have that Jaccard similarity at least.
 
@@ -217,54 +255,103 @@ def verified(pairs: DataFrame, docs: DataFrame, text: str, least: float) -> Data
     dealt = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
     wanted = written(dealt.select("a", "part", F.col("b").alias("rid")).unionByName(dealt.select("a", "part", F.col("a").alias("rid")).distinct()), "wanted")
     ids = wanted.select("rid").distinct()
-    side = (lambda t, n: F.broadcast(t) if n <= BROADCAST_ROWS else t)
+    side = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
     texts = docs.select(F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("rid"), F.col(text).alias("text"))
-    named = texts.join(side(ids, ids.count()), "rid", "left_semi")
-    one = smaller(named).groupBy("rid").agg(F.first("z").alias("z"), F.first("n_bytes").alias("n_bytes"))
+    one = smaller(texts.join(side, "rid", "left_semi")).groupBy("rid").agg(F.first("z").alias("z"), F.first("n_bytes").alias("n_bytes"))
     met = one.join(wanted, "rid").select("a", "part", "rid", "z", "n_bytes")
 
-    def run(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks()
-        a, rids = t.column("a")[0].as_py(), t.column("rid").to_pylist()
-        sets, lead = {}, None
-        for at in range(len(rids)):
-            (raw,) = larger(t.column("z").slice(at, 1), t.column("n_bytes").slice(at, 1))
-            x = np.unique(shingles([raw])[0])
-            if rids[at] == a:
-                lead = x
-            else:
-                sets[rids[at]] = x
-        good = [b for b, x in sets.items() if jaccard(lead, x) >= least]
-        return pa.table({"a": pa.array([a] * len(good), pa.int64()), "b": pa.array(good, pa.int64())})
-
-    return met.groupBy("a", "part").applyInArrow(run, "a long, b long")
+    def run(t: pa.Table) -> list[np.ndarray]:
+        rids, sets = t.column("rid").to_numpy(), []
+        for raw in larger(t.column("z"), t.column("n_bytes")):
+            sets.append(np.unique(shingles([raw])[0]))
+        a = t.column("a")[0].as_py()
+        lead = sets[int(np.flatnonzero(rids == a)[0])]
+        good = np.array([r for r, x in zip(rids.tolist(), sets, strict=True) if r != a and jaccard(lead, x) >= least], np.int64)
+        return [np.full(len(good), a, np.int64), good]
+
+    return grouped(met, ["a", "part"], run, "a long, b long")
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Likeness of every fingerprint of a to every one of b."""
+    same = np.stack([(x == b).sum(axis=1) for x in a]) if len(a) else np.zeros((0, len(b)))
+    return (256 * same / PERMS - 1) / 255
+
+
+def promising(t: pa.Table) -> list[np.ndarray]:
+    """Pairs of one group to verify: the edges between components (`own`) of a spanning forest of greatest likeness, CUT at least."""
+    rid, own, prints = t.column("rid").to_numpy(), t.column("own").to_numpy(), matrix(t.column("fp"), np.uint8, PERMS)
+    none = np.zeros(0, np.int64)
+    if (own == own[0]).all():
+        return [none, none]
+    near = alike(prints, prints)
+    near[own[:, None] == own[None, :]] = 2  # already one component
+    n, best, via, a, b = len(rid), near[0].copy(), np.zeros(len(rid), np.int64), [], []
+    todo = np.ones(n, bool)
+    todo[0] = False
+    for _ in range(n - 1):
+        k = int(np.where(todo, best, -9).argmax())
+        todo[k] = False
+        if CUT <= best[k] < 2:
+            a.append(rid[via[k]])
+            b.append(rid[k])
+        closer = near[k] > best
+        best[closer], via[closer] = near[k][closer], k
+    a, b = np.array(a, np.int64), np.array(b, np.int64)
+    return [np.minimum(a, b), np.maximum(a, b)]
+
+
+def remaining(t: pa.Table) -> list[np.ndarray]:
+    """All pairs of one group, between its rows that are apart and the others, of different components, CUT at least, whose first common band is this one."""
+    rid, own, prints, apart = t.column("rid").to_numpy(), t.column("own").to_numpy(), matrix(t.column("fp"), np.uint8, PERMS), np.asarray(t.column("apart").to_numpy(), bool)
+    x, y = np.flatnonzero(apart), np.flatnonzero(~apart)
+    i, j = np.nonzero((alike(prints[x], prints[y]) >= CUT) & (own[x][:, None] != own[y][None, :]))
+    i, j = x[i], y[j]
+    agree = (prints[i, : BANDS * BAND] == prints[j, : BANDS * BAND]).reshape(-1, BANDS, BAND).all(axis=2)
+    first = agree.argmax(axis=1) == t.column("band")[0].as_py()[0]
+    i, j = i[first], j[first]
+    return [np.minimum(rid[i], rid[j]), np.maximum(rid[i], rid[j])]
 
 
 def near_classes(prints: DataFrame, docs: DataFrame, text: str = "text", least: float = JACCARD) -> DataFrame:
     """rid, root of every text with near duplicates: root is one text of its component; prints has rid and fp of every document."""
+    texts = written(prints.select("rid", "fp").dropDuplicates(["rid"]), "texts")
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.concat(F.unhex(F.lpad(F.hex(i), 2, "0")), F.substring("fp", i * BAND + 1, F.lit(BAND)))))
-    posts = prints.select("rid", band.alias("band"))
-    buckets = written(posts.groupBy("band").agg(F.min("rid").alias("a"), F.max("rid").alias("z")).filter("a < z").select("band", "a"), "buckets")
+    buckets = written(texts.select(band.alias("band")).groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
     side = F.broadcast(buckets) if buckets.count() <= BROADCAST_ROWS else buckets
-    members = written(posts.join(side, "band").distinct(), "members")
-    pairs = members.filter("rid <> a").select("a", F.col("rid").alias("b")).distinct()
-    links = written(verified(pairs, docs, text, least), "links")
-    tree = written(components(links), "tree")
-    # What is not yet connected to its bucket's least text meets all of the bucket that it is not connected to.
-    root = tree.select(F.col("node").alias("n"), F.col("root").alias("r"))
-    placed = members.join(root, F.col("rid") == F.col("n"), "left").select("band", "a", "rid", F.coalesce("r", "rid").alias("own"))
-    placed = written(placed.join(root, F.col("a") == F.col("n"), "left").select("band", "rid", "own", F.coalesce("r", "a").alias("led")), "placed")
-    apart = placed.filter("own <> led").select("band", F.col("rid").alias("x"), F.col("own").alias("own_x"))
-    more = apart.join(placed.filter("rid is not null"), "band").filter("own <> own_x").select(F.least("x", "rid").alias("a"), F.greatest("x", "rid").alias("b")).distinct()
-    more = written(more.join(pairs, ["a", "b"], "left_anti"), "more")
+    members = written(texts.select("rid", "fp", band.alias("band")).join(side, "band"), "members")
+    links = tree = None
+    for turn in range(2):  # in groups of a bucket's texts, another deal each time: most of what belongs together is connected by few comparisons
+        placed = members.withColumn("own", F.col("rid")) if tree is None else _rooted(members, tree)
+        dealt = placed.withColumn("part", F.pmod(F.xxhash64(F.lit(turn), "rid"), F.ceil(F.col("n") / GROUP)))
+        pairs = written(grouped(dealt.select("band", "part", "rid", "own", "fp"), ["band", "part"], promising, "a long, b long").distinct(), "pairs")
+        found = verified(pairs, docs, text, least)
+        links = written(found if links is None else links.unionByName(found), "links")
+        tree = written(components(links), "tree")
+    # Then all pairs of a bucket that are not connected yet: the texts outside its greatest component with all others.
+    placed = written(_rooted(members, tree), "placed")
+    main = placed.groupBy("band", "own").agg(F.count("*").alias("m")).groupBy("band").agg(F.max(F.struct("m", "own")).alias("top"), F.sum("m").alias("n"))
+    main = written(main.filter("top.m < n").select("band", F.col("top.own").alias("main"), F.ceil(F.col("n") / GROUP).alias("ys"), F.ceil((F.col("n") - F.col("top.m")) / GROUP).alias("xs")), "main")
+    open_ = written(placed.drop("n").join(F.broadcast(main) if main.count() <= BROADCAST_ROWS else main, "band"), "open")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n.cast("int") - 1))
+    mine = lambda n: F.pmod(F.xxhash64(F.lit(9), "rid"), n).cast("int")
+    keep = ["band", "rid", "own", "fp"]
+    xs = open_.filter("own <> main").select(*keep, F.lit(True).alias("apart"), mine(F.col("xs")).alias("x"), every(F.col("ys")).alias("y"))
+    ys = open_.select(*keep, F.lit(False).alias("apart"), mine(F.col("ys")).alias("y"), every(F.col("xs")).alias("x"))
+    more = written(grouped(xs.unionByName(ys), ["band", "x", "y"], remaining, "a long, b long").distinct(), "more")
     if more.limit(1).count():
-        extra = written(verified(more, docs, text, least), "links")
-        if extra.limit(1).count():
-            tree = written(components(links.unionByName(extra)), "tree")
-    release(buckets, placed, more)
+        links = written(links.unionByName(verified(more, docs, text, least)), "links")
+        tree = written(components(links), "tree")
+    release(buckets, members, placed, main, open_)
     return tree.select(F.col("node").alias("rid"), "root")
 
 
+def _rooted(members: DataFrame, tree: DataFrame) -> DataFrame:
+    """members with own, the component of each text (itself where it has no link)."""
+    side = F.broadcast(tree) if tree.count() <= BROADCAST_ROWS else tree
+    return members.join(side, F.col("rid") == F.col("node"), "left").withColumn("own", F.coalesce("root", "rid")).drop("node", "root")
+
+
 def with_classes(prints: DataFrame, docs: DataFrame, text: str = "text", least: float = JACCARD) -> DataFrame:
     """prints with class_id: the least doc_id of all documents connected by links (copies included)."""
     tree = written(near_classes(prints, docs, text, least), "classes")
