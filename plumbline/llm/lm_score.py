@@ -1,13 +1,16 @@
 """Language-model scoring by cross-entropy difference.
 
-Two interpolated bigram models, one of the target documents and one of all documents, share
-one vocabulary, one smoothing and one layout; a document's score is the mean over its tokens
-of the target model's loss minus the background model's. Low scores look like the target.
+Two interpolated bigram models, one of the target documents and one of all others, share one
+vocabulary, one smoothing and one layout; a document's score is the mean over its tokens of the
+target model's loss minus the background model's. Low scores look like the target. The models
+are matched: the background's counts are those of all its documents, scaled so that both models
+hold as many tokens. A document's own counts are left out of the model that holds it while it is
+scored, so a score does not tell whether the document was among the target's.
 
 Words, contexts and pairs are items of 63 bits, each with its own counts: the vocabulary is
 as large as the corpus makes it, and nothing is folded into fewer classes (two items meet by
 chance only, at 1e9 items about once in twenty corpora). Documents are dealt into chunks by a
-hash of the row. A chunk hands over each of its distinct items once, with its counts, to the
+hash of the row and its number, so that repeated rows spread. A chunk hands over each of its distinct items once, with its counts, to the
 shard of the item's range; the shard sums and answers each chunk in the order it was asked;
 the chunk scores its documents from the answers. So a hot item is one entry a chunk, no model
 is held in one place, and chunks and shards grow in number with the corpus, not in size. The
@@ -19,7 +22,7 @@ Target documents are found by joining labels; the labelled ids are broadcast up
 
 Edge cases: null and blank texts have no tokens, losses and a score of 0; documents with
 several labels are target if any says so; null ids are never target; repeated rows count
-and are scored each; with no target documents the target model is uniform over the seen
+and are scored each, by models that hold the others; with no target documents the target model is uniform over the seen
 vocabulary; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -125,33 +128,41 @@ def scores(docs: DataFrame, is_target: DataFrame, key: str = "doc_id", text: str
     ids = is_target.select(F.col(is_target.columns[0]).cast("long").alias("t")).filter("t is not null").distinct()
     picked = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     size = picked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunked = picked.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(LEAST, size // CHUNK_BYTES + 1))).cast("int"))
+    chunk = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(max(LEAST, size // CHUNK_BYTES + 1))).cast("int")
     side = F.broadcast(ids) if ids.count() <= broadcast_ids else ids
-    flagged = chunked.join(side, F.col("doc_id") == F.col("t"), "left").select("chunk", "text", F.col("t").isNotNull().alias("wanted"))
+    flagged = picked.withColumn("chunk", chunk).join(side, F.col("doc_id") == F.col("t"), "left").select("chunk", "doc_id", "text", F.col("t").isNotNull().alias("wanted"))
     # About one entry for two bytes: six bytes a token, three items a token, nearly all of them distinct.
     found = written(answers(asked(flagged, max(LEAST, size // 2 // SHARD_ITEMS + 1))), "counts")
     sums = found.filter("chunk is null").agg(*[F.sum(c).alias(c) for c in ("words", "n_target", "n_every")]).first()
-    vocabulary, tokens = max(1, sums.words or 0), {"target": sums.n_target or 0, "every": sums.n_every or 0}
+    vocabulary, n_target = max(1, sums.words or 0), sums.n_target or 0
+    n_rest = (sums.n_every or 0) - n_target
+    scale = n_target / n_rest if n_rest else 0.0
 
     def run(t: pa.Table, got: pa.Table) -> pa.Table:
         row, distinct, at = items(t)
         n, size = len(t), np.bincount(row, minlength=len(t))
+        wanted = np.asarray(t.column("wanted").to_numpy(), bool)[row]
         order = np.argsort(got.column("shard").to_numpy())
-        means = {}
+        count = {}
         for name in ("target", "every"):
             parts = got.column(name)
-            count = np.concatenate([np.zeros(0, np.int64), *[unplaned(parts[int(i)].as_py()) for i in order]])
-            assert len(count) == len(distinct)
-            word, context, pair = count[at]
-            p = (word + ALPHA) / (tokens[name] + ALPHA * vocabulary)
+            count[name] = np.concatenate([np.zeros(0, np.int64), *[unplaned(parts[int(i)].as_py()) for i in order]])
+            assert len(count[name]) == len(distinct)
+        # How often a token's word, context and pair occur in its own document.
+        place, own = np.unique(at + row * len(distinct), return_inverse=True)
+        own = np.bincount(own.ravel(), minlength=len(place))[own].reshape(at.shape)
+        means = {}
+        for name, counts, held, tokens, times in (("target", count["target"], wanted, n_target, 1.0), ("rest", count["every"] - count["target"], ~wanted, n_rest, scale)):
+            word, context, pair = (counts[at] - own * held) * times
+            p = (word + ALPHA) / ((tokens - size[row] * held) * times + ALPHA * vocabulary)
             loss = -np.log((pair + MU * p) / (context + MU))
             means[name] = np.bincount(row, weights=loss, minlength=n) / np.maximum(size, 1)
-        lt, lb = means["target"], means["every"]
+        lt, lb = means["target"], means["rest"]
         return pa.table({"doc_id": t.column("doc_id"), "n_tokens": size.astype(np.int64), "loss_target": lt, "loss_background": lb, "score": lt - lb})
 
     told = found.filter("chunk is not null").select("chunk", "shard", "target", "every")
     schema = "doc_id long, n_tokens long, loss_target double, loss_background double, score double"
-    return chunked.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(run, schema)
+    return flagged.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(run, schema)
 
 
 def op10_lm_score(spark, sf_dir: str) -> DataFrame:

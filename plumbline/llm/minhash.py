@@ -365,6 +365,29 @@ def with_classes(prints: DataFrame, docs: DataFrame, text: str = "text", least:
     return out.withColumn("class_id", F.when(F.col("r").isNull(), F.col("doc_id")).otherwise(F.col("class"))).drop("r", "class")
 
 
+def own_prints(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """key, rid and fp of every document, by one map."""
+    picked = docs.select(F.col(key).cast("long").alias(key), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("rid"), F.col(text).cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [t.as_py() or b"" for t in b.column(2).cast(pa.large_binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), binaries(in_chunks(texts))], names=[key, "rid", "fp"])
+
+    return picked.mapInArrow(run, f"{key} long, rid long, fp binary")
+
+
+def others(rows: DataFrame, key: str = "doc_id", text: str = "text", row: str = "row__") -> DataFrame:
+    """Row numbers of all but one row of every class of near duplicates: the one with the least key (nulls last), then row, stays."""
+    ids = rows.select(F.col(row).alias("n__"), F.col(key).alias("k__"))
+    prints = written(own_prints(rows, row, text), "prints")
+    tree = written(near_classes(prints, rows, text), "classes")
+    rooted = prints.select(F.col(row).alias("n"), "rid").join(tree, "rid", "left").select("n", F.coalesce("root", "rid").alias("root"))
+    each = written(rooted.join(ids, F.col("n") == F.col("n__")).select("n", "root", F.struct(F.col("k__").isNull(), "k__", "n").alias("rank")), "ranks")
+    best = written(each.groupBy(F.col("root").alias("r")).agg(F.min("rank").alias("best"), F.count("*").alias("size")).filter("size > 1").select("r", "best"), "best")
+    return each.join(best, F.col("root") == F.col("r")).filter(F.col("n") != F.col("best.n")).select(F.col("n").alias(row))
+
+
 def op11_minhash(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     made = with_classes(fingerprinted(docs), docs)

@@ -215,31 +215,59 @@ def test_lm_scores(spark, docs, empty):
 
     rows = docs.collect()
     good = spark.createDataFrame([(r.doc_id, "x") for r in rows if r.doc_id % 2] + [(None, "y")], "doc_id long, text string")
-    models = []
-    for pick in (lambda r: r.doc_id % 2, lambda r: True):
-        uni, ctx, bi = collections.Counter(), collections.Counter(), collections.Counter()
-        for r in rows:
-            if pick(r):
-                w = re.findall(WHITE, low(r.text))
-                uni.update(w)
-                ctx.update(["<s>", *w][:-1] if w else [])
-                bi.update(zip(["<s>", *w], w))
-        models.append((uni, ctx, bi))
-    vocab = len(models[1][0])
+    words = lambda t: re.findall(WHITE, low(t))
+    counts = lambda w: (collections.Counter(w), collections.Counter(["<s>", *w][:-1] if w else []), collections.Counter(zip(["<s>", *w], w)))
+    models = {True: [collections.Counter() for _ in range(3)], False: [collections.Counter() for _ in range(3)]}
+    for r in rows:
+        for have, more in zip(models[bool(r.doc_id % 2)], counts(words(r.text))):
+            have.update(more)
+    vocab = len(models[True][0] + models[False][0])
+    scale = {True: 1.0, False: sum(models[True][0].values()) / sum(models[False][0].values())}
     got = scores(docs, good, broadcast_ids=0).collect()
     assert len(got) == len(rows)
     byid = {r.doc_id: r.text for r in rows}
     for r in got:
-        w = re.findall(WHITE, low(byid[r.doc_id]))
-        for (uni, ctx, bi), loss in zip(models, (r.loss_target, r.loss_background)):
-            total = sum(uni.values())
-            want = [-math.log((bi[(a, b)] + MU * (uni[b] + ALPHA) / (total + ALPHA * vocab)) / (ctx[a] + MU)) for a, b in zip(["<s>", *w], w)]
-            assert abs(loss - (sum(want) / len(want) if want else 0)) < 2e-3 * max(1, loss), r
+        w = words(byid[r.doc_id])
+        mine = counts(w)
+        for target, loss in ((True, r.loss_target), (False, r.loss_background)):
+            uni, ctx, bi = ((lambda k, m=m, o=o: (m[k] - (o[k] if bool(r.doc_id % 2) == target else 0)) * scale[target]) for m, o in zip(models[target], mine))
+            total = (sum(models[target][0].values()) - (len(w) if bool(r.doc_id % 2) == target else 0)) * scale[target]
+            want = [-math.log((bi((a, b)) + MU * (uni(b) + ALPHA) / (total + ALPHA * vocab)) / (ctx(a) + MU)) for a, b in zip(["<s>", *w], w)]
+            assert abs(loss - (sum(want) / len(want) if want else 0)) < 1e-9 * max(1, loss), r
         assert r.n_tokens == len(w) and abs(r.score - (r.loss_target - r.loss_background)) < 1e-9
     assert scores(empty, good).count() == 0
     assert scores(docs, good.limit(0)).count() == len(rows)
 
 
+def test_held_out_documents_rank_like_the_target(spark):
+    from plumbline.llm.lm_score import scores
+
+    rnd = random.Random(8)
+    good, other = [f"g{i}" for i in range(300)], [f"o{i}" for i in range(300)]
+    text = lambda first, rest: " ".join(rnd.choice(first if rnd.random() < 0.7 else rest) for _ in range(120))
+    rows = [(i, text(good, other) if i < 200 else text(other, good)) for i in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in scores(df, df.filter("doc_id < 100").select("doc_id")).collect()}
+    labelled, held_out, rest = (sorted(got[i] for i in ids) for ids in (range(100), range(100, 200), range(200, 800)))
+    below = sum(a < b for a in held_out for b in rest)  # a held-out good document ranks above nearly every other one
+    assert below > 0.98 * len(held_out) * len(rest)
+    assert abs(labelled[50] - held_out[50]) < 0.15 * (rest[300] - held_out[50])  # and a label alone is no advantage
+
+
+def test_repeated_rows_spread_over_chunks(spark):
+    from plumbline.llm import lm_score
+
+    same = spark.range(400).selectExpr("7L as doc_id", "'one two three' as text")
+    seen = []
+    keep = lm_score.answers
+    lm_score.answers = lambda entries: seen.append(entries.select("chunk").distinct().count()) or keep(entries)
+    try:
+        assert lm_score.scores(same, same.limit(0)).select("score").distinct().count() == 1
+    finally:
+        lm_score.answers = keep
+    assert seen[0] > 20
+
+
 def test_lm_counts_are_exact_beyond_any_fixed_number_of_classes(spark):
     from plumbline.llm.lm_score import ALPHA, MU, scores
     from pyspark.sql import functions as F
@@ -248,7 +276,10 @@ def test_lm_counts_are_exact_beyond_any_fixed_number_of_classes(spark):
     df = spark.range(docs).select(F.col("id").alias("doc_id"), F.expr(f"array_join(transform(sequence(0, {each - 1}), i -> concat('w', id * {each} + i)), ' ')").alias("text"))
     got = scores(df, df.filter("doc_id < 0")).collect()
     n = docs * each
-    p = (1 + ALPHA) / (n + ALPHA * n)
-    want = -((each - 1) * math.log((1 + MU * p) / (1 + MU)) + math.log((1 + MU * p) / (docs + MU))) / each
-    assert len(got) == docs and all(r.n_tokens == each and abs(r.loss_background - want) < 1e-9 for r in got)
-    assert all(abs(r.loss_target + math.log(ALPHA / (ALPHA * n))) < 1e-9 for r in got)
+    assert len(got) == docs and all(r.n_tokens == each and abs(r.loss_target - math.log(n)) < 1e-9 for r in got)  # an empty target: uniform
+    every = [r.loss_background for r in scores(df, df.filter("doc_id = 0").select("doc_id")).filter("doc_id > 0").collect()]
+    # Left out of the background, a document of words that are all its own has only the start of texts in common with it.
+    rest, k = n - each, each / (n - each)
+    p = ALPHA / ((rest - each) * k + ALPHA * n)
+    want = -((each - 1) * math.log(p) + math.log(MU * p / ((docs - 2) * k + MU))) / each
+    assert len(every) == docs - 1 and all(abs(x - want) < 1e-9 for x in every)

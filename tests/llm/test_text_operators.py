@@ -1,6 +1,9 @@
 """The operators against plain Python versions of their contracts."""
 
+import bisect
 import collections
+import math
+import itertools
 import hashlib
 import re
 
@@ -230,9 +233,49 @@ def test_mixing(docs, empty):
     taken = collections.Counter()
     for r in got:
         assert r["source_size"] == size[r.source] and abs(r.target - want[r.source]) < 1e-6 * max(1, r.target)
-        assert 0 <= r.taken <= 2 * r["size"] and r.key == "k"
+        assert 0 <= r.taken <= 2 * r["size"] and r.key == "k" and (r.taken > 0) == (r.first_slot is not None)
         taken[r.source] += r.taken
-    assert all(abs(taken[s] - want[s]) <= 1 for s in size), (taken, want)
-    again = collections.Counter((r.doc_id, r.taken) for r in mix(docs.repartition(7), slots=2000).collect())
-    assert again == collections.Counter((r.doc_id, r.taken) for r in got)
+    # What a source takes is as many equal blocks as points fall to it, and near its target.
+    slots, total, place = max(2000, 1000 * len(size)), sum(want.values()), dealt(want, 0.6180339887498949, max(2000, 1000 * len(size)))
+    for s in size:
+        assert taken[s] == min(2 * size[s], math.floor(place[s] * (total / slots) + 0.5))
+        assert abs(taken[s] - want[s]) <= 6 * total / slots + 1, (taken, want)
+    again = collections.Counter((r.doc_id, r.taken, r.first_slot) for r in mix(docs.repartition(7), slots=2000).collect())
+    assert again == collections.Counter((r.doc_id, r.taken, r.first_slot) for r in got)
     assert mix(empty).count() == 0
+
+
+def dealt(want, step, slots):
+    """Points of the sequence that fall into each source's part of the unit interval; one for a source without any."""
+    names = [s for s in sorted(want, key=lambda s: (s is None, s or "")) if want[s] > 0]
+    ends = list(itertools.accumulate(want[s] for s in names))
+    found = collections.Counter({s: 0 for s in want})
+    for i in range(1, slots + 1):
+        u = i * step - math.floor(i * step)
+        found[names[min(bisect.bisect_right([e / ends[-1] for e in ends], u), len(names) - 1)]] += 1
+    for s in names:
+        found[s] = found[s] or 1
+    return found
+
+
+def test_the_sequence_decides_the_mix(spark, docs, monkeypatch):
+    from plumbline.llm import mixing
+
+    golden = {(r.doc_id, r.taken, r.first_slot) for r in mixing.mix(docs, slots=2000).collect()}
+    monkeypatch.setattr(mixing, "GOLDEN", 0.5)  # all points on two values: at most two sources are dealt more than their one slot
+    halves = mixing.mix(docs, slots=2000).collect()
+    taken = collections.Counter()
+    for r in halves:
+        taken[r.source] += r.taken
+    assert len(golden & {(r.doc_id, r.taken, r.first_slot) for r in halves}) < len(golden) / 2
+    assert sum(v > 10 for v in taken.values()) <= 2 < len(taken)
+
+
+def test_one_row_repeated_is_dealt_to_many_buckets(spark):
+    from plumbline.llm.mixing import copies, mix
+
+    same = spark.range(900).selectExpr("5L as doc_id", "'a b c' as text", "'s' as source").repartition(4)
+    got = mix(same, slots=500).collect()
+    assert len(got) == 900 and all(0 <= r.taken <= 6 for r in got) and abs(sum(r.taken for r in got) - 1.5 * 2700) <= 1.5 * 2700 / 1000 * 2
+    numbered = copies(same.selectExpr("monotonically_increasing_id() as uid", "doc_id", "3L as size", "0 as place"))
+    assert sorted(r.copy for r in numbered.collect()) == list(range(900))
