@@ -10,12 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.llm import minhash, simhash
 from plumbline.llm.common import written
 from plumbline.llm.decontaminate import RESULTS, mark
 from plumbline.llm.mixing import mix
 from plumbline.llm.pii import mask
 from plumbline.llm.quality import judge
-from plumbline.llm.simhash import numbered, others
+from plumbline.llm.simhash import numbered
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 BROADCAST_ROWS = 1_000_000
@@ -27,14 +28,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each SimHash component: that of the least doc_id (rows without one last), of repeated rows the first.
+    """One row of each group of near duplicates: that of the least doc_id (rows without one last), of repeated rows the first.
 
-    The others' row numbers are joined out: broadcast up to BROADCAST_ROWS, by a shuffle beyond.
+    Groups are SimHash's (three-word shingles, two bits) and then, of the rows that stay, those linked by a verified
+    five-word Jaccard similarity of 0.8 or more, which two bits mostly miss. The others' row numbers are
+    joined out: broadcast up to BROADCAST_ROWS, by a shuffle beyond.
     """
     rows = numbered(docs.select(*COLUMNS))
-    gone = written(others(rows), "others")
-    side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    return rows.join(side, "row__", "left_anti").select(*COLUMNS)
+    for find in (simhash.others, minhash.others):
+        gone = written(find(rows), "others")
+        rows = rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "row__", "left_anti")
+    return rows.select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
