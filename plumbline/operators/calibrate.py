@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..functions import syntax
 from ..functions import text as tx
 from ..functions import vocab
-from .scan import FINDING, derived
+from .scan import derived
 
 # The prompts that rules A, D and E speak of, and the sinks of what D and E add.
 SQL_PROMPTS, MASS_PROMPTS, PATH_PROMPTS = ("SE-04",), ("SE-28",), ("SE-06",)
 MASS_SINK = "setattr(<obj>, <user_key>, <user_val>) in payload-items loop"
 PATH_SINK = "path build + open() without realpath/is_relative_to containment check"
+DEBUG_DESCRIPTION = "flask_debug_true"
 RULES = "abcde"
 
 
@@ -38,14 +40,15 @@ def parameterised(code: Column, line: Column) -> Column:
     return F.when(line > 0, held(near)).otherwise(False) | held(code)
 
 
-def debug_run(code: Column, f: Column) -> Column:
-    """Rule B: a debug server flag was reported as code injection."""
-    return F.contains(f["sink"], F.lit("debug=True")) | F.contains(f["sink"], F.lit("debug = True")) | _line(code, f["line"]).rlike("(?i)" + vocab.DEBUG_RUN)
+def debug_run(code: Column, f: Column, description: Column) -> Column:
+    """Rule B: a debug server flag was reported as code injection, by the finding's description, its sink or its line."""
+    named = F.contains(F.lower(F.coalesce(description, F.lit(""))), F.lit(DEBUG_DESCRIPTION))
+    return named | F.contains(f["sink"], F.lit("debug=True")) | F.contains(f["sink"], F.lit("debug = True")) | _line(code, f["line"]).rlike("(?i)" + vocab.DEBUG_RUN)
 
 
-def weak_password(code: Column, f: Column) -> Column:
+def weak_password(code: Column, f: Column, matched: Column) -> Column:
     """Rule C: what was matched (the line's literal where that is empty) is empty, short, without a letter, or a placeholder."""
-    v = F.coalesce(tx.strip(f["matched"]), F.lit(""))
+    v = F.coalesce(tx.strip(matched), F.lit(""))
     v = tx.strip(F.when(v == "", tx.string_literal(_line(code, f["line"]))).otherwise(v))
     v = F.regexp_replace(v, r"""(?s)^(["'])(.*)\1$""", "$2")
     return (F.length(v) < 6) | ~v.rlike("[a-zA-Z]") | F.lower(v).isin(*vocab.PLACEHOLDERS)
@@ -56,12 +59,13 @@ def open_path(code: Column) -> Column:
     return code.rlike("(?i)" + vocab.PATH_BUILD) & code.rlike("(?i)" + vocab.PATH_OPEN) & ~code.rlike("(?i)" + vocab.PATH_CONTAINED)
 
 
-def _added(when: Column, cwe: str, rule: str, line: Column, sink: str, severity: float, letter: str) -> Column:
-    made = F.struct(
-        F.lit(cwe).alias("cwe"), F.lit(rule).alias("rule"), F.coalesce(line, F.lit(0)).cast("int").alias("line"), F.lit("").alias("matched"),
-        F.lit(sink).alias("sink"), tx.severity_of(F.lit(cwe), severity).alias("severity"), F.lit(f"calibration-{letter}").alias("detector"),
-    )
-    return F.when(when, F.array(made)).otherwise(F.array()).cast(FINDING)
+def _added(when: Column, cwe: str, rule: str, line: Column, sink: str, severity: float, letter: str, kind: ArrayType) -> Column:
+    made = {
+        "cwe": F.lit(cwe), "rule": F.lit(rule), "line": F.coalesce(line, F.lit(0)).cast("int"), "matched": F.lit(""), "sink": F.lit(sink),
+        "severity": tx.severity_of(F.lit(cwe), severity), "detector": F.lit(f"calibration-{letter}"), "description": F.lit(rule),
+    }
+    one = F.struct(*[made.get(n, F.lit(None)).alias(n) for n in kind.elementType.fieldNames()])
+    return F.when(when, F.array(one)).otherwise(F.array()).cast(kind)
 
 
 def calibrate(
@@ -70,19 +74,22 @@ def calibrate(
 ) -> DataFrame:
     """scanned with calibrated findings and derived fields, and how often each rule fired (fired_a .. fired_e).
 
-    Rules A, D and E hold for their prompts; None applies one to all.
+    Rules A, D and E hold for their prompts; None applies one to all. Findings are those of `scan` or as the
+    reader of scan results gives them (with a description, without a rule or what was matched).
     """
+    kind = scanned.schema["findings"].dataType
+    field = lambda f, name: f[name] if name in kind.elementType.fieldNames() else F.lit(None).cast("string")
     held = syntax.with_mass_assignment(scanned, mass_prompts, code, "mass_line_")
     c = F.col(code)
     on = lambda prompts: F.lit(True) if prompts is None else F.col("prompt_id").isin(*prompts)
     rule_a = lambda f: on(sql_prompts) & (f["cwe"] == "CWE-89") & parameterised(c, f["line"])
-    rule_b = lambda f: (f["cwe"] == "CWE-94") & debug_run(c, f)
-    rule_c = lambda f: f["cwe"].isin("CWE-259", "CWE-798") & weak_password(c, f)
+    rule_b = lambda f: (f["cwe"] == "CWE-94") & debug_run(c, f, field(f, "description"))
+    rule_c = lambda f: f["cwe"].isin("CWE-259", "CWE-798") & weak_password(c, f, field(f, "matched"))
     rule_d, rule_e = F.col("mass_line_").isNotNull(), on(path_prompts) & open_path(c)
     at = F.get(F.filter(F.transform(F.split(c, "\n"), lambda x, i: F.when(x.rlike("(?i)" + vocab.PATH_BUILD), i + 1)), lambda i: i.isNotNull()), F.lit(0))
     added = F.concat(
-        _added(rule_d, "CWE-915", "Mass assignment", F.col("mass_line_"), MASS_SINK, 6.5, "D"),
-        _added(rule_e, "CWE-22", "Path traversal", at, PATH_SINK, 8.1, "E"),
+        _added(rule_d, "CWE-915", "Mass assignment", F.col("mass_line_"), MASS_SINK, 6.5, "D", kind),
+        _added(rule_e, "CWE-22", "Path traversal", at, PATH_SINK, 8.1, "E", kind),
     )
     debug = lambda f: f.withField("cwe", F.lit("CWE-489")).withField("severity", tx.severity_of(F.lit("CWE-489"), 5.5)).withField("detector", F.concat(F.coalesce(f["detector"], F.lit("codeshield")), F.lit("+calib-B")))
     kept = F.transform(F.filter("findings", lambda f: ~rule_a(f) & ~rule_c(f)), lambda f: F.when(rule_b(f), debug(f)).otherwise(f))

@@ -163,10 +163,10 @@ def all_but_top(df: DataFrame, vector: str, k: int = 1) -> DataFrame:
 
 
 def standardised(df: DataFrame, group: list[str], columns: list[str]) -> DataFrame:
-    """Columns less mean over population deviation in each group; constant columns become zero."""
-    w = Window.partitionBy(*group)
-    z = {c: F.when(F.stddev_pop(c).over(w) > 0, (F.col(c) - F.avg(c).over(w)) / F.stddev_pop(c).over(w)).otherwise(0.0) for c in columns}
-    return df.withColumns(z)
+    """Columns less mean over population deviation in each group; constant columns become zero. Rows of a null group are left out."""
+    m = df.groupBy(*group).agg(*[f(c).alias(f"{n}__{c}") for c in columns for n, f in (("mean", F.avg), ("dev", F.stddev_pop))])
+    z = {c: F.when(F.col(f"dev__{c}") > 0, (F.col(c) - F.col(f"mean__{c}")) / F.col(f"dev__{c}")).otherwise(0.0) for c in columns}
+    return df.join(m, group).withColumns(z).select(*df.columns)
 
 
 # --- character n-grams with idf -------------------------------------------------------------------
@@ -284,14 +284,15 @@ BROADCAST_ROWS = 1_000_000
 def mean_pair_tfidf(df: DataFrame, group: list[str], key: str, text: str) -> DataFrame:
     """group, n, mean: mean cosine of all pairs of each group's character n-gram TF-IDF rows, without forming a pair.
 
-    Terms are 64-bit hashes, counted in the scan. They are shuffled by (pool, term) once for document
-    frequencies and, in place, for the sums by term; norms are partial sums by text.
+    Terms are 64-bit hashes, counted in the scan. Document frequencies are partial sums, joined back, so a term that
+    every text has is no task's whole work; so are the sums by term and the norms by text.
     """
     sizes = df.groupBy(*group).agg(F.count("*").alias("n")).withColumn("pool_", F.xxhash64(*group))
     small = lambda x, n: F.broadcast(x) if n <= BROADCAST_ROWS else x
     pools, texts = sizes.agg(F.count("*"), F.sum("n")).first()
     t = gram_counts(df.select(F.xxhash64(*group).alias("pool"), F.col(key).cast("long").alias("key"), F.col(text).alias("text")))
-    t = t.withColumn("df", F.count("*").over(Window.partitionBy("pool", "term")))
+    f = t.groupBy(F.col("pool").alias("fp"), F.col("term").alias("ft")).agg(F.count("*").alias("df"))
+    t = t.join(f, (F.col("pool") == F.col("fp")) & (F.col("term") == F.col("ft"))).drop("fp", "ft")
     idf = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1
     x = t.join(small(sizes.select(F.col("pool_").alias("p"), "n"), pools), F.col("pool") == F.col("p")).select("pool", "key", "term", ((1 + F.log("tf")) * idf).alias("x"))
     norm = x.groupBy(F.col("pool").alias("np"), F.col("key").alias("nk")).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))

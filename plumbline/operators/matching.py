@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,29 +35,32 @@ KEEP = 5000
 def greedy(matches: DataFrame, top_n: int, min_similarity: float = 0.30, min_solutions: int = 15, keep: int = KEEP) -> DataFrame:
     """Picks by similarity * ln(1 + solutions), each problem and each prompt head (120 characters) once.
 
-    Columns: match_id, problem_id, prompt, similarity, n_solutions. The thresholds and the exact best
-    match of every (problem, head) run in Spark; the two-sided exclusion is sequential over what is left.
+    Columns: match_id, problem_id, prompt, similarity, n_solutions. A match that ranks first at both its ends is the
+    one that a sequential pick would take before any rival, so all such matches are taken at once, the matches that
+    share an end with them go, and the rest is judged again, until none is left. Rounds are few
+    (the longest chain of rivals of falling rank) and each is two aggregates and two joins over what is left.
+    Matches without a problem or a prompt are not picked.
     """
     rank = F.col("similarity") * F.log1p(F.col("n_solutions").cast("double"))
-    m = matches.filter((F.col("similarity") >= min_similarity) & (F.col("n_solutions") >= min_solutions)).withColumn("head", F.lower(F.substr("prompt", F.lit(1), F.lit(120)))).withColumn("rank", rank)
+    m = matches.filter((F.col("similarity") >= min_similarity) & (F.col("n_solutions") >= min_solutions) & F.col("problem_id").isNotNull() & F.col("prompt").isNotNull()).withColumn("head", F.lower(F.substr("prompt", F.lit(1), F.lit(120)))).withColumn("rank", rank)
     # Of equal (problem, head) pairs only the first by rank can ever be picked.
-    first = Window.partitionBy("problem_id", "head").orderBy(F.col("rank").desc(), "match_id")
-    m = m.withColumn("rn", F.row_number().over(first)).filter("rn = 1")
-    m = m.orderBy(F.col("similarity").desc(), F.col("n_solutions").desc(), "match_id").limit(keep).select("match_id", "problem_id", "head", "rank")
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, heads, out = set(), set(), []
-        for r in pdf.sort_values(["rank", "match_id"], ascending=[False, True]).itertuples():
-            if len(out) >= top_n:
-                break
-            if r.problem_id in ids or r.head in heads:
-                continue
-            ids.add(r.problem_id)
-            heads.add(r.head)
-            out.append((r.match_id, r.problem_id, r.rank, len(out) + 1))
-        return pd.DataFrame(out, columns=["match_id", "problem_id", "rank", "place"])
-
-    return m.withColumn("all", F.lit(True)).groupBy("all").applyInPandas(pick, "match_id long, problem_id long, rank double, place long")
+    order = F.struct((-F.col("rank")).alias("r"), F.col("match_id").alias("m"))
+    first = m.groupBy("problem_id", "head").agg(F.min_by(F.struct("match_id", "rank", "similarity", "n_solutions"), order).alias("b")).select("problem_id", "head", "b.*")
+    left = first.orderBy(F.col("similarity").desc(), F.col("n_solutions").desc(), "match_id").limit(keep).select("match_id", "problem_id", "head", "rank", order.alias("o"))
+    left = left.checkpoint() if left.sparkSession.sparkContext.getCheckpointDir() else left.persist()
+    picked = None
+    while left.limit(1).count():
+        by = lambda end: left.groupBy(F.col(end).alias(f"{end}_")).agg(F.min("o").alias(f"{end}_best"))
+        won = left.join(by("problem_id"), F.col("problem_id") == F.col("problem_id_")).join(by("head"), F.col("head") == F.col("head_"))
+        won = won.filter((F.col("o") == F.col("problem_id_best")) & (F.col("o") == F.col("head_best"))).select("match_id", "problem_id", "head", "rank", "o").persist()
+        picked = won if picked is None else picked.unionByName(won)
+        rest = left.join(won.select("problem_id"), "problem_id", "left_anti").join(won.select("head"), "head", "left_anti").select("match_id", "problem_id", "head", "rank", "o")
+        left = rest.checkpoint() if rest.sparkSession.sparkContext.getCheckpointDir() else rest.persist()
+    schema = "match_id long, problem_id long, rank double, place long"
+    if picked is None:
+        return matches.sparkSession.createDataFrame([], schema)
+    top = picked.orderBy("o").limit(top_n)
+    return top.select("match_id", "problem_id", "rank", F.row_number().over(Window.orderBy("o")).cast("long").alias("place"))
 
 
 def quota(df: DataFrame, part: list[str], key: str, cap: int) -> DataFrame:

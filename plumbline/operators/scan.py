@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import flow, vocab
 from ..functions import text as tx
-from ..functions import vocab
 from .kernels import pool_scores
 from .stats import counts, diversity, top_k
 
@@ -15,7 +16,7 @@ FINDING = "array<struct<cwe:string,rule:string,line:int,matched:string,sink:stri
 
 def _first_line(lines: Column, pattern: str) -> Column:
     """Number of the first line that matches and is no comment, from one."""
-    hits = F.filter(F.transform(lines, lambda x, i: F.when(~F.ltrim(x).startswith("#") & x.rlike("(?i)" + pattern), i + 1)), lambda i: i.isNotNull())
+    hits = F.filter(F.transform(lines, lambda x, i: F.when(~tx.strip(x).startswith("#") & x.rlike("(?i)" + pattern), i + 1)), lambda i: i.isNotNull())
     return F.get(hits, F.lit(0))
 
 
@@ -76,6 +77,26 @@ def derived(scanned: DataFrame) -> DataFrame:
     )
 
 
+FLOW = "array<struct<cwe:string,line:int,sink:string,source:string,path:array<int>>>"
+
+
+def flow_findings(samples: DataFrame, key: list[str], code: str = "code", untrusted_parameters: bool = True) -> DataFrame:
+    """key, cwe, line, sink, detector, severity, source, path: calls that untrusted data reaches, and the lines on its way.
+
+    The first six columns are what merge_findings takes. Each distinct code is parsed once, in the
+    partitions that its hash deals it to.
+    """
+
+    @F.pandas_udf(FLOW)
+    def found(codes: pd.Series) -> pd.Series:
+        return pd.Series([[f._asdict() | {"path": list(f.path)} for f in flow.findings(c, untrusted_parameters)] for c in codes])
+
+    parts = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    once = samples.select(F.col(code).alias("code_")).distinct().repartition(parts).select("code_", F.explode(found("code_")).alias("f"))
+    f = samples.select(*key, F.col(code).alias("c_")).join(once, F.col("c_") == F.col("code_")).select(*key, "f.*")
+    return f.select(*key, "cwe", "line", "sink", F.lit("flow").alias("detector"), tx.severity_of(F.col("cwe")).alias("severity"), "source", "path")
+
+
 def merge_findings(*sources: DataFrame, key: list[str]) -> DataFrame:
     """Union of detectors' findings (key, cwe, line, sink, detector, severity), one of each."""
     out = sources[0]

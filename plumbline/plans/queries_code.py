@@ -152,6 +152,23 @@ def scan_findings(spark, d):
     return scanned(spark, d).select("event_id", F.explode("findings").alias("f")).select("event_id", "f.cwe", "f.rule", "f.line", "f.matched", "f.sink", "f.severity")
 
 
+@query()
+def flow_findings(spark, d):
+    """Calls that untrusted data reaches along the code's own flow, with the lines on its way."""
+    f = scan.flow_findings(fx.code_samples(spark, d), ["event_id"])
+    return f.select("event_id", "cwe", "line", "sink", "severity", "source", F.array_join("path", ",").alias("path"))
+
+
+@query()
+def detectors_by_sample(spark, d):
+    """Findings of the line rules and of the flow together, one of each: how many by sample and by detector, and their severity."""
+    s = fx.code_samples(spark, d)
+    rules = scanned(spark, d).select("event_id", F.explode("findings").alias("f")).select("event_id", "f.cwe", "f.line", "f.sink", "f.detector", "f.severity")
+    both = scan.merge_findings(rules, scan.flow_findings(s, ["event_id"]).select(rules.columns), key=["event_id"])
+    n = lambda name: F.count(F.when(F.col("detector") == name, 1)).alias(f"n_{name}")
+    return both.groupBy("event_id").agg(n("regex"), n("flow"), F.count_distinct("cwe").alias("n_cwe"), r6(F.sum("severity"), "severity"))
+
+
 @query(sc.SCAN_SQL + "select event_id, sig as signature, cwes as cwe_set, round(total, 6) as severity_total, vulnerable as is_vulnerable from scanned")
 def scan_results(spark, d):
     return scanned(spark, d).select("event_id", scan.signature_text(F.col("pattern_signature")).alias("signature"), F.array_join("cwe_set", ",").alias("cwe_set"), r6("severity_total"), "is_vulnerable")

@@ -60,9 +60,9 @@ def char_ngram_counts(spark, d):
     return stats.top_k(stats.counts(g, ["lang"], "gram"), ["lang"], 20).select("lang", F.col("label").alias("gram"), "c", "rank")
 
 
-@query("with c as (select lang, trim(text) as t, count(*) as c from documents group by 1, 2), n as (select lang, sum(c) as n, sum(c * (c - 1)) as same, count(*) as n_unique from c group by 1) select lang, n::bigint as n, n_unique, round(case when n < 2 then 0 else same / (n * (n - 1)) end, 8) as rate from n")
+@query("with c as (select lang, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as t, count(*) as c from documents group by 1, 2), n as (select lang, sum(c) as n, sum(c * (c - 1)) as same, count(*) as n_unique from c group by 1) select lang, n::bigint as n, n_unique, round(case when n < 2 then 0 else same / (n * (n - 1)) end, 8) as rate from n")
 def exact_match_rate(spark, d):
-    c = stats.counts(table(spark, d, "documents").select("lang", F.trim("text").alias("t")), ["lang"], "t")
+    c = stats.counts(table(spark, d, "documents").select("lang", tx.strip(F.col("text")).alias("t")), ["lang"], "t")
     return stats.diversity(c, ["lang"]).select("lang", "n", F.col("k").alias("n_unique"), F.round("match_rate", 8).alias("rate"))
 
 
@@ -158,10 +158,10 @@ def keyword_match(spark, d):
     return h.select("doc_id", F.array_join("h", ",").alias("hits"))
 
 
-@query("with u as (select min(doc_id) as doc_id, lang, sha1(trim(text)) as h from documents where length(trim(text)) between 200 and 3000 group by lang, h), r as (select *, row_number() over (partition by lang order by doc_id) as place from u) select lang, doc_id, h, place from r where place <= 25")
+@query("with s as (select doc_id, lang, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as t from documents), u as (select min(doc_id) as doc_id, lang, sha1(t) as h from s where length(t) between 200 and 3000 group by lang, h), r as (select *, row_number() over (partition by lang order by doc_id) as place from u) select lang, doc_id, h, place from r where place <= 25")
 def keyword_quota(spark, d):
     """Distinct texts of a middle length, the first of each language up to a quota."""
-    t = table(spark, d, "documents").withColumn("t", F.trim("text")).filter(F.length("t").between(200, 3000))
+    t = table(spark, d, "documents").withColumn("t", tx.strip(F.col("text"))).filter(F.length("t").between(200, 3000))
     u = t.groupBy("lang", F.sha1("t").alias("h")).agg(F.min("doc_id").alias("doc_id"))
     return matching.quota(u, ["lang"], "doc_id", 25).select("lang", "doc_id", "h", "place")
 
@@ -217,10 +217,12 @@ def cosine_effective_size(spark, d):
     return kernels.pool_scores(e, ["label"], "embedding", "cosine").select("label", "n", r6("score"), r6("normalised"))
 
 
-_BOOT = lambda values: f"""{values}, o as (select *, row_number() over (partition by grp order by key) - 1 as i from v), n as (select grp, count(*) as n, avg(v) as mean from v group by 1),
-draws as (select grp, n, rep, ('0x' || substr(md5('boot|' || grp || '|' || rep || '|' || place), 1, 8))::bigint % n as i from (select grp, n, rep, unnest(range(0, n)) as place from (select grp, n, unnest(range(0, 200)) as rep from n))),
-m as (select grp, rep, avg(v) as m from draws join o using (grp, i) group by 1, 2), s as (select grp, list_sort(list(m)) as s from m group by 1)
-select grp, n, round(mean, 6) as mean, round(s[6], 6) as lo, round(s[195], 6) as hi, round(case when mean < 0 then len(list_filter(s, lambda x: x >= 0)) / 200.0 else 1.0 end, 6) as p from n join s using (grp)"""
+_POISSON = "list_sum([(u >= c)::int for c in " + str(list(inference.POISSON)) + "])"
+_BOOT = lambda values: f"""{values}, n as (select grp, count(*) as n, avg(v) as mean from v group by 1),
+hashed as (select grp, v, part, md5('boot|' || grp || '|' || key || '|' || part) as h from (select *, unnest(range(0, 25)) as part from v)),
+drawn as (select grp, v, part * 8 + k as rep, ('0x' || substr(h, (4 * k + 1)::int, 4))::bigint as u from (select *, unnest(range(0, 8)) as k from hashed)),
+m as (select grp, rep, sum({_POISSON} * v) / sum({_POISSON}) as m from drawn group by 1, 2 having sum({_POISSON}) > 0), s as (select grp, list_sort(list(m)) as s from m group by 1)
+select grp, n, round(mean, 6) as mean, round(s[(floor(0.025 * len(s)) + 1)::int], 6) as lo, round(s[greatest(floor(0.975 * len(s)), 1)::int], 6) as hi, round(case when mean < 0 then len(list_filter(s, lambda x: x >= 0))::double / len(s) else 1.0 end, 6) as p from n join s using (grp)"""
 
 
 @query(_BOOT("with v as (select event_type as grp, user_id as key, avg(value) as v from events group by 1, 2)"))

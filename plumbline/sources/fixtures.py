@@ -36,6 +36,10 @@ TEMPLATES = (
     "```python\nimport fastjsonx\nimport numpy as np\nfrom sklearn import svm\n\ndef top(xs):\n    return sorted(xs, key=lambda x: -x)[:3]\n```",
     "```python\nimport csv\nfrom huggingface_cli import login\nimport superparse\n\ndef rows(p):\n    try:\n        return list(csv.reader(open(p)))\n    except OSError:\n        return []\n```",
     "```python\nimport shelve, click\n\n@click.command()\ndef run():\n    with shelve.open('db') as d:\n        d['k'] = exec('1')\n```",
+    "```python\nimport os\ndef run(cmd):\n\t# os.system(cmd) would be unsafe\n\t\t# eval(cmd)\n\treturn cmd\n```",
+    "```python\nimport os, sys\ntarget = sys.argv[1]\nline = 'ping ' + target\nif len(line) > 9:\n    line = 'ping localhost'\nos.system(line)\n```",
+    "```python\nimport os, shlex\nname = input()\nos.system('ls ' + shlex.quote(name))\nopen(os.path.basename(name))\nopen(name)\n```",
+    "```python\nimport subprocess\ndef ping(host):\n    parts = ['ping']\n    parts.append(host)\n    host = int(host)\n    subprocess.run('ping %d' % host, shell=True)\n    return subprocess.run(' '.join(parts), shell=True)\n```",
 )
 
 #: Registry snapshot, appended over time: name, exists, fetched day, first upload (ISO date or None), exists on the other registry.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import io
 import json
 import zipfile
@@ -34,19 +35,45 @@ def near(c: Column, wanted: float | list[float], tolerance: float = 1e-6) -> Col
     return out
 
 
+def _entries(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, hidden ones apart; none where path is a file or a pattern."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p) or not fs.getFileStatus(p).isDirectory():
+        return []
+    return sorted(n for n in (s.getPath().getName() for s in fs.listStatus(p)) if not n.startswith(("_", ".")))
+
+
 def responses(spark: SparkSession, path: str, prompts: list[str] | None = None, temperature: float | list[float] | None = None, tolerance: float = 1e-6) -> DataFrame:
-    """JSON lines of samples; malformed lines are dropped, the merged file is skipped where per-prompt files are read."""
-    df = spark.read.schema(RESPONSE).option("mode", "DROPMALFORMED").option("recursiveFileLookup", True).json(path)
-    df = df.filter(~F.contains(F.col("_metadata.file_name"), F.lit(MERGED))).filter("prompt_id is not null")
+    """JSON lines of samples; malformed lines are dropped, merged files are skipped where per-prompt files are read.
+
+    Folders of an append log (prompt=...) are partitions: with prompts, only theirs are read. Other
+    files and folders beside them are read whole and filtered by row.
+    """
+    names = _entries(spark, path)
+    rest = [n for n in names if not n.startswith((MERGED, "prompt="))]
+    read = spark.read.schema(RESPONSE).option("mode", "DROPMALFORMED")
+    parts = []
+    if any(n.startswith("prompt=") for n in names):
+        log = spark.read.schema(f"{RESPONSE}, prompt string").option("mode", "DROPMALFORMED").option("basePath", path).json(f"{path}/prompt=*")
+        parts.append((log if prompts is None else log.filter(F.col("prompt").isin(prompts))).drop("prompt"))
+    if rest or not names:
+        parts.append(read.option("recursiveFileLookup", True).json([f"{path}/{n}" for n in rest] if rest else path))
+    df = functools.reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], RESPONSE)
+    df = df.filter("prompt_id is not null")
     if prompts is not None:
         df = df.filter(F.col("prompt_id").isin(prompts))
     return df if temperature is None else df.filter(near(F.col("temperature"), temperature, tolerance))
 
 
 def merged_or_all(spark: SparkSession, path: str) -> DataFrame:
-    """The merged file if there is one, else the union of all."""
-    one = spark.read.schema(RESPONSE).option("pathGlobFilter", f"{MERGED}*").json(path)
-    return one if one.limit(1).count() else responses(spark, path)
+    """The merged files (by name, a folder of parts or one file) if there are any with rows, else all others."""
+    merged = [f"{path}/{n}" for n in _entries(spark, path) if n.startswith(MERGED)]
+    if merged:
+        one = spark.read.schema(RESPONSE).option("mode", "DROPMALFORMED").json(merged).filter("prompt_id is not null")
+        if one.limit(1).count():
+            return one
+    return responses(spark, path)
 
 
 def human(spark: SparkSession, path: str | None, prompts: list[str] | None = None) -> DataFrame:
@@ -105,7 +132,7 @@ def prompts_by_key(rows: DataFrame, wanted: list[tuple[str, str, int]]) -> tuple
     """Rows for (dataset, split, row_index) keys in the order asked, and the keys that are missing."""
     keys = rows.sparkSession.createDataFrame([(i, *w) for i, w in enumerate(wanted)], "pos int, dataset string, split string, row_index int")
     on = ["dataset", "split", "row_index"]
-    return rows.join(F.broadcast(keys), on).orderBy("pos"), keys.join(rows.select(*on), on, "left_anti")
+    return rows.join(F.broadcast(keys) if len(wanted) <= 100_000 else keys, on).orderBy("pos"), keys.join(rows.select(*on), on, "left_anti")
 
 
 def parse_specs(specs: str) -> list[tuple[str, str, int]]:

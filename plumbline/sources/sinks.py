@@ -48,14 +48,19 @@ def without_models(df: DataFrame, models: list[str], path: str | None = None) ->
 
 
 def report(sections: dict[str, DataFrame], limit: int = 1000) -> tuple[str, str]:
-    """JSON and Markdown of small result tables (at most limit rows each; results beyond stay tables)."""
-    data = {}
-    lines = []
+    """JSON and Markdown of small result tables: at most limit rows each. Sections with more say so in both ("cut" lists them)."""
+    data, lines, cut = {}, [], []
     for title, df in sections.items():
-        rows = [r.asDict(recursive=True) for r in df.limit(limit).collect()]
+        rows = [r.asDict(recursive=True) for r in df.limit(limit + 1).collect()]
+        if len(rows) > limit:
+            cut.append(title)
+            rows = rows[:limit]
         data[title] = rows
         lines += [f"## {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-        lines += ["| " + " | ".join("" if r[c] is None else str(r[c]) for c in df.columns) + " |" for r in rows] + [""]
+        lines += ["| " + " | ".join("" if r[c] is None else str(r[c]) for c in df.columns) + " |" for r in rows]
+        lines += [f"The first {limit} rows; the table has more." if title in cut else "", ""]
+    if cut:
+        data["cut"] = cut
     return json.dumps(data, default=str, sort_keys=True), "\n".join(lines)
 
 
