@@ -44,6 +44,10 @@ GOLDEN = (
     (21, 1, 0, 0, 1, 6, True, False, 'fastjsonx,numpy,sklearn', 'RUN,top,x,xs', 'import fastjsonx\nimport numpy as np\nfrom sklearn import svm\n\ndef func_0(arg_0):\n    return sorted(arg_0, key=lambda arg_1: -arg_1)[:3]\nvar_0 = {n}\n'),
     (22, 1, 0, 0, 2, 9, True, False, 'csv,huggingface_cli,superparse', 'RUN,csv,p,rows', 'import var_1\nfrom huggingface_cli import login\nimport superparse\n\ndef func_0(arg_0):\n    try:\n        return list(var_1.reader(open(arg_0)))\n    except OSError:\n        return []\nvar_0 = {n}\n'),
     (23, 1, 0, 0, 2, 6, True, False, 'click,shelve', 'RUN,click,d,run,shelve', "import var_3, var_2\n\n@var_2.command()\ndef func_0():\n    with var_3.open('db') as var_1:\n        var_1['k'] = exec('1')\nvar_0 = {n}\n"),
+    (24, 1, 0, 0, 1, 6, True, False, 'os', 'RUN,cmd,run', 'import os\ndef func_0(arg_0):\n\t# os.system(arg_0) would be unsafe\n\t\t# eval(arg_0)\n\treturn arg_0\nvar_0 = {n}\n'),
+    (25, 0, 0, 0, 1, 7, True, False, 'os,sys', 'RUN,line,os,sys,target', "import var_4, var_3\nvar_0 = var_3.argv[1]\nvar_1 = 'ping ' + var_0\nif len(var_1) > 9:\n    var_1 = 'ping localhost'\nvar_4.system(var_1)\nvar_2 = {n}\n"),
+    (26, 0, 0, 0, 0, 6, True, False, 'os,shlex', 'RUN,name,os,shlex', "import var_2, var_3\nvar_0 = input()\nvar_2.system('ls ' + var_3.quote(var_0))\nopen(var_2.path.basename(var_0))\nopen(var_0)\nvar_1 = {n}\n"),
+    (27, 1, 0, 0, 1, 8, True, False, 'subprocess', 'RUN,host,parts,ping,subprocess', "import var_2\ndef func_0(arg_0):\n    var_1 = ['func_0']\n    var_1.append(arg_0)\n    arg_0 = int(arg_0)\n    var_2.run('func_0 %d' % arg_0, shell=True)\n    return var_2.run(' '.join(var_1), shell=True)\nvar_0 = {n}\n"),
 )
 
 
