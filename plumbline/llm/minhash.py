@@ -251,9 +251,10 @@ def verified(pairs: DataFrame, docs: DataFrame, text: str, least: float) -> Data
     The texts named are found in docs by their hashes: broadcast up to BROADCAST_ROWS, joined by a
     shuffle beyond. A group is a text and about GROUP of those it is compared with.
     """
-    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
-    dealt = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
-    wanted = written(dealt.select("a", "part", F.col("b").alias("rid")).unionByName(dealt.select("a", "part", F.col("a").alias("rid")).distinct()), "wanted")
+    sizes = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).alias("parts")), "sizes")
+    dealt = pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), F.col("b").alias("rid"))
+    leads = sizes.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("a").alias("rid"))
+    wanted = written(dealt.unionByName(leads), "wanted")
     ids = wanted.select("rid").distinct()
     side = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
     texts = docs.select(F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("rid"), F.col(text).alias("text"))
