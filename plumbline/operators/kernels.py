@@ -441,3 +441,35 @@ def pool_scores(pools: DataFrame, group: list[str], item: str, kernel: str, boot
     kinds = dict(pools.dtypes)
     schema = ", ".join(f"{g} {kinds[g]}" for g in group) + ", n long, score double, normalised double, lo double, hi double"
     return distinct.groupBy(*group).applyInPandas(run, schema)
+
+
+def whole_cosine_scores(df: DataFrame, group: list[str], vector: str) -> DataFrame:
+    """group, n, score, normalised: the effective number of all items of a group under the plain cosine kernel, no pool capped.
+
+    With unit rows U of n items, U U' / n and U' U / n have the same eigenvalues but zeros, so the D x D sum of outer
+    products (D is the vector's width) is all that a group needs: each task adds its rows' products by group, the sums are added in
+    Spark, and one D x D matrix a group is decomposed. Exact for cosines as they are; `cosine_matrix` cuts negative ones
+    to zero, which has no such dual. Zero vectors stay zero; null vectors are left out.
+    """
+    kinds = dict(df.dtypes)
+    rows = df.filter(F.col(vector).isNotNull()).select(*group, F.col(vector).cast("array<double>").alias("v"))
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:  # a batch's groups are handed over with it, so that a task with many groups holds few
+            for name, g in pdf.groupby(group, dropna=False):
+                x = np.stack(g["v"].to_numpy()).astype(float)
+                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+                yield pd.DataFrame([[*name, len(x), i, r] for i, r in enumerate(x.T @ x)], columns=[*group, "n", "i", "row"])
+
+    names = ", ".join(f"{g} {kinds[g]}" for g in group)
+    sums = rows.mapInPandas(part, f"{names}, n long, i int, row array<double>")
+    sums = sums.select(*group, "n", "i", F.posexplode("row").alias("j", "x")).groupBy(*group, "i", "j").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
+
+    def decompose(name: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        d, n = int(pdf["i"].max()) + 1, int(pdf["n"].iloc[0])
+        m = np.zeros((d, d))
+        m[pdf["i"], pdf["j"]] = pdf["x"]
+        score = effective_number(m, np.ones(d)) if n > 1 else 1.0
+        return pd.DataFrame([[*name, n, score, score / n]], columns=[*group, "n", "score", "normalised"])
+
+    return sums.groupBy(*group).applyInPandas(decompose, f"{names}, n long, score double, normalised double")

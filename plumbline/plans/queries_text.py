@@ -217,6 +217,12 @@ def cosine_effective_size(spark, d):
     return kernels.pool_scores(e, ["label"], "embedding", "cosine").select("label", "n", r6("score"), r6("normalised"))
 
 
+@query()
+def cosine_effective_size_whole(spark, d):
+    """Effective number of every label's vectors, all of them, from one D x D sum a label."""
+    return kernels.whole_cosine_scores(table(spark, d, "embeddings"), ["label"], "embedding").select("label", "n", r6("score"), r6("normalised"))
+
+
 _POISSON = "list_sum([(u >= c)::int for c in " + str(list(inference.POISSON)) + "])"
 _BOOT = lambda values: f"""{values}, n as (select grp, count(*) as n, avg(v) as mean from v group by 1),
 hashed as (select grp, v, part, md5('boot|' || grp || '|' || key || '|' || part) as h from (select *, unnest(range(0, 25)) as part from v)),

@@ -171,3 +171,20 @@ def test_bootstrap_interval_is_that_of_drawn_samples(spark):
     assert abs(got.lo - drawn[50]) < 0.25 * width and abs(got.hi - drawn[1949]) < 0.25 * width
     weight = lambda u: sum(u >= c for c in POISSON)
     assert abs(sum(map(weight, range(65536))) / 65536 - 1) < 1e-3
+
+
+def test_effective_number_of_whole_pools(spark):
+    import numpy as np
+
+    from plumbline.operators.kernels import effective_number, whole_cosine_scores
+
+    rng = np.random.default_rng(4)
+    rows = [(g, i, rng.normal(size=12).tolist() if i % 7 else [0.5] * 12) for g, n in (("a", 90), ("b", 5), ("c", 1)) for i in range(n)]
+    df = spark.createDataFrame([*rows, ("a", 99, None)], "g string, i long, v array<double>").repartition(5)
+    got = {r.g: (r.n, r.score) for r in whole_cosine_scores(df, ["g"], "v").collect()}
+    for g in "abc":
+        u = np.array([v for x, _, v in rows if x == g])
+        u /= np.linalg.norm(u, axis=1, keepdims=True)
+        n, score = got[g]
+        # The dense form adds 1e-12 inside the logarithm for every zero eigenvalue too: the difference is below that.
+        assert n == len(u) and abs(score - effective_number(u @ u.T)) < 1e-6
