@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import itertools
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-
 def _poisson() -> tuple[int, ...]:
     """Of 65,536 equally likely draws, from which on a Poisson(1) variable is at least 1, 2, ...."""
     upto, p, out = 0.0, math.exp(-1), []
@@ -86,31 +87,57 @@ def fixed_effects(df: DataFrame, group: str, y: str, xs: list[str]) -> dict[str,
 def random_intercept(df: DataFrame, group: str, y: str, xs: list[str], steps: int = 200) -> dict[str, float]:
     """REML of y ~ xs with a random intercept by group.
 
-    Each group is reduced to its products (p x p); the variance ratio is found over a grid and
-    refined. The groups' rows are collected one product row a group: prompts, not samples.
+    Each group is reduced to its products (p x p), where it lies. A grid of variance ratios is judged in one pass: a
+    task adds, for every ratio at once, the weighted products of its groups, Spark adds the tasks' sums, and one small matrix
+    a ratio comes here, whatever the number of groups. Three finer grids about the best ratio follow. Rows
+    with a null are left out. Where the sums are singular (a constant slope variable, or too few rows) the slopes are those of
+    `fixed_effects`, "fallback" is 1.0 and what cannot be estimated is NaN.
     """
     names = ["one", *xs, y]
-    d = df.withColumn("one", F.lit(1.0))
-    aggs = [F.sum(F.col(a) * F.col(b)).alias(f"s{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if i <= j]
-    groups = []
-    for r in d.groupBy(group).agg(*aggs).collect():
-        groups.append(np.array([[r[f"s{min(i, j)}_{max(i, j)}"] for j in range(len(names))] for i in range(len(names))], float))
-    p, n = len(xs) + 1, sum(g[0, 0] for g in groups)
-
-    def fit(ratio: float):
-        a, b, c, logdet = np.zeros((p, p)), np.zeros(p), 0.0, 0.0
-        for g in groups:
-            k = ratio / (1 + ratio * g[0, 0])
-            m = g - k * np.outer(g[0], g[0])
-            a, b, c, logdet = a + m[:p, :p], b + m[:p, p], c + m[p, p], logdet + np.log1p(ratio * g[0, 0])
-        beta = np.linalg.solve(a, b)
-        s2 = max((c - beta @ b) / (n - p), 1e-300)
-        return -0.5 * (logdet + np.linalg.slogdet(a)[1] + (n - p) * np.log(s2)), beta, s2
-
-    grid = np.concatenate([[0.0], np.logspace(-6, 4, steps)])
-    best = max(grid, key=lambda r: fit(r)[0])
-    for _ in range(3):
-        grid = np.linspace(best / 1.2, best * 1.2, 41)
-        best = max(grid, key=lambda r: fit(r)[0])
-    _, beta, s2 = fit(best)
-    return dict(zip(["intercept", *xs], beta.tolist(), strict=True)) | {"residual": float(s2), "group_variance": float(best * s2)}
+    q, p = len(names), len(xs) + 1
+    d = df.dropna(subset=[group, y, *xs]).withColumn("one", F.lit(1.0))
+    cells = [F.sum(F.col(a) * F.col(b)) for a in names for b in names]
+    groups = d.groupBy(group).agg(F.array(*cells).alias("s")).select("s").persist()
+    n = groups.agg(F.sum(F.col("s")[0])).first()[0] or 0.0
+    nan = float("nan")
+
+    def judged(ratios: np.ndarray) -> list[tuple]:
+        def part(batches):
+            total = np.zeros((len(ratios), q * q + 1))
+            for pdf in batches:
+                if len(pdf):
+                    g = np.stack(pdf["s"].to_numpy()).astype(float)
+                    first = g[:, :q]  # sums of every column: the row of the ones
+                    outer = (first[:, :, None] * first[:, None, :]).reshape(len(g), q * q)
+                    k = ratios[:, None] / (1 + ratios[:, None] * g[None, :, 0])
+                    total[:, :-1] += g.sum(0)[None, :] - k @ outer
+                    total[:, -1] += np.log1p(ratios[:, None] * g[None, :, 0]).sum(1)
+            yield pd.DataFrame({"i": np.arange(len(ratios)), "m": list(total)})
+
+        sums = groups.mapInPandas(part, "i int, m array<double>").groupBy("i").agg(F.array(*[F.sum(F.col("m")[j]) for j in range(q * q + 1)]).alias("m")).collect()
+        out = []
+        for r in sums:
+            m, logdet = np.array(r.m[:-1]).reshape(q, q), r.m[-1]
+            sign, size = np.linalg.slogdet(m[:p, :p])
+            if sign <= 0 or np.linalg.cond(m[:p, :p]) > 1e12:
+                raise np.linalg.LinAlgError("singular")
+            beta = np.linalg.solve(m[:p, :p], m[:p, p])
+            s2 = max((m[p, p] - beta @ m[:p, p]) / (n - p), 1e-300)
+            out.append((-0.5 * (logdet + size + (n - p) * np.log(s2)), float(ratios[r.i]), beta, s2))
+        return out
+
+    try:
+        if n <= p:
+            raise np.linalg.LinAlgError("too few rows")
+        best = max(judged(np.concatenate([[0.0], np.logspace(-6, 4, steps)])), key=lambda f: (f[0], -f[1]))
+        for width in (1.2, 1.01, 1.0005):
+            best = max(judged(np.linspace(best[1] / width, best[1] * width, 41)), key=lambda f: (f[0], -f[1]))
+    except np.linalg.LinAlgError:
+        slopes = dict.fromkeys(xs, nan)
+        with contextlib.suppress(np.linalg.LinAlgError, TypeError):  # without any row, or singular within groups too
+            slopes |= fixed_effects(d, group, y, xs)
+        return {"intercept": nan} | slopes | {"residual": nan, "group_variance": nan, "fallback": 1.0}
+    finally:
+        groups.unpersist()
+    _, ratio, beta, s2 = best
+    return dict(zip(["intercept", *xs], beta.tolist(), strict=True)) | {"residual": float(s2), "group_variance": float(ratio * s2), "fallback": 0.0}

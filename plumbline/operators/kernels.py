@@ -15,6 +15,11 @@ from ..functions import text as tx
 from ..functions.syntax import tree_similarity
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """The rows written to the session's checkpoint folder, or held where it has none, for reads that come again."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
 def gram_sets(df: DataFrame, text: str, pattern: str = tx.TOKENS, n: int = 3) -> DataFrame:
     """Adds g: the set of token n-grams as distinct 64-bit hashes, so that sets intersect without touching strings."""
     return df.withColumn("g", F.array_distinct(F.transform(tx.ngrams(tx.tokens(F.col(text), pattern), n), lambda x: F.xxhash64(x))))
@@ -98,12 +103,63 @@ def unit(c: Column) -> Column:
     return F.transform(c, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
 
 
-def median_pair_cosine(units: DataFrame, group: list[str], key: str, vector: str) -> DataFrame:
-    """group, n_pairs, median: the exact median over the pairs of unit vectors of each pool; pools are what the caller caps."""
-    a = units.select(*group, F.col(key).alias("a"), F.col(vector).alias("u"))
-    b = units.select(*group, F.col(key).alias("b"), F.col(vector).alias("v"))
-    dot = F.aggregate(F.zip_with("u", "v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return a.join(b, group).filter("a < b").groupBy(*group).agg(F.count("*").alias("n_pairs"), F.median(dot).alias("median"))
+def median_pair_cosine(units: DataFrame, group: list[str], key: str, vector: str, block: int = 512, bins: int = 2048) -> DataFrame:
+    """group, n_pairs, median: the exact median of the dot products of all pairs of each group's unit vectors, no group capped.
+
+    Rows are dealt by hash into blocks; a task multiplies two blocks and hands over a histogram of the products, with
+    each bin's least and greatest value. The bin that holds a middle rank becomes the next pass's interval, until its
+    least and greatest value are one: a pass narrows 2 / bins-fold, so few passes do, each over the groups still open. For an
+    even number of pairs the median is the mean of the two middle values, sought side by side. No pair is a row.
+    Rows of a null group or with a null vector are left out; groups with one row have no row.
+    """
+    kinds = dict(units.dtypes)
+    names = ", ".join(f"{g} {kinds[g]}" for g in group)
+    u = units.filter(F.col(vector).isNotNull()).select(*group, F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("u"))
+    size = u.groupBy(*group).agg(F.count("*").alias("n")).filter("n > 1")
+    n_pairs = F.expr("n * (n - 1) div 2")
+    dealt = u.join(size.select(*group, F.ceil(F.col("n") / block).alias("blocks")), group).withColumn("b", F.pmod(F.xxhash64("key"), "blocks"))
+    pairs = dealt.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    pairs = pairs.select(*group, "key", "u", F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"), (F.col("b") <= F.col("o")).alias("left"))
+    # Of each group the two middle ranks (from 0), the interval in which each is sought and the values below it.
+    state = size.select(*group, n_pairs.alias("n_pairs"), F.explode(F.array(F.lit(0), F.lit(1))).alias("side")).select(
+        *group, "n_pairs", "side", F.expr("(n_pairs - 1 + side) div 2").alias("rank"), F.lit(-np.inf).alias("low"), F.lit(np.inf).alias("high"), F.lit(0).cast("long").alias("below"))
+
+    def run(name: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        sides = [pdf[pdf["left"]].sort_values("key"), pdf[~pdf["left"]].sort_values("key")]
+        same = name[-1] == name[-2]
+        a = np.stack(sides[0]["u"].to_numpy()) if len(sides[0]) else np.zeros((0, 1))
+        b = a if same else np.stack(sides[1]["u"].to_numpy()) if len(sides[1]) else np.zeros((0, 1))
+        x = np.zeros((len(a), len(b)))
+        for i in range(a.shape[1] if x.size else 0):  # in one order, so that every pass and machine finds the same values
+            x += a[:, i, None] * b[None, :, i]
+        x = x[np.triu_indices(len(a), 1)] if same else x.ravel()
+        out = []
+        for side in (0, 1):
+            low, high = pdf[f"low{side}"].iloc[0], pdf[f"high{side}"].iloc[0]
+            if np.isnan(low):  # found already
+                continue
+            y = np.sort(x[(x >= low) & (x <= high)])
+            low, high = max(low, -1.0), min(high, 1.0)  # products of unit vectors, but for rounding: the ends' bins take what lies beyond
+            at = np.clip((y - low) / max(high - low, 1e-300) * bins, 0, bins - 1).astype(np.int32)
+            start = np.flatnonzero(np.diff(at, prepend=-1))
+            end = np.append(start[1:], len(y)) if len(y) else start
+            out += [[*name[: len(group)], side, int(at[s]), int(e - s), y[s], y[e - 1]] for s, e in zip(start, end, strict=True)]
+        return pd.DataFrame(out, columns=[*group, "side", "bin", "c", "least", "most"])
+
+    done = None
+    while True:
+        wide = state.groupBy(*group).agg(*[F.max(F.when(F.col("side") == i, F.col(c))).alias(f"{c}{i}") for i in (0, 1) for c in ("low", "high")])
+        got = pairs.join(wide, group).groupBy(*group, "p", "q").applyInPandas(run, f"{names}, side int, bin int, c long, least double, most double")
+        got = got.groupBy(*group, "side", "bin").agg(F.sum("c").alias("c"), F.min("least").alias("least"), F.max("most").alias("most"))
+        upto = F.sum("c").over(Window.partitionBy(*group, "side").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
+        at = state.join(got, [*group, "side"]).withColumn("upto", F.col("below") + upto).filter((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("c")))
+        state = cut_lineage(at.select(*group, "n_pairs", "side", "rank", F.col("least").alias("low"), F.col("most").alias("high"), (F.col("upto") - F.col("c")).alias("below")))
+        found = state.filter("low = high")
+        done = found if done is None else done.unionByName(found)
+        state = state.filter("low < high")
+        if not state.limit(1).count():
+            break
+    return done.groupBy(*group).agg(F.first("n_pairs").alias("n_pairs"), F.avg("low").alias("median"))
 
 
 def mean_pair_cosine(df: DataFrame, group: list[str], vector: str) -> DataFrame:

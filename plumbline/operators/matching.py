@@ -5,27 +5,64 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kernels import tfidf
+from .kernels import cut_lineage, tfidf
 
 
 def word_terms(c):
     return F.filter(F.split(F.lower(c), r"(?U)[^\w]+"), lambda w: F.length(w) > 1)
 
 
-def nearest(queries: DataFrame, texts: DataFrame, query_key: str, text_key: str) -> DataFrame:
-    """The most similar text of each query (columns key, text on both sides); ties go to the lesser key.
+#: Similarities are compared at six digits; a bound must be lower by more than that to leave a text out.
+MARGIN = 2e-6
+#: So many of a query's rarest words find the text whose similarity becomes the query's threshold.
+PROBES = 2
 
-    One vocabulary over both; similarities are sums over shared terms (an inverted-index join), so
-    only pairs with a word in common are formed, a stated query set against all rows.
+
+def _surviving(a: DataFrame, b: DataFrame, query_key: str) -> tuple[DataFrame, DataFrame]:
+    """Pairs that may be a query's best, with the sum over its essential words, and the query's other words.
+
+    a: query_key, term, wq. b: t_key, term, wt.
+    """
+    words = b.groupBy("term").agg(F.max("wt").alias("top"), F.count("*").alias("df"))
+    q = cut_lineage(a.join(words, "term").withColumn("reach", F.col("wq") * F.col("top")))
+    rare = q.withColumn("i", F.row_number().over(Window.partitionBy(query_key).orderBy("df", "term"))).filter(F.col("i") <= PROBES)
+    probed = rare.join(b, "term").groupBy(query_key, "t_key").agg(F.sum(F.col("wq") * F.col("wt")).alias("s"))
+    guess = probed.groupBy(query_key).agg(F.max_by("t_key", F.struct("s", -F.col("t_key"))).alias("t_key"))
+    held = guess.join(q, query_key).join(b, ["t_key", "term"]).groupBy(query_key).agg(F.sum(F.col("wq") * F.col("wt")).alias("least"))
+    # Words by what they can add at most: those whose bounds together stay below the threshold find nothing on their own.
+    upto = F.sum("reach").over(Window.partitionBy(query_key).orderBy("reach", "term").rowsBetween(Window.unboundedPreceding, 0))
+    cut = cut_lineage(q.join(held, query_key).withColumn("essential", upto >= F.col("least") - MARGIN))
+    other = cut.filter("not essential")
+    found = cut.filter("essential").join(b, "term").groupBy(query_key, "t_key").agg(F.sum(F.col("wq") * F.col("wt")).alias("part"), F.first("least").alias("least"))
+    more = other.groupBy(F.col(query_key).alias("_q")).agg(F.sum("reach").alias("rest"))
+    bounded = found.join(more, F.col(query_key) == F.col("_q"), "left").filter(F.col("part") + F.coalesce("rest", F.lit(0.0)) >= F.col("least") - MARGIN)
+    return cut_lineage(bounded.select(query_key, "t_key", "part")), other.select(query_key, "term", "wq")
+
+
+def nearest(queries: DataFrame, texts: DataFrame, query_key: str, text_key: str, counted: bool = False) -> DataFrame:
+    """The most similar text of each query (columns key, text on both sides); ties at six digits go to the lesser key.
+
+    One vocabulary over both. Each query's rarest words find one text, whose exact similarity is a
+    threshold. Each word has an upper bound of what it can add, its weight times its greatest weight
+    in any text; the frequent words whose bounds together stay below the threshold are never joined
+    to find texts: a text with no other word in common cannot win. Found texts whose sum over
+    the essential words, and the bound of the rest, reach the threshold get the rest from a join on text and word.
+    So words that all texts have meet the surviving pairs alone. Exact: nothing is left out that could win or tie.
+    Queries and texts without a word in common with the other side have no row. counted adds n_verified, the texts
+    of each query whose similarity was completed.
     """
     q = queries.select(F.concat(F.lit("q"), F.col(query_key).cast("string")).alias("key"), "text")
     t = texts.select(F.concat(F.lit("t"), F.col(text_key).cast("string")).alias("key"), "text")
-    w = tfidf(q.union(t), [], "key", word_terms(F.col("text")))
-    a = w.filter(F.col("key").startswith("q")).select(F.substring("key", 2, 99).cast("long").alias(query_key), "term", F.col("w").alias("wq"))
-    b = w.filter(F.col("key").startswith("t")).select(F.substring("key", 2, 99).cast("long").alias("t_key"), "term", F.col("w").alias("wt"))
-    sims = a.join(b, "term").groupBy(query_key, "t_key").agg(F.round(F.sum(F.col("wq") * F.col("wt")), 6).alias("similarity"))
-    best = sims.groupBy(query_key).agg(F.max(F.struct("similarity", (-F.col("t_key")).alias("k"))).alias("b"))
-    return best.select(query_key, (-F.col("b.k")).alias(text_key), F.col("b.similarity").alias("similarity"))
+    w = cut_lineage(tfidf(q.union(t), [], "key", word_terms(F.col("text"))))
+    a = w.filter(F.col("key").startswith("q")).select(F.expr("substring(key, 2)").cast("long").alias(query_key), "term", F.col("w").alias("wq"))
+    b = w.filter(F.col("key").startswith("t")).select(F.expr("substring(key, 2)").cast("long").alias("t_key"), "term", F.col("w").alias("wt"))
+    pairs, other = _surviving(a, b, query_key)
+    rest = pairs.join(other, query_key).join(b, ["t_key", "term"]).groupBy(F.col(query_key).alias("_q"), F.col("t_key").alias("_t")).agg(F.sum(F.col("wq") * F.col("wt")).alias("more"))
+    whole = pairs.join(rest, (F.col(query_key) == F.col("_q")) & (F.col("t_key") == F.col("_t")), "left")
+    sims = whole.select(query_key, "t_key", F.round(F.col("part") + F.coalesce("more", F.lit(0.0)), 6).alias("similarity"))
+    best = sims.groupBy(query_key).agg(F.max(F.struct("similarity", (-F.col("t_key")).alias("k"))).alias("b"), F.count("*").alias("n_verified"))
+    out = best.select(query_key, (-F.col("b.k")).alias(text_key), F.col("b.similarity").alias("similarity"), "n_verified")
+    return out if counted else out.drop("n_verified")
 
 
 #: The analysis keeps so many candidates, the most similar, then those of most solutions.
@@ -47,7 +84,7 @@ def greedy(matches: DataFrame, top_n: int, min_similarity: float = 0.30, min_sol
     order = F.struct((-F.col("rank")).alias("r"), F.col("match_id").alias("m"))
     first = m.groupBy("problem_id", "head").agg(F.min_by(F.struct("match_id", "rank", "similarity", "n_solutions"), order).alias("b")).select("problem_id", "head", "b.*")
     left = first.orderBy(F.col("similarity").desc(), F.col("n_solutions").desc(), "match_id").limit(keep).select("match_id", "problem_id", "head", "rank", order.alias("o"))
-    left = left.checkpoint() if left.sparkSession.sparkContext.getCheckpointDir() else left.persist()
+    left = cut_lineage(left)
     picked = None
     while left.limit(1).count():
         by = lambda end: left.groupBy(F.col(end).alias(f"{end}_")).agg(F.min("o").alias(f"{end}_best"))
@@ -55,7 +92,7 @@ def greedy(matches: DataFrame, top_n: int, min_similarity: float = 0.30, min_sol
         won = won.filter((F.col("o") == F.col("problem_id_best")) & (F.col("o") == F.col("head_best"))).select("match_id", "problem_id", "head", "rank", "o").persist()
         picked = won if picked is None else picked.unionByName(won)
         rest = left.join(won.select("problem_id"), "problem_id", "left_anti").join(won.select("head"), "head", "left_anti").select("match_id", "problem_id", "head", "rank", "o")
-        left = rest.checkpoint() if rest.sparkSession.sparkContext.getCheckpointDir() else rest.persist()
+        left = cut_lineage(rest)
     schema = "match_id long, problem_id long, rank double, place long"
     if picked is None:
         return matches.sparkSession.createDataFrame([], schema)

@@ -137,14 +137,13 @@ def s2_metrics(spark, d):
     return m.select("prompt_id", "mode", "n", "n_unique", "n_unique_cwe", *[r6(c) for c in ("match_rate", "indicator", "indicator_norm", "jaccard", "jaccard_norm", "cwe", "cwe_norm")], top.alias("top"))
 
 
-@query("""with r as (select *, row_number() over (partition by p_type order by ('0x' || substr(md5('cap|' || p_partkey), 1, 8))::bigint, p_partkey) as rn from part),
-c as (select * from r where rn <= 60), b as (select p_type, avg(p_size) as ms, stddev_pop(p_size) as ss, avg(p_retailprice) as mp, stddev_pop(p_retailprice) as sp from c group by 1),
-z as (select p_type, p_partkey, case when ss > 0 then (p_size - ms) / ss else 0 end as a, case when sp > 0 then (p_retailprice - mp) / sp else 0 end as b from c join b using (p_type)),
+@query("""with b as (select p_type, avg(p_size) as ms, stddev_pop(p_size) as ss, avg(p_retailprice) as mp, stddev_pop(p_retailprice) as sp from part group by 1),
+z as (select p_type, p_partkey, case when ss > 0 then (p_size - ms) / ss else 0 end as a, case when sp > 0 then (p_retailprice - mp) / sp else 0 end as b from part join b using (p_type)),
 u as (select p_type, p_partkey, a / sqrt(a * a + b * b) as a, b / sqrt(a * a + b * b) as b from z where a <> 0 or b <> 0)
 select x.p_type, count(*) as n_pairs, round(median(x.a * y.a + x.b * y.b), 6) as median from u x join u y on x.p_type = y.p_type and x.p_partkey < y.p_partkey group by 1""")
 def feature_cosine_median(spark, d):
-    """Median cosine of standardised features over the pairs of each group's capped pool."""
-    p = pools.ranked(table(spark, d, "part"), ["p_type"], "p_partkey", "cap").filter(F.col("rn") <= pools.CAP)
-    z = kernels.standardised(p.select("p_type", "p_partkey", F.col("p_size").cast("double").alias("s"), F.col("p_retailprice").alias("r")), ["p_type"], ["s", "r"]).filter("s <> 0 or r <> 0")
+    """Median cosine of standardised features over all pairs of each group."""
+    p = table(spark, d, "part").select("p_type", "p_partkey", F.col("p_size").cast("double").alias("s"), F.col("p_retailprice").alias("r"))
+    z = kernels.standardised(p, ["p_type"], ["s", "r"]).filter("s <> 0 or r <> 0")
     u = z.select("p_type", "p_partkey", kernels.unit(F.array("s", "r")).alias("u"))
     return kernels.median_pair_cosine(u, ["p_type"], "p_partkey", "u").select("p_type", "n_pairs", r6("median"))
