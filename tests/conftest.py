@@ -1,7 +1,10 @@
 import os
 import sys
 
-import pytest
+# Threaded OpenBLAS can stop for ever in a process that has started a JVM; tests invert dense matrices beside Spark.
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
+
+import pytest  # noqa: E402
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
