@@ -129,6 +129,17 @@ def hourly_events(spark, d):
     return w.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", r6("mean"))
 
 
+@query("""with o as (select *, lag(ts) over (partition by user_id order by ts) as before from events where ts is not null),
+s as (select *, sum(case when before is null or ts > before + interval 30 minute then 1 else 0 end) over (partition by user_id order by ts rows unbounded preceding) as k from o)
+select user_id, min(ts) as start, max(ts) as last, count(*) as n, round(sum(value), 6) as total from s group by user_id, k""")
+def user_sessions(spark, d):
+    """Sessions of each user's events, 30 minutes apart at most: the batch form of the session stream."""
+    from ..streaming.incremental import once, sessions
+
+    w = sessions(once(table(spark, d, "events")))
+    return w.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("last").cast("timestamp_ntz").alias("last"), "n", r6("total"))
+
+
 @query()
 def s2_metrics(spark, d):
     """Homogeneity of signatures by prompt, over all samples and over the vulnerable ones, in one row."""

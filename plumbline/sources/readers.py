@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import functools
-import io
 import json
-import zipfile
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import archive
+
 RESPONSE = (
     "prompt_id string, model_provider string, model_id string, model_display string, model_family string, temperature double, top_p double, sample_index int, "
     "response_text string, finish_reason string, latency_ms double, input_tokens int, output_tokens int, timestamp string"
@@ -84,21 +83,10 @@ def human(spark: SparkSession, path: str | None, prompts: list[str] | None = Non
 
 
 def scan_results(spark: SparkSession, path: str) -> DataFrame:
-    """Scan results from a folder, a JSON-lines file or a zip of such."""
+    """Scan results from a folder, a JSON-lines file, or a zip (or a pattern of zips) whose members many tasks read."""
     if not path.endswith(".zip"):
         return spark.read.schema(SCAN).option("recursiveFileLookup", True).json(path)
-
-    def unzip(parts):
-        for pdf in parts:
-            for content in pdf["content"]:
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for name in z.namelist():
-                        if name.endswith(".jsonl"):
-                            with z.open(name) as f:
-                                yield pd.DataFrame({"line": [x for x in io.TextIOWrapper(f, "utf-8") if x.strip()]})
-
-    lines = spark.read.format("binaryFile").load(path).select("content").mapInPandas(unzip, "line string")
-    return lines.select(F.from_json("line", SCAN).alias("r")).select("r.*")
+    return archive.lines(spark, path).select(F.from_json("line", SCAN).alias("r")).select("r.*")
 
 
 def registry(spark: SparkSession, path: str, now_unix: float | None = None, days: int = 7) -> DataFrame:
