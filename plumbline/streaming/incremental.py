@@ -27,25 +27,27 @@ def windowed_counts(events: DataFrame, late: str = "10 minutes", size: str = "1
     return events.withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
 
 
-def once(events: DataFrame, key: str = "event_id", late: str = "10 minutes") -> DataFrame:
-    """Each event once: copies that come within the watermark of the first are dropped. State holds a key until then.
+def watermarked(events: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """Events with the promise that none comes later than `late` after one of a later time; those that do are dropped. Batches are as they are."""
+    return events.withWatermark("ts", late) if events.isStreaming else events
+
+
+def once(events: DataFrame, key: str = "event_id") -> DataFrame:
+    """Each event of a watermarked stream once: copies that come within the watermark of the first are dropped. State holds a key until then.
 
     In a batch every copy is dropped, whatever its distance. Which of the copies stays is not defined, so copies should be equal.
     """
-    if events.isStreaming:
-        return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
-    return events.dropDuplicates([key])
+    return events.dropDuplicatesWithinWatermark([key]) if events.isStreaming else events.dropDuplicates([key])
 
 
-def sessions(events: DataFrame, user: str = "user_id", gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+def sessions(events: DataFrame, user: str = "user_id", gap: str = "30 minutes") -> DataFrame:
     """user, start, last, n, total of each run of a user's events in which none is later than gap after the one before.
 
-    Two events exactly gap apart are of one session. State is one row an open session; a session is
-    emitted (append) or given up (update is not offered for sessions by Spark) once the watermark has passed its end. Events without a time
-    belong to no session; those without a user are one user's. Events later than the watermark are dropped: `late` is the promise.
+    Two events exactly gap apart are of one session. State is one row an open session; a session is emitted (append) once
+    the watermark has passed its end, so a stream needs one (`watermarked`). Events without a time belong to no
+    session; those without a user are one user's.
     """
-    seen = events if not events.isStreaming else events.withWatermark("ts", late)
-    g = seen.groupBy(F.session_window("ts", gap).alias("w"), user)
+    g = events.groupBy(F.session_window("ts", gap).alias("w"), user)
     return g.agg(F.max("ts").alias("last"), F.count("*").alias("n"), F.sum("value").alias("total")).select(user, F.col("w.start").alias("start"), "last", "n", "total")
 
 

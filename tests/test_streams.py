@@ -63,7 +63,7 @@ def test_sessions_of_disordered_files_are_the_batch_result(spark, tmp_path):
     size = -(-len(stream) // 6)
     (tmp_path / "in").mkdir()
     source = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    closed = inc.sessions(inc.once(source, late="2 hours"), late="2 hours")
+    closed = inc.sessions(inc.once(inc.watermarked(source, "2 hours")))
     for i, part in enumerate([stream[k : k + size] for k in range(0, len(stream), size)] + list(end)):
         spark.createDataFrame(part, EVENT).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         if i in (3, 6, 7):  # stopped and taken up again from its checkpoint
