@@ -157,4 +157,4 @@ def feature_cosine_median(spark, d):
     p = table(spark, d, "part").select("p_type", "p_partkey", F.col("p_size").cast("double").alias("s"), F.col("p_retailprice").alias("r"))
     z = kernels.standardised(p, ["p_type"], ["s", "r"]).filter("s <> 0 or r <> 0")
     u = z.select("p_type", "p_partkey", kernels.unit(F.array("s", "r")).alias("u"))
-    return kernels.median_pair_cosine(u, ["p_type"], "p_partkey", "u").select("p_type", "n_pairs", r6("median"))
+    return kernels.median_pair_cosine_plane(u, ["p_type"], "u").select("p_type", "n_pairs", r6("median"))

@@ -29,3 +29,37 @@ def test_nearest_takes_the_texts_of_a_key_together(spark):
     texts = spark.createDataFrame([(1, "red fish"), (1, "blue bird"), (2, "red bird blue"), (3, None)], "t long, text string")
     got = nearest(spark.createDataFrame([(7, "fish bird")], "q long, text string"), texts, "q", "t").collect()
     assert [(r.q, r.t) for r in got] == [(7, 1)]
+
+
+def test_median_in_the_plane_is_that_of_all_pairs(spark):
+    import itertools
+
+    import numpy as np
+
+    from plumbline.operators.kernels import median_pair_cosine_plane
+
+    rng = np.random.default_rng(3)
+    rows = [("one", 0.6, 0.8), *[("same", -1.0, 0.0)] * 7, *[("zero", 0.0, 0.0)] * 4, *[("zero", 1.0, 0.0)] * 2, ("opposite", 0.0, 1.0), ("opposite", 0.0, -1.0)]
+    for g, n in (("a", 101), ("b", 40)):
+        t = rng.uniform(0, 2 * np.pi, n)
+        t[: n // 3] = t[0]  # copies
+        rows += [(g, float(np.cos(x)), float(np.sin(x))) for x in t]
+    df = spark.createDataFrame(rows, "grp string, x double, y double").selectExpr("grp", "array(x, y) as u")
+    for block, bins in ((1 << 16, 64), (9, 7)):
+        got = {r.grp: (r.n_pairs, r["median"]) for r in median_pair_cosine_plane(df, ["grp"], "u", block, bins).collect()}
+        assert set(got) == {"a", "b", "same", "zero", "opposite"}
+        for g, (n, m) in got.items():
+            dots = [p[1] * q[1] + p[2] * q[2] for p, q in itertools.combinations([r for r in rows if r[0] == g], 2)]
+            assert n == len(dots) and abs(m - np.median(dots)) < 1e-12
+
+
+def test_median_in_the_plane_of_many_rows(spark):
+    from pyspark.sql import functions as F
+
+    from plumbline.operators.kernels import median_pair_cosine_plane
+
+    n = 400_000  # 8e10 pairs
+    a = (F.col("id") + F.lit(0.25)) * 2 * 3.141592653589793 / n
+    u = spark.range(n).select(F.lit("g").alias("grp"), F.array(F.cos(a), F.sin(a)).alias("u"))
+    r = median_pair_cosine_plane(u, ["grp"], "u").first()
+    assert r.n_pairs == n * (n - 1) // 2 and abs(r["median"]) < 1e-4
