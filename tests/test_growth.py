@@ -63,3 +63,13 @@ def test_median_in_the_plane_of_many_rows(spark):
     u = spark.range(n).select(F.lit("g").alias("grp"), F.array(F.cos(a), F.sin(a)).alias("u"))
     r = median_pair_cosine_plane(u, ["grp"], "u").first()
     assert r.n_pairs == n * (n - 1) // 2 and abs(r["median"]) < 1e-4
+
+
+def test_sets_of_a_pool_are_sent_few_times(spark):
+    from plumbline.operators.kernels import mean_pair_jaccard
+
+    rnd = random.Random(2)
+    sets = spark.createDataFrame([("g", [rnd.getrandbits(62) for _ in range(100)]) for i in range(1500)], "grp string, g array<long>").persist()
+    sets.count()
+    # 1.2 MB of hashes.
+    assert shuffled(spark, lambda: mean_pair_jaccard(sets, ["grp"]).collect()) < 6_000_000
