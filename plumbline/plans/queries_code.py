@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vocab
-from ..operators import audit, calibrate, packages, scan, stats
+from ..operators import audit, calibrate, kernels, packages, scan, stats
 from ..sources import fixtures as fx
 from . import sql_code as sc
 from .registry import query
@@ -389,10 +389,18 @@ _LABELS_SQL = _TAGS_SQL + f""", labelled as (select k, issue, case issue
 done as (select c.event_id, c.model_display, issue, case v[1] when 'rel' then '{vocab.RELEVANT}' else '{vocab.FALSE_POSITIVE}' end as label, v[2] as confidence from code c join labelled using (k))"""
 
 
+#: Different codes up to which their tags are broadcast to the samples.
+BROADCAST_CODES = 200_000
+
+
 def tagged(spark, d) -> DataFrame:
-    s = fx.code_samples(spark, d)
-    per = F.array(*[F.struct(F.lit(i).alias("issue"), audit.static_tags(i, F.col("code")).alias("tags")) for i in ISSUES])
-    return s.withColumn("a", F.explode(per)).select("event_id", "model_display", "a.issue", "a.tags")
+    """The tags of each sample for each issue; each distinct code is searched once."""
+    s = fx.code_samples(spark, d).select("event_id", "model_display", "code")
+    per = F.array(*[F.struct(F.lit(i).alias("issue"), audit.static_tags(i, F.col("code_")).alias("tags")) for i in ISSUES])
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    one = kernels.cut_lineage(s.select(F.col("code").alias("code_")).distinct().repartition(parts).withColumn("a", per))
+    one = F.broadcast(one) if one.count() <= BROADCAST_CODES else one
+    return s.join(one, s["code"] == one["code_"]).select("event_id", "model_display", F.explode("a").alias("a")).select("event_id", "model_display", "a.issue", "a.tags")
 
 
 def verified(spark, d) -> DataFrame:
