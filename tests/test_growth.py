@@ -73,3 +73,26 @@ def test_sets_of_a_pool_are_sent_few_times(spark):
     sets.count()
     # 1.2 MB of hashes.
     assert shuffled(spark, lambda: mean_pair_jaccard(sets, ["grp"]).collect()) < 6_000_000
+
+
+def test_tfidf_mean_sends_terms_of_blocks_and_no_terms_of_texts(spark):
+    from plumbline.operators import kernels
+
+    rnd = random.Random(3)
+    words = [f"{rnd.getrandbits(40):x}" for _ in range(400)]
+    rows = [(i, "g", " ".join(rnd.choices(words, k=250))) for i in range(1500)]
+    rows += [(9000, "g", None), (9001, "none", ""), (9002, "none", " "), (9003, "few", "red fish"), (9004, "few", "red bird")]
+    texts = spark.createDataFrame(rows, "i long, grp string, text string").repartition(4).persist()
+    texts.count()
+    got = []
+    # Some 1,000,000 different terms of texts; frequencies of larger corpora are not broadcast.
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert shuffled(spark, lambda: got.extend(kernels.mean_pair_tfidf(texts, ["grp"], "i", "text").collect())) < 8_000_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    w = kernels.tfidf(texts.filter("text is not null"), ["grp"], "i", kernels.word_bound_grams(texts.text)).filter("grp = 'few'").collect()
+    dot = sum(a.w * b.w for a in w for b in w if a.i < b.i and a.term == b.term)
+    got = {r.grp: (r.n, r["mean"]) for r in got}
+    assert set(got) == {"g", "few"} and got["g"][0] == 1501 and abs(got["few"][1] - dot) < 1e-12
