@@ -96,3 +96,17 @@ def test_tfidf_mean_sends_terms_of_blocks_and_no_terms_of_texts(spark):
     dot = sum(a.w * b.w for a in w for b in w if a.i < b.i and a.term == b.term)
     got = {r.grp: (r.n, r["mean"]) for r in got}
     assert set(got) == {"g", "few"} and got["g"][0] == 1501 and abs(got["few"][1] - dot) < 1e-12
+
+
+def test_filters_on_tree_features_parse_no_sample_again(spark):
+    from plumbline.functions import syntax
+
+    code = "def f(o, p):\n    for k, v in p.items():\n        setattr(o, k, v)\n"
+    s = spark.createDataFrame([(i, "SE-28" if i % 2 else "SE-01", c) for i, c in enumerate([code, code, "x = 1", "", "def broken(:", None])], "i long, prompt_id string, code string")
+    parses = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython")
+    t = syntax.with_features(s).filter("ast.mass_assignment_line is not null")
+    assert parses(t) == 1 and sorted((r.i, r.ast.mass_assignment_line) for r in t.collect()) == [(0, 2), (1, 2)]
+    for prompts, lines in ((None, {0: 2, 1: 2}), (("SE-28",), {1: 2})):
+        m = syntax.with_mass_assignment(s, prompts)
+        # Parsed before samples are joined to it.
+        assert parses(m.filter("mass_line is not null")) == 0 and {r.i: r.mass_line for r in m.collect()} == {i: lines.get(i) for i in range(6)}
