@@ -110,3 +110,19 @@ def test_filters_on_tree_features_parse_no_sample_again(spark):
         m = syntax.with_mass_assignment(s, prompts)
         # Parsed before samples are joined to it.
         assert parses(m.filter("mass_line is not null")) == 0 and {r.i: r.mass_line for r in m.collect()} == {i: lines.get(i) for i in range(6)}
+
+
+def test_composite_sends_keys_of_samples_and_codes_of_drawn_ones(spark):
+    from plumbline.operators import legacy
+
+    codes = [f"def f{i}(a{i}, b):\n    return [a{i} + x * {i} for x in b if x > {i * 7}]\n" * 5 for i in range(50)]
+    s = spark.createDataFrame([("g" if i % 3 else None, i, codes[i * i % 50]) for i in range(20_000)], "grp string, k long, code string").repartition(4).persist()
+    s.count()
+    p = legacy.places(s, ["grp"], "k").orderBy("i").collect()
+    assert [r[2] for r in p if r.grp] == list(range(13_333)) and [r[2] for r in p if not r.grp] == list(range(6_667))
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert shuffled(spark, lambda: legacy.composite(s, ["grp"], "k").collect()) < 2_000_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
