@@ -56,8 +56,8 @@ def family_clustering(spark, d):
 @query("""with t as (select lang, text, unnest(range(1, length(text) - 1)) as i from documents where length(text) >= 3), c as (select lang, substr(text, i, 3) as gram, count(*) as c from t group by 1, 2),
 r as (select *, row_number() over (partition by lang order by c desc, gram) as rank from c) select lang, gram, c, rank from r where rank <= 20""")
 def char_ngram_counts(spark, d):
-    g = table(spark, d, "documents").select("lang", F.explode(tx.char_ngrams(F.col("text"))).alias("gram"))
-    return stats.top_k(stats.counts(g, ["lang"], "gram"), ["lang"], 20).select("lang", F.col("label").alias("gram"), "c", "rank")
+    c = kernels.char_trigram_counts(table(spark, d, "documents"), "lang", "text").groupBy("lang", F.col("gram").alias("label")).agg(F.sum("c").alias("c"))
+    return stats.top_k(c, ["lang"], 20).select("lang", F.col("label").alias("gram"), "c", "rank")
 
 
 @query("with c as (select lang, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as t, count(*) as c from documents group by 1, 2), n as (select lang, sum(c) as n, sum(c * (c - 1)) as same, count(*) as n_unique from c group by 1) select lang, n::bigint as n, n_unique, round(case when n < 2 then 0 else same / (n * (n - 1)) end, 8) as rate from n")

@@ -126,3 +126,18 @@ def test_composite_sends_keys_of_samples_and_codes_of_drawn_ones(spark):
         assert shuffled(spark, lambda: legacy.composite(s, ["grp"], "k").collect()) < 2_000_000
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+def test_trigrams_are_counted_where_texts_are_read(spark):
+    from collections import Counter
+
+    from plumbline.operators.kernels import char_trigram_counts
+
+    texts = [("en", "aaaa\x00b"), ("en", "ab"), ("en", None), (None, "né 😀😀x"), ("de", "aaa"), ("en", ""), ("en", "aaa"), ("de", "\U0010ffff￿\n")]
+    want = Counter((g, t[i : i + 3]) for g, t in texts if t for i in range(len(t) - 2))
+    for most in (4_000_000, 2):
+        got = Counter()
+        df = char_trigram_counts(spark.createDataFrame(texts, "lang string, text string"), "lang", "text", most)
+        for r in df.collect():
+            got[r.lang, r.gram] += r.c
+        assert got == want
