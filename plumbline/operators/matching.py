@@ -122,26 +122,23 @@ def nearest(queries: DataFrame, texts: DataFrame, query_key: str, text_key: str,
     return out if counted else out.drop("n_verified")
 
 
-#: The analysis keeps so many candidates, the most similar, then those of most solutions.
-KEEP = 5000
-
-
-def greedy(matches: DataFrame, top_n: int, min_similarity: float = 0.30, min_solutions: int = 15, keep: int = KEEP) -> DataFrame:
+def greedy(matches: DataFrame, top_n: int, min_similarity: float = 0.30, min_solutions: int = 15, keep: int | None = None) -> DataFrame:
     """Picks by similarity * ln(1 + solutions), each problem and each prompt head (120 characters) once.
 
     Columns: match_id, problem_id, prompt, similarity, n_solutions. A match that ranks first at both its ends is the
     one that a sequential pick would take before any rival, so all such matches are taken at once, the matches that
     share an end with them go, and the rest is judged again, until none is left. Rounds are few
     (the longest chain of rivals of falling rank) and each is two aggregates and two joins over what is left.
-    Matches without a problem or a prompt are not picked.
+    Matches without a problem or a prompt are not picked. All others are candidates; a caller that gives `keep` has so many, the most similar.
     """
     rank = F.col("similarity") * F.log1p(F.col("n_solutions").cast("double"))
     m = matches.filter((F.col("similarity") >= min_similarity) & (F.col("n_solutions") >= min_solutions) & F.col("problem_id").isNotNull() & F.col("prompt").isNotNull()).withColumn("head", F.lower(F.substr("prompt", F.lit(1), F.lit(120)))).withColumn("rank", rank)
     # Of equal (problem, head) pairs only the first by rank can ever be picked.
     order = F.struct((-F.col("rank")).alias("r"), F.col("match_id").alias("m"))
     first = m.groupBy("problem_id", "head").agg(F.min_by(F.struct("match_id", "rank", "similarity", "n_solutions"), order).alias("b")).select("problem_id", "head", "b.*")
-    left = first.orderBy(F.col("similarity").desc(), F.col("n_solutions").desc(), "match_id").limit(keep).select("match_id", "problem_id", "head", "rank", order.alias("o"))
-    left = cut_lineage(left)
+    if keep is not None:
+        first = first.orderBy(F.col("similarity").desc(), F.col("n_solutions").desc(), "match_id").limit(keep)
+    left = cut_lineage(first.select("match_id", "problem_id", "head", "rank", order.alias("o")))
     picked = None
     while left.limit(1).count():
         by = lambda end: left.groupBy(F.col(end).alias(f"{end}_")).agg(F.min("o").alias(f"{end}_best"))

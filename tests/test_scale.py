@@ -67,6 +67,18 @@ def test_nearest_leaves_out_only_what_cannot_win(spark):
     assert nearest(q, t.limit(0), "q", "t").count() == 0 and nearest(q.limit(0), t, "q", "t").count() == 0
 
 
+def test_greedy_takes_any_number_of_candidates(spark):
+    from pyspark.sql import functions as F
+
+    from plumbline.operators.matching import greedy
+
+    # The least similar of 6,001 candidates has by far the most solutions.
+    m = spark.range(6001).select(F.col("id").alias("match_id"), F.col("id").alias("problem_id"), F.concat(F.lit("head "), F.col("id")).alias("prompt"))
+    m = m.withColumn("similarity", F.when(F.col("match_id") == 6000, 0.4).otherwise(0.9)).withColumn("n_solutions", F.when(F.col("match_id") == 6000, 100_000).otherwise(20))
+    got = greedy(m, 6001).orderBy("place").collect()
+    assert [r.match_id for r in got] == [6000, *range(6000)]
+
+
 def test_reml_is_the_dense_likelihood(spark):
     from plumbline.operators.inference import fixed_effects, random_intercept
 
