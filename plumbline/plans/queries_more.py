@@ -96,8 +96,8 @@ n as (select lang, source, doc_id, sum(c) as n from c group by 1, 2, 3), s as (s
 select p.lang, p.source, count(*) as n_pairs, round(avg(coalesce(common, 0) / (p.n + r.n - coalesce(common, 0))), 6) as mean from n p join n r on p.lang = r.lang and p.source = r.source and p.doc_id < r.doc_id left join s on s.a = p.doc_id and s.b = r.doc_id group by 1, 2""")
 def multiset_jaccard(spark, d):
     """Mean multiset Jaccard of character pairs over all pairs of each pool: the n-th time that a gram stands is an item of its own."""
-    s = kernels.multiset_items(table(spark, d, "documents").filter("length(text) >= 2"), ["lang", "source"], "text")
-    return kernels.mean_pair_jaccard(s, ["lang", "source"]).select("lang", "source", "n_pairs", r6("mean"))
+    t = table(spark, d, "documents").filter("length(text) >= 2")
+    return kernels.mean_pair_text_jaccard(t, ["lang", "source"], "text", kernels.char_bag_sets).select("lang", "source", "n_pairs", r6("mean"))
 
 
 @query(sc.SCAN_SQL + ", c as (select prompt_id, model_display, count(*) as n, count(distinct cwes) as sets from scanned where vulnerable group by 1, 2 having count(*) > 1), r as (select *, row_number() over (order by n desc, prompt_id, model_display) as i from c) select prompt_id, model_display, n, sets from r where i <= 10")

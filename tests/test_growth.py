@@ -141,3 +141,52 @@ def test_trigrams_are_counted_where_texts_are_read(spark):
         for r in df.collect():
             got[r.lang, r.gram] += r.c
         assert got == want
+
+
+def written(spark, folder, seed: int) -> int:
+    """Documents of one pool, of words from one list, with copies; the bytes of their texts."""
+    rnd = random.Random(seed)
+    words = ["".join(rnd.choices("abcdefghijklmnop", k=rnd.randrange(2, 9))) for _ in range(600)]
+    texts = [" ".join(rnd.choices(words, k=rnd.randrange(100, 300))) for _ in range(1200)]
+    rows = [(i, t, "en", "src0", len(t)) for i, t in enumerate([*texts, *texts[:50], "", "a", "é 漢 😀"])]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").repartition(4).write.parquet(f"{folder}/documents.parquet")
+    return sum(len(t) for t in texts)
+
+
+def test_multisets_of_texts_are_never_sent(spark, tmp_path):
+    from plumbline.operators import kernels
+    from plumbline.plans.queries_more import multiset_jaccard
+
+    size = written(spark, tmp_path, 5)
+    got = []
+    assert shuffled(spark, lambda: got.extend(multiset_jaccard(spark, str(tmp_path)).collect())) < size
+    items = kernels.multiset_items(spark.read.parquet(f"{tmp_path}/documents.parquet").filter("length(text) >= 2"), ["lang"], "text")
+    want = kernels.mean_pair_jaccard(items, ["lang"]).first()
+    assert [(r.n_pairs, r["mean"]) for r in got] == [(want.n_pairs, round(want["mean"], 6))] and want.n_pairs == 1251 * 1250 // 2
+
+
+def test_mean_of_packed_texts_is_that_of_all_pairs(spark):
+    from collections import Counter
+
+    from plumbline.operators import kernels
+
+    rnd = random.Random(6)
+    texts = ["", " ", "a", "b", "é 漢 😀 é 漢 😀", "a b c", "a  b c"] + [" ".join(rnd.choices(["ab", "abc", "b", "7", "x_1", "+"], k=rnd.randrange(1, 30))) for _ in range(150)]
+    rows = [("p" if i % 4 else "q", t) for i, t in enumerate(texts + texts[:40])] + [("p", None), ("one", "a b c d"), (None, "a b c d"), (None, "a b c e"), ("none", ""), ("none", None)]
+    df = spark.createDataFrame(rows, "grp string, text string").repartition(3)
+
+    def two(t):
+        return Counter(t[i : i + 2] for i in range(len(t) - 1))
+
+    def three(t):
+        w = [x for x in t.split() if x not in ("é", "漢")]  # no tokens: these begin with an ASCII letter, or are numbers or signs
+        return Counter({tuple(w[i : i + 3]): 1 for i in range(len(w) - 2)})
+
+    for items, normal, bag in ((kernels.char_bag_sets, lambda c: c, two), (kernels.token_gram_sets, kernels.token_lines, three)):
+        for sizes in ({}, {"block": 500}, {"block": 500, "block_most": 700, "held": 900}):
+            got = {r.grp: (r.n_pairs, r["mean"]) for r in kernels.mean_pair_text_jaccard(df, ["grp"], "text", items, normal, **sizes).collect()}
+            assert set(got) == {"p", "q", "none"}
+            for g, (n, mean) in got.items():
+                bags = [bag(t or "") for x, t in rows if x == g]
+                j = [sum((a & b).values()) / sum((a | b).values()) if a | b else 1.0 for i, a in enumerate(bags) for b in bags[:i]]
+                assert n == len(j) and abs(mean - sum(j) / len(j)) < 1e-9
