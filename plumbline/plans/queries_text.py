@@ -29,7 +29,7 @@ _WITHIN = "from g a join g b on a.prompt_id = b.prompt_id and a.model_display =
 
 
 def _within(spark, d, pattern):
-    p = kernels.mean_pair_jaccard(kernels.gram_sets(fx.text_samples(spark, d), "text", pattern), ["prompt_id", "model_display"])
+    p = kernels.mean_pair_text_jaccard(fx.text_samples(spark, d), ["prompt_id", "model_display"], "text", kernels.token_gram_sets, lambda c: kernels.token_lines(c, pattern))
     return p.select("prompt_id", "model_display", "n_pairs", r6("mean", "mean_j"))
 
 

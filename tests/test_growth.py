@@ -153,6 +153,20 @@ def written(spark, folder, seed: int) -> int:
     return sum(len(t) for t in texts)
 
 
+def test_token_sets_are_never_sent(spark, tmp_path):
+    from plumbline.functions import text as tx
+    from plumbline.operators import kernels
+    from plumbline.plans import queries_text
+
+    size = written(spark, tmp_path, 8)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for query, pattern in ((queries_text.token_trigram_jaccard, tx.TOKENS), (queries_text.legacy_ngram_jaccard, tx.LEGACY_TOKENS)):
+        got = []
+        assert shuffled(spark, lambda q=query, g=got: g.extend(q(spark, str(tmp_path)).collect())) < size
+        want = kernels.mean_pair_jaccard(kernels.gram_sets(docs, "text", pattern), ["lang"]).first()
+        assert [(r.n_pairs, r.mean_j) for r in got] == [(want.n_pairs, round(want["mean"], 6))] and want.n_pairs == 1253 * 1252 // 2
+
+
 def test_multisets_of_texts_are_never_sent(spark, tmp_path):
     from plumbline.operators import kernels
     from plumbline.plans.queries_more import multiset_jaccard
@@ -165,6 +179,20 @@ def test_multisets_of_texts_are_never_sent(spark, tmp_path):
     assert [(r.n_pairs, r["mean"]) for r in got] == [(want.n_pairs, round(want["mean"], 6))] and want.n_pairs == 1251 * 1250 // 2
 
 
+def test_token_sets_of_a_slice_are_those_of_its_texts():
+    import numpy as np
+    import pyarrow as pa
+
+    from plumbline.operators.kernels import token_gram_sets
+
+    rnd = random.Random(7)
+    texts = ["", *["\n".join(rnd.choices(["aé", "b", "漢", "7", "+"], k=rnd.randrange(1, 40))) for _ in range(5000)], "", "b\nb", ""]
+    for lo, hi in ((0, 5004), (2048, 4096), (4096, 5004), (5001, 5004)):
+        s = token_gram_sets(pa.array(texts)[lo:hi], np.ones(hi - lo))
+        want = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in (t.split("\n") for t in texts[lo:hi])]
+        assert s.size.tolist() == [len(w) for w in want] and len(s.terms) == len(set().union(*want)) and s.n.sum() == s.size.sum()
+
+
 def test_mean_of_packed_texts_is_that_of_all_pairs(spark):
     from collections import Counter
 
